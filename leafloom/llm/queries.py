@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import capping, pieces
+from leafloom.llm import boilerplate, capping, pieces
 from leafloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,3 +68,17 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     cut = pieces.split_pieces(_contents(spark, d), ["origin", "item_key"], "content")
     return cut.dropDuplicates(["origin", "item_key", "piece_no"])
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_rows", ["id", "source", "content"])
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.template_lines(_pages(spark, d))
+
+
+@query("p1_body")
+def p1_body(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.main_body(_pages(spark, d))
