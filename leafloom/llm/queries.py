@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import boilerplate, capping, pieces
+from leafloom.llm import boilerplate, capping, pairs, pieces
 from leafloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,3 +82,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p1_body")
 def p1_body(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.main_body(_pages(spark, d))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defective_pairs(table(spark, d, "raw_rows", ["id", "prompt", "response", "schema", "content"]))
