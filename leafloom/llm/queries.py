@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import boilerplate, capping, pairs, pieces
+from leafloom.llm import boilerplate, capping, leaks, pairs, pieces
 from leafloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,17 @@ def p1_body(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_found")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.defective_pairs(table(spark, d, "raw_rows", ["id", "prompt", "response", "schema", "content"]))
+
+
+def _leaked(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents", ["doc_id", "text"]), table(spark, d, "eval_items"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaked(spark, d).select("doc_id", "item_id")
+
+
+@query("p9_items")
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks_by_item(_leaked(spark, d))
