@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import boilerplate, capping, leaks, pairs, pieces
+from leafloom.llm import boilerplate, capping, leaks, overlap, pairs, pieces
 from leafloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +101,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p9_items")
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks_by_item(_leaked(spark, d))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(table(spark, d, "finetune", ["ft_id", "split", "schema", "content", "source"]))
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _pairs(spark, d).select("ft_id_a", "ft_id_b")
+
+
+@query("p7_report")
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.overlap_report(_pairs(spark, d))
