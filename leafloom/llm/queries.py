@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import boilerplate, capping, leaks, overlap, pairs, pieces
+from leafloom.llm import boilerplate, capping, language, leaks, overlap, pairs, pieces
 from leafloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p7_report")
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(_pairs(spark, d))
+
+
+@query("p10_found")
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    found = language.document_languages(table(spark, d, "documents", ["doc_id", "text", "lang"]))
+    return language.wrong_labels(found).select("doc_id", "para_no", "lang")
+
+
+@query("p10_languages")
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(table(spark, d, "documents", ["doc_id", "text", "lang"]))
