@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.urls import last_two_labels
+from leafloom.operators.ranking import rank_in_groups
 from leafloom.session import cut_lineage
 
-_IDX = "monotonically_increasing_id() & ((1L << 33) - 1)"
-
 
 def beyond_cap(rows: DataFrame, contributor: str, cap: int, score: str, key: str) -> DataFrame:
     """The keys that must go so that no ``contributor`` keeps more than ``cap`` rows: one column, ``key``.
@@ -30,24 +29,8 @@ def beyond_cap(rows: DataFrame, contributor: str, cap: int, score: str, key: str
     over = rows.groupBy("c").count().filter(F.col("count") > cap).select("c")
     # fewer than N / cap rows: at a cap of 2 % at most 50
     hot = rows.join(F.broadcast(over), "c", "left_semi")
-    order = [F.col("c"), F.col("s").desc_nulls_last(), F.col("k")]
-    ranged = hot.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = cut_lineage(ranged.select("c", "k", F.spark_partition_id().alias("p"), F.expr(_IDX).alias("i")))
-    # one row per partition and contributor on it: fewer than partitions + N / cap rows, so the driver sums them up
-    per = ranged.groupBy("p", "c").agg(F.count("*").alias("n"), F.min("i").alias("i0")).collect()
-    size: dict[int, int] = {}
-    for r in per:
-        size[r.p] = size.get(r.p, 0) + r.n
-    before, total = {}, 0
-    for p in sorted(size):
-        before[p], total = total, total + size[p]
-    start: dict[str, int] = {}
-    for r in per:
-        start[r.c] = min(start.get(r.c, total), before[r.p] + r.i0)
-    shifts = [(r.c, r.p, before[r.p] - start[r.c]) for r in per]
-    offset = rows.sparkSession.createDataFrame(shifts, "c string, p int, shift bigint")
-    ranked = ranged.join(F.broadcast(offset), ["c", "p"])
-    return ranked.filter(F.col("i") + F.col("shift") >= cap).select(F.col("k").alias(key))
+    ranked = rank_in_groups(hot, "c", [F.col("s").desc_nulls_last(), F.col("k")])
+    return ranked.filter(F.col("rank") >= cap).select(F.col("k").alias(key))
 
 
 def cap_contributors(raw: DataFrame, quality: DataFrame, percent: float = 2.0) -> DataFrame:

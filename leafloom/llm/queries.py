@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import boilerplate, capping, language, leaks, overlap, pairs, pieces
+from leafloom.llm import boilerplate, capping, language, leaks, overlap, packing, pairs, pieces
 from leafloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +126,13 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 @query("p10_languages")
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:
     return language.document_languages(table(spark, d, "documents", ["doc_id", "text", "lang"]))
+
+
+@query("p8_containers")
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_containers(table(spark, d, "documents", ["doc_id", "text"]))
+
+
+@query("p8_fill")
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(p8_containers(spark, d))
