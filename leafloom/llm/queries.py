@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafloom.llm import boilerplate, capping, language, leaks, overlap, packing, pairs, pieces
+from leafloom.llm import boilerplate, capping, language, leaks, overlap, packing, pairs, pieces, pii
 from leafloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -136,3 +136,16 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 @query("p8_fill")
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(p8_containers(spark, d))
+
+
+_TEXTS = ["id", "prompt", "content", "schema", "response"]
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_items(table(spark, d, "raw_rows", _TEXTS))
+
+
+@query("p4_redacted")
+def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(table(spark, d, "raw_rows", _TEXTS))
