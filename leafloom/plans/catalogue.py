@@ -1,44 +1,6 @@
-"""Queries of the core and their SQL, gathered from the modules of this package."""
+"""All queries of the core and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from leafloom.operators import nested
-from leafloom.sources.tables import table
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql is not None:
-            SQL[name] = sql
-        return f
-
-    return add
-
-
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return nested.records_of(table(spark, d, "raw_rows", ["id", "schema_hash", "response", "schema"]))
-
-
-@query("p3_found")
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.node_rows(_records(spark, d))
-
-
-@query("p3_schema_graph")
-def p3_schema_graph(spark: SparkSession, d: str) -> DataFrame:
-    return nested.shared_inlining(nested.parsed_objects(_records(spark, d)))
-
-
-@query("p3_tables")
-def p3_tables(spark: SparkSession, d: str) -> DataFrame:
-    objects = nested.parsed_objects(_records(spark, d))
-    return nested.relational_rows(objects, nested.shared_inlining(objects))
+from leafloom.plans import aligning, describing, nesting, preparing  # noqa: F401
+from leafloom.plans.registry import QUERIES, SQL  # noqa: F401
