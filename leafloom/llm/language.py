@@ -43,11 +43,11 @@ def paragraphs(text: str) -> list[str]:
 
 def running_text(paragraph: str) -> str:
     """What is left of a paragraph without code, JSON, addresses and links; empty if it isn't running text."""
-    t = _FENCE.sub(" ", paragraph)
+    t = _FENCE.sub(" ", paragraph) if "```" in paragraph or "~~~" in paragraph else paragraph
     s = t.strip()
     if s[:1] in "{[" and s[-1:] in "}]" and '"' in s:
         return ""
-    return _CODE_LINE.sub(" ", t)
+    return _CODE_LINE.sub(" ", t) if "`" in t or "@" in t or "://" in t else t
 
 
 def _grams(word: str) -> list[str]:
@@ -77,39 +77,40 @@ class Profiles:
         for a, lang in enumerate(self.langs):
             for g, i in ranks[lang].items():
                 self.rank[a, self.number[g]] = i
+        self._places = np.arange(size, dtype=np.int32)
         self._cache: dict[str, np.ndarray] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_cache": {}}
 
     def _of_word(self, word: str) -> np.ndarray:
-        got = self._cache.get(word)
-        if got is None:
-            if len(self._cache) > 200_000:
-                self._cache.clear()
-            got = self._cache[word] = np.array([self.number[g] for g in _grams(word.casefold()) if g in self.number], np.int64)
+        if len(self._cache) > 200_000:
+            self._cache.clear()
+        got = self._cache[word] = np.array([self.number[g] for g in _grams(word.casefold()) if g in self.number], np.int64)
         return got
 
-    def distances(self, text: str) -> np.ndarray | None:
-        """Mean out-of-place distance to each language, 0 to 1; None if the text has no letters of any profile."""
-        found = [self._of_word(w) for w in _RUN.findall(text)]
-        if not found:
+    def distances(self, words: list[str]) -> np.ndarray | None:
+        """Mean out-of-place distance to each language, 0 to 1; None if the words have no n-gram of any profile."""
+        if not words:
             return None
-        count = np.bincount(np.concatenate(found), minlength=1)
-        ids = np.flatnonzero(count)
-        if not len(ids):
+        get, make = self._cache.get, self._of_word
+        count = np.bincount(np.concatenate([x if (x := get(w)) is not None else make(w) for w in words]), minlength=1)
+        ids = count.nonzero()[0]
+        n = len(ids)
+        if not n:
             return None
-        order = ids[np.lexsort((ids, -count[ids]))][: self.size]
-        place = np.arange(len(order), dtype=np.int32)
-        return np.abs(self.rank[:, order] - place).mean(axis=1) / self.size
+        # one sort by falling count, then number
+        order = ids[(ids - count[ids] * len(self.number)).argsort()[: self.size]]
+        return np.abs(self.rank[:, order] - self._places[: len(order)]).sum(axis=1) / (len(order) * self.size)
 
-    def best(self, text: str) -> tuple[str, float, np.ndarray] | None:
+    def best(self, words: list[str]) -> tuple[str, float, list[float]] | None:
         """Language, confidence (lead over the next language, 0 to 1) and all distances."""
-        d = self.distances(text)
-        if d is None:
+        got = self.distances(words)
+        if got is None:
             return None
-        i = np.argsort(d, kind="stable")
-        return self.langs[i[0]], float((d[i[1]] - d[i[0]]) / max(d[i[1]], 1e-9)), d
+        d = got.tolist()
+        first, second = sorted(range(len(d)), key=d.__getitem__)[:2]
+        return self.langs[first], (d[second] - d[first]) / max(d[second], 1e-9), d
 
 
 def plain_label(label):
@@ -125,12 +126,14 @@ def fit_profiles(documents: DataFrame, sample_per_language: int = 300, size: int
     labelled = documents.select(F.xxhash64("doc_id").alias("h"), plain_label(F.col("lang")).alias("lang"), "text").filter(
         F.col("lang").isin(*start.langs) & F.col("text").isNotNull()
     )
-    # one global minimum per language and slot keeps at most sample_per_language rows of each without sorting all
+    # the smallest hash of each language and slot: at most sample_per_language ids of each, on narrow rows; only their
+    # texts are fetched
     slot = F.pmod("h", F.lit(sample_per_language))
-    rows = labelled.groupBy("lang", slot.alias("slot")).agg(F.min_by("text", "h").alias("text")).collect()
+    chosen = labelled.filter("char_length(text) >= 200").select("lang", slot.alias("slot"), "h").groupBy("lang", "slot").agg(F.min("h").alias("h"))
+    rows = labelled.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "slot").agg(F.first("text").alias("text")).collect()
     for r in sorted(rows, key=lambda r: (r.lang, r.slot)):
         t = running_text(r.text)
-        got = start.best(t)
+        got = start.best(_RUN.findall(t))
         if got and got[0] == r.lang and len(t) >= 200:
             texts[r.lang].append(t)
     return Profiles(texts, size)
@@ -145,10 +148,11 @@ def judge(profiles: Profiles, text: str, sure: float = 0.06) -> tuple[str, float
     found = []
     for no, p in enumerate(paragraphs(text), 1):
         t = running_text(p)
-        letters = sum(map(len, _RUN.findall(t)))
+        words = _RUN.findall(t)
+        letters = sum(map(len, words))
         if letters < 2:
             continue
-        got = profiles.best(t)
+        got = profiles.best(words)
         if got:
             found.append((no, len(t.strip()), letters, got))
     if not found:
@@ -162,7 +166,7 @@ def judge(profiles: Profiles, text: str, sure: float = 0.06) -> tuple[str, float
     chars.clear()
     for no, n, letters, (lang, conf, d) in found:
         if lang != main:
-            lead = float((d[at] - d.min()) / max(d[at], 1e-9))
+            lead = (d[at] - min(d)) / max(d[at], 1e-9)
             if lead < sure * max(1.0, 40 / letters):
                 lang, conf = main, 0.0
         out.append((no, lang, conf))
