@@ -40,9 +40,10 @@ def concentration(df: DataFrame, key: str, ks: tuple[int, ...] = KS) -> DataFram
     )
     row = sums.join(F.broadcast(top)).join(F.broadcast(weighted))
     c, t = F.col("contributors"), F.col("total")
-    values = {f"top_{k}_share": F.col(f"top{k}") / t for k in ks} | {
-        "contributors": c.cast("double"), "singletons": F.col("singletons").cast("double"), "singleton_share": F.col("singletons") / c, "median_rows": F.col("median").cast("double"),
-        "hhi": F.col("squares") / t / t, "gini": 2 * F.col("weighted") / (c * t) - (c + 1) / c,
+    per = F.try_divide  # an empty table has no shares: null
+    values = {f"top_{k}_share": per(F.col(f"top{k}"), t) for k in ks} | {
+        "contributors": c.cast("double"), "singletons": F.col("singletons").cast("double"), "singleton_share": per(F.col("singletons"), c), "median_rows": F.col("median").cast("double"),
+        "hhi": per(per(F.col("squares"), t), t), "gini": per(2 * F.col("weighted"), c * t) - per(c + 1, c),
     }
     return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(v, 6).alias("value")) for k, v in values.items()])).alias("x")).select("x.*")
 

@@ -132,7 +132,7 @@ def _two_judges(spark, d):
 _TWO = "WITH j AS (SELECT * FROM judgments WHERE error IS NULL), a AS (SELECT unit_id, max(tier) x FROM j WHERE judge_model = (SELECT min(judge_model) FROM j) GROUP BY 1), b AS (SELECT unit_id, max(tier) y FROM j WHERE judge_model = (SELECT max(judge_model) FROM j) GROUP BY 1), p AS (SELECT unit_id, x, y FROM a JOIN b USING (unit_id) WHERE x IS NOT NULL AND y IS NOT NULL) "
 
 
-@query("kappa_agreement", _TWO + ", q AS (SELECT (SELECT count(*) FROM p)::DOUBLE n, (SELECT count(*) FROM p WHERE x = y)::DOUBLE same, (SELECT sum(ca * cb) FROM (SELECT x t, count(*) ca FROM p GROUP BY 1) JOIN (SELECT y t, count(*) cb FROM p GROUP BY 1) USING (t))::DOUBLE pe) SELECT n::BIGINT AS n, round(same / n, 6) AS agreement, round((same / n - pe / n / n) / (1 - pe / n / n), 6) AS kappa FROM q")
+@query("kappa_agreement", _TWO + ", q AS (SELECT (SELECT count(*) FROM p)::DOUBLE n, (SELECT count(*) FROM p WHERE x = y)::DOUBLE same, (SELECT sum(ca * cb) FROM (SELECT x t, count(*) ca FROM p GROUP BY 1) JOIN (SELECT y t, count(*) cb FROM p GROUP BY 1) USING (t))::DOUBLE pe0), q2 AS (SELECT *, coalesce(pe0, 0) pe FROM q) SELECT n::BIGINT AS n, round(same / n, 6) AS agreement, round((same / n - pe / n / n) / (1 - pe / n / n), 6) AS kappa FROM q2")
 def kappa_agreement(spark, d):
     _, a, b = _two_judges(spark, d)
     return judging.agreement(a, b, "unit_id", "tier")
