@@ -14,6 +14,8 @@ from pathlib import Path
 
 from leafloom.llm import pii_spans as S
 
+#: A make-up of names with a weight between this and 0 is left out; unknown ones count so much.
+S_UNSEEN = -1.5
 _MARK = re.compile(r"<(\w+)\|([^|]*)\|>")
 _ROOTS_S = "Ask Bell Brenn Crow Dun Ever Fal Grim Hal Hart Iver Jar Kess Lund Mar Mor Nor Old Pell Quist Rav Sten Tarn Thorn Ulver Ven Wex Yar Zell Øst Łyn Ñar".split()
 _ROOTS_G = "Wyn Bel Tor Cad Far Gwen Kal Lor Mav Nim Pri Ras Sel Ist Elv Dor Jor Zor Vel Al".split()
@@ -177,7 +179,7 @@ def train(n: int = 6000, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4,
 def main() -> None:
     w = train()
     lines = ['"""Fixed values: weights of the span model, as trained by ``pii_train``."""', "", "WEIGHTS = {"]
-    lines += [f'    "{k}": {v:.2f},' for k, v in sorted(w.items()) if abs(v) >= 0.05 and (v > 0 or not k.startswith("form="))]
+    lines += [f'    "{k}": {v:.2f},' for k, v in sorted(w.items()) if abs(v) >= 0.05 and (v > 0 or v < S_UNSEEN or not k.startswith("form="))]
     Path(__file__).with_name("pii_weights.py").write_text("\n".join([*lines, "}", ""]))
 
 
