@@ -95,7 +95,7 @@ def _kind(token: str) -> str:
     if token[-1] == ".":
         return "initial"
     t = _UNESCAPE.sub(lambda m: chr(int(m.group(1), 16)), token).casefold().replace("’", "'")
-    if t in _PARTICLES and token[0].islower():
+    if t in _PARTICLES and (token[0].islower() or token.isupper()):
         return "particle"
     parts = t.split("-")
     if t in _PLACES:
@@ -128,7 +128,7 @@ def person_spans(text: str, start: int = 0, stop: int | None = None) -> list[Spa
                 kinds = [k for _, _, k in tokens[i : j + 1]]
                 if "stop" in kinds:
                     break
-                if kinds[0] == "particle" and text[tokens[i][0]].islower() and not any(inner):
+                if kinds[0] == "particle" and not any(inner):
                     continue
                 start, end = tokens[i][0], tokens[j][1]
                 feats = ["person", f"person_left={left_cue(text, start)}"]
