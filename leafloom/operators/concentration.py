@@ -38,7 +38,7 @@ def concentration(df: DataFrame, key: str, ks: tuple[int, ...] = KS) -> DataFram
     weighted = by_n.agg(
         F.sum(F.col("n") * (F.col("m") * F.col("before") + F.col("m") * (F.col("m") + 1) / 2)).alias("weighted"), F.sum(F.col("m") * F.col("n") * F.col("n")).alias("squares")
     )
-    row = sums.join(F.broadcast(top)).join(F.broadcast(weighted))
+    row = sums.select("*", top.select(F.struct("*")).scalar().alias("t"), weighted.select(F.struct("*")).scalar().alias("w")).select("*", "t.*", "w.*")
     c, t = F.col("contributors"), F.col("total")
     per = F.try_divide  # an empty table has no shares: null
     values = {f"top_{k}_share": per(F.col(f"top{k}"), t) for k in ks} | {
@@ -66,8 +66,8 @@ def top_contributors(df: DataFrame, key: str, other: str, n: int = 50) -> DataFr
     """The ``n`` largest contributors with share and distinct ``other``; ties by key."""
     x = df.filter(F.col(key).isNotNull())
     per = x.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(other).alias("others"))
-    total = x.agg(F.count("*").alias("total"))
-    return per.join(F.broadcast(total)).orderBy(F.desc("n"), key).limit(n).select(key, "n", F.round(F.col("n") / F.col("total"), 5).alias("share"), "others")
+    total = x.agg(F.count("*")).scalar()
+    return per.orderBy(F.desc("n"), key).limit(n).select(key, "n", F.round(F.col("n") / total, 5).alias("share"), "others")
 
 
 def tiers(df: DataFrame, key: str, head: int = 10, torso: int = 100) -> DataFrame:

@@ -23,8 +23,7 @@ def tier_shares(df: DataFrame, by: list[str], tiers: tuple[str, ...] = TIERS) ->
 
 def reweighted_shares(df: DataFrame, strata: DataFrame, key: str, tiers: tuple[str, ...] = TIERS) -> DataFrame:
     """``tier, weighted_share, covered_weight``: shares per stratum weighted by population; empty strata drop out as they are."""
-    total = strata.agg(F.sum("population").alias("all"))
-    w = strata.join(F.broadcast(total)).select(key, (F.col("population") / F.col("all")).alias("w"))
+    w = strata.select(key, (F.col("population") / strata.agg(F.sum("population")).scalar()).alias("w"))
     per = df.filter("tier is not null").groupBy(key).agg(F.array(*[F.struct(F.lit(t).alias("tier"), (F.count_if(F.col("tier") == t) / F.count("*")).alias("share")) for t in tiers]).alias("s"))
     x = per.join(w, key).select("w", F.explode("s").alias("s"))
     return x.groupBy("s.tier").agg(F.round(F.sum(F.col("w") * F.col("s.share")), 6).alias("weighted_share"), F.round(F.sum("w"), 6).alias("covered_weight"))
@@ -38,7 +37,7 @@ def agreement(a: DataFrame, b: DataFrame, key: str, label: str) -> DataFrame:
     mb = cells.groupBy(F.col("y").alias("t")).agg(F.sum("n").alias("nb"))
     pe = ma.join(mb, "t", "full_outer").agg(F.coalesce(F.sum(F.coalesce("na", F.lit(0)) * F.coalesce("nb", F.lit(0))), F.lit(0)).alias("pe"))
     po = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("x") == F.col("y"), F.col("n"))), F.lit(0)).alias("same"))
-    x = po.join(F.broadcast(pe))
+    x = po.select("*", pe.scalar().alias("pe"))
     share, chance = F.try_divide("same", "n"), F.try_divide(F.col("pe"), F.col("n") * F.col("n"))
     return x.select(F.col("n"), F.round(share, 6).alias("agreement"), F.round(F.try_divide(share - chance, 1 - chance), 6).alias("kappa"))
 

@@ -151,12 +151,11 @@ def extrapolated(labels: DataFrame, judged: DataFrame) -> DataFrame:
     ``judged`` has ``leaf_id, judge, manual``; a manual verdict goes before the judge's.
     """
     counts = labels.groupBy("heuristic").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("all"), F.sum(F.when(F.col("heuristic") == "needs_judge", F.col("n"))).alias("rest"))
+    total = counts.agg(F.sum("n")).scalar()
+    rest = counts.agg(F.coalesce(F.sum(F.when(F.col("heuristic") == "needs_judge", F.col("n"))), F.lit(0))).scalar()
     verdicts = judged.select(F.coalesce("manual", "judge").alias("verdict")).filter("verdict is not null").groupBy("verdict").agg(F.count("*").alias("v"))
-    sure = counts.filter("heuristic <> 'needs_judge'").join(F.broadcast(total)).select(F.col("heuristic").alias("label"), (F.col("n") / F.col("all")).alias("share"))
-    spread = verdicts.join(F.broadcast(verdicts.agg(F.sum("v").alias("vs")))).join(F.broadcast(total)).select(
-        F.concat(F.lit("judged_"), "verdict").alias("label"), (F.coalesce("rest", F.lit(0)) / F.col("all") * F.col("v") / F.col("vs")).alias("share")
-    )
+    sure = counts.filter("heuristic <> 'needs_judge'").select(F.col("heuristic").alias("label"), (F.col("n") / total).alias("share"))
+    spread = verdicts.select(F.concat(F.lit("judged_"), "verdict").alias("label"), (rest / total * F.col("v") / verdicts.agg(F.sum("v")).scalar()).alias("share"))
     return sure.unionByName(spread)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.text import equal_width_bin
@@ -55,26 +55,26 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, bins: int = 50, scale: float = 1.0) -> DataFrame:
     """A5: ``bin, n`` of equal-width bins over the range of the column; empty bins are left out."""
     v = df.select((F.col(value) / scale).alias("v")).filter("v is not null")
-    ends = v.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    return v.join(F.broadcast(ends)).groupBy(equal_width_bin(F.col("v"), F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n"))
+    lo, hi = v.agg(F.min("v")).scalar(), v.agg(F.max("v")).scalar()
+    return v.select(equal_width_bin(F.col("v"), lo, hi, bins).alias("bin")).groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def top_and_other(df: DataFrame, key: str, n: int, other: str = "Other") -> DataFrame:
     """The ``n`` most frequent values and the rest as one, with shares; ties by value, nulls left out."""
     counts = value_counts(df, key)
     best = counts.orderBy(F.desc("n"), key).limit(n).select(key, F.lit(True).alias("top"))
-    total = Window.partitionBy()
+    total = counts.agg(F.sum("n")).scalar()
     return (
         counts.join(F.broadcast(best), key, "left")
         .groupBy(F.when(F.col("top"), F.col(key)).otherwise(other).alias(key)).agg(F.sum("n").alias("n"))
-        .withColumn("share", F.round(F.col("n") / F.sum("n").over(total), 6))
+        .withColumn("share", F.round(F.col("n") / total, 6))
     )
 
 
 def shares(df: DataFrame, key: str, without: tuple[str, ...] = ("unknown",)) -> DataFrame:
     """Rows and percent (two places) per value, some values and nulls left out."""
     counts = value_counts(df.filter(~F.col(key).isin(*without)), key)
-    return counts.withColumn("pct", F.round(100 * F.col("n") / F.sum("n").over(Window.partitionBy()), 2))
+    return counts.withColumn("pct", F.round(100 * F.col("n") / counts.agg(F.sum("n")).scalar(), 2))
 
 
 def group_performance(df: DataFrame, key: str, valid: str, seconds: str, least: int = 100) -> DataFrame:
@@ -115,11 +115,9 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def nearest_to_median(df: DataFrame, key: str, chars: str = "chars") -> DataFrame:
     """F8, T4: of the rows whose length lies between the quartiles the one nearest to the median, ties by key."""
     n = df.filter(F.col(chars).isNotNull()).select(key, F.col(chars).alias("chars"))
-    q = n.agg(F.percentile("chars", F.array(*map(F.lit, QUARTILES))).alias("q"))
-    return (
-        n.join(F.broadcast(q)).filter((F.col("chars") >= F.col("q")[0]) & (F.col("chars") <= F.col("q")[2]))
-        .orderBy(F.abs(F.col("chars") - F.col("q")[1]), key).limit(1).select(key, "chars")
-    )
+    q = n.agg(F.percentile("chars", F.array(*map(F.lit, QUARTILES))).alias("q")).scalar()
+    x = n.select(key, "chars", q.alias("q"))
+    return x.filter((F.col("chars") >= F.col("q")[0]) & (F.col("chars") <= F.col("q")[2])).orderBy(F.abs(F.col("chars") - F.col("q")[1]), key).limit(1).select(key, "chars")
 
 
 def bootstrap_interval(df: DataFrame, value: str, groups: list[str], replicates: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
@@ -138,4 +136,6 @@ def bootstrap_interval(df: DataFrame, value: str, groups: list[str], replicates:
     means = rows.withColumn("w", w).groupBy(*groups, "rep").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("w")).alias("m"))
     tail = (1 - level) / 2
     ci = means.groupBy(*groups).agg(F.percentile("m", tail).alias("lo"), F.percentile("m", 1 - tail).alias("hi"))
-    return df.groupBy(*groups).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).join(ci, groups) if groups else df.agg(F.avg(value).alias("mean"), F.count(value).alias("n")).join(F.broadcast(ci))
+    if groups:
+        return df.groupBy(*groups).agg(F.avg(value).alias("mean"), F.count(value).alias("n")).join(ci, groups)
+    return df.agg(F.avg(value).alias("mean"), F.count(value).alias("n"), ci.select("lo").scalar().alias("lo"), ci.select("hi").scalar().alias("hi"))

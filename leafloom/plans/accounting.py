@@ -59,8 +59,8 @@ _ENDS = ", lo AS (SELECT * FROM m WHERE model = (SELECT min(model) FROM m)), hi
 @query("coverage_sensitivity", _LAST + _ENDS + ", m2 AS (SELECT lo.*, hi.idx IS NOT NULL c FROM lo LEFT JOIN hi USING (idx)), g AS (SELECT 'overall' grp, * FROM m2 UNION ALL SELECT complexity_bucket, * FROM m2 WHERE complexity_bucket IS NOT NULL UNION ALL SELECT 'depth>=7', * FROM m2 WHERE schema_depth >= 7 UNION ALL SELECT 'keys>=200', * FROM m2 WHERE schema_keys >= 200) SELECT grp, count(*) AS n_full, count(*) FILTER (WHERE c) AS n_covered, round(avg(is_schema_compliant), 6) AS compliant_full, round(avg(is_schema_compliant) FILTER (WHERE c), 6) AS compliant_covered, round(avg(is_schema_compliant) FILTER (WHERE c) - avg(is_schema_compliant), 6) AS compliant_delta, round(avg(key_f1), 6) AS key_f1_full, round(avg(key_f1) FILTER (WHERE c), 6) AS key_f1_covered, round(avg(key_f1) FILTER (WHERE c) - avg(key_f1), 6) AS key_f1_delta FROM g GROUP BY 1 HAVING count(*) FILTER (WHERE c) > 0")
 def coverage_sensitivity(spark, d):
     m = _results(spark, d)
-    x = m.join(F.broadcast(m.agg(F.min("model").alias("lo"), F.max("model").alias("hi"))))
-    return runs.coverage_sensitivity(x.filter("model = lo").drop("lo", "hi"), x.filter("model = hi"))
+    first, last = m.agg(F.min("model")).scalar(), m.agg(F.max("model")).scalar()
+    return runs.coverage_sensitivity(m.filter(F.col("model") == first), m.filter(F.col("model") == last))
 
 
 @query("validity_and_means", _LAST + "SELECT count(*) AS n, round(avg(is_valid_json), 6) AS valid_rate, round(avg(is_schema_compliant), 6) AS compliant_rate, " + ", ".join(f"round(avg({x}) FILTER (WHERE is_valid_json = 1 AND is_schema_compliant = 1), 6) AS mean_{x}" for x in runs.METRICS[2:]) + " FROM m")
@@ -78,8 +78,7 @@ _TODO = "SELECT DISTINCT unit_id FROM judgments WHERE unit_id NOT IN (SELECT uni
 
 def _second(spark, d):
     j = table(spark, d, "judgments", ["unit_id", "judge_model", "error"])
-    last = j.agg(F.max("judge_model").alias("last"))
-    return j.select("unit_id").distinct(), j.join(F.broadcast(last)).filter("judge_model = last")
+    return j.select("unit_id").distinct(), j.filter(F.col("judge_model") == j.agg(F.max("judge_model")).scalar())
 
 
 @query("resume_errors_done", _TODO.format(""))
@@ -124,9 +123,8 @@ def stratum_reweighted_tiers(spark, d):
 
 def _two_judges(spark, d):
     j = table(spark, d, "judgments", ["unit_id", "judge_model", "tier", "error"]).filter("error is null")
-    x = j.join(F.broadcast(j.agg(F.min("judge_model").alias("lo"), F.max("judge_model").alias("hi"))))
-    one = lambda which: runs.last_wins(x.filter(f"judge_model = {which}").select("unit_id", "tier"), ["unit_id"], ["tier"])
-    return x, one("lo"), one("hi")
+    one = lambda end: runs.last_wins(j.filter(F.col("judge_model") == j.agg(end("judge_model")).scalar()).select("unit_id", "tier"), ["unit_id"], ["tier"])
+    return one(F.min), one(F.max)
 
 
 _TWO = "WITH j AS (SELECT * FROM judgments WHERE error IS NULL), a AS (SELECT unit_id, max(tier) x FROM j WHERE judge_model = (SELECT min(judge_model) FROM j) GROUP BY 1), b AS (SELECT unit_id, max(tier) y FROM j WHERE judge_model = (SELECT max(judge_model) FROM j) GROUP BY 1), p AS (SELECT unit_id, x, y FROM a JOIN b USING (unit_id) WHERE x IS NOT NULL AND y IS NOT NULL) "
@@ -134,7 +132,7 @@ _TWO = "WITH j AS (SELECT * FROM judgments WHERE error IS NULL), a AS (SELECT un
 
 @query("kappa_agreement", _TWO + ", q AS (SELECT (SELECT count(*) FROM p)::DOUBLE n, (SELECT count(*) FROM p WHERE x = y)::DOUBLE same, (SELECT sum(ca * cb) FROM (SELECT x t, count(*) ca FROM p GROUP BY 1) JOIN (SELECT y t, count(*) cb FROM p GROUP BY 1) USING (t))::DOUBLE pe0), q2 AS (SELECT *, coalesce(pe0, 0) pe FROM q) SELECT n::BIGINT AS n, round(same / n, 6) AS agreement, round((same / n - pe / n / n) / (1 - pe / n / n), 6) AS kappa FROM q2")
 def kappa_agreement(spark, d):
-    _, a, b = _two_judges(spark, d)
+    a, b = _two_judges(spark, d)
     return judging.agreement(a, b, "unit_id", "tier")
 
 
@@ -143,7 +141,7 @@ _RANK = "list_position(['good', 'so-so', 'reject'], {0})"
 
 @query("pair_delta_rates", _TWO + f", z AS (SELECT {_RANK.format('x')} - {_RANK.format('y')} d FROM p WHERE {_RANK.format('x')} > 0 AND {_RANK.format('y')} > 0) SELECT count(*) AS n, round(count(*) FILTER (WHERE d > 0) / count(*), 6) AS better_rate, round(count(*) FILTER (WHERE d < 0) / count(*), 6) AS worse_rate, round(count(*) FILTER (WHERE d = 0) / count(*), 6) AS same_rate FROM z")
 def pair_delta_rates(spark, d):
-    _, a, b = _two_judges(spark, d)
+    a, b = _two_judges(spark, d)
     both = a.withColumn("side", F.lit("a")).unionByName(b.withColumn("side", F.lit("b")))
     return judging.pair_deltas(both, "unit_id", "side", "a", "b")
 

@@ -44,6 +44,5 @@ def leak_funnel(spark, d):
 @query("run_coverage_difference", "WITH a AS (SELECT DISTINCT idx FROM model_results WHERE model = (SELECT min(model) FROM model_results)), b AS (SELECT DISTINCT idx FROM model_results WHERE model = (SELECT max(model) FROM model_results)) SELECT coalesce(a.idx, b.idx) AS idx, CASE WHEN a.idx IS NULL THEN 'missing' ELSE 'extra' END AS side FROM a FULL JOIN b USING (idx) WHERE a.idx IS NULL OR b.idx IS NULL")
 def run_coverage_difference(spark, d):
     m = table(spark, d, "model_results", ["idx", "model"])
-    ends = m.agg(F.min("model").alias("lo"), F.max("model").alias("hi"))
-    x = m.join(F.broadcast(ends))
-    return align.set_difference(x.filter("model = lo"), x.filter("model = hi"), "idx")
+    first, last = m.agg(F.min("model")).scalar(), m.agg(F.max("model")).scalar()
+    return align.set_difference(m.filter(F.col("model") == first), m.filter(F.col("model") == last), "idx")
