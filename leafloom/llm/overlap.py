@@ -152,8 +152,9 @@ def cross_split_pairs(
         records.select("ft_id", "split", "source", side.alias("side"), "schema", "content")
         .filter("ft_id is not null and side is not null and schema is not null and content is not null")
     )
-    sig = cut_lineage(_signatures(rows, shingle, bands, per_band).dropDuplicates(["ft_id"]))
-    classes = sig.select("schema_key", "class", "side", F.explode("bands").alias("band")).dropDuplicates()
+    sig = cut_lineage(_signatures(rows, shingle, bands, per_band))
+    once = sig.select("schema_key", "class", "side", "bands").dropDuplicates(["schema_key", "class", "side"])
+    classes = once.select("schema_key", "class", "side", F.explode("bands").alias("band"))
     cand = (
         classes.filter("side = 'train'").select("schema_key", "band", F.col("class").alias("train_class"))
         .join(classes.filter("side = 'eval'").select("schema_key", "band", F.col("class").alias("eval_class")), ["schema_key", "band"])
@@ -171,6 +172,7 @@ def cross_split_pairs(
     return (
         sure.join(t, ["schema_key", "train_class"]).join(e, ["schema_key", "eval_class"])
         .select(F.least("t_id", "e_id").alias("ft_id_a"), F.greatest("t_id", "e_id").alias("ft_id_b"), "eval_split", "source", "agree", "jaccard")
+        .dropDuplicates(["ft_id_a", "ft_id_b"])
     )
 
 
