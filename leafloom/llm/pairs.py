@@ -39,6 +39,7 @@ def _votes() -> dict[str, dict[str, float]]:
 
 
 _VOTES = _votes()
+_LETTERS = {ch: lang for lang, chars in W.LETTERS.items() for ch in chars}
 
 
 def _refusal_automaton() -> ahocorasick.Automaton:
@@ -118,6 +119,10 @@ def language_of(words, margin: float = 1.5) -> str | None:
     for w in words:
         for lang, x in _VOTES.get(w, {}).items():
             votes[lang] = votes.get(lang, 0.0) + x
+        if not w.isascii():
+            for ch in w:
+                if lang := _LETTERS.get(ch):
+                    votes[lang] = votes.get(lang, 0.0) + 0.5
     if not votes:
         return None
     best = sorted(votes.items(), key=lambda x: -x[1])
@@ -231,7 +236,7 @@ def defect_of(prompt: str | None, response: str | None, schema: str | None, cont
                 return "refusal"
     automaton, n_prompt, expected = _prompt(prompt)
     words = [w for t in texts for w in _WORD.findall(t.casefold())]
-    if words and len(words) <= 4 * n_prompt + 8 and automaton.covered(words, min(3, n_prompt)) >= 0.75 * len(words):
+    if words and automaton.covered(words, min(3, n_prompt)) >= 0.75 * len(words):
         return "copy"
     if isinstance(value, (dict, list)) and schema:
         own = find_value(schema)

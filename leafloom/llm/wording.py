@@ -1,14 +1,17 @@
 """Function words, language names and refusal wording in the languages of the corpus."""
 
 STOPWORDS = {
-    "en": "the of and to in for with by from at as on an is are was were this that these those it its be has have not or but which after before during near under over into than then there they you your all any each every most some such no give me find list what please return extract answer page text only nothing else",
+    "en": "a an if when while also more most other same only first second within without along across because so very can may must would should the of and to in for with by from at as on an is are was were this that these those it its be has have not or but which after before during near under over into than then there they you your all any each every most some such no give me find list what please return extract answer page text only nothing else",
     "de": "der die das den dem des und mit von für auf aus im zum zur bei ist sind war nicht oder aber nach vor während ein eine einen einem einer eines wie es sich als auch an am dass wird werden nur sonst nichts ich brauche bitte nenne suche gib zurück jeden alle über unter neben ohne seit bis",
-    "fr": "le la les l des du de et un une dans pour avec par sur au aux est sont pas ou mais qui que ce cette ces après avant pendant sous près sans depuis à d en son sa ses tous toutes chaque rien autre je veux donne trouve extrais merci renvoyer cités texte selon toute",
-    "es": "el la los las de del y un una en para con por sobre al es son no o pero que este esta estos después antes durante bajo cerca sin desde hasta cada todos todas nada más quiero busca indica extrae devuelve aparecen texto su sus según junto hay",
-    "pt": "o a os as de do da dos das e um uma em no na nos nas num numa para com por sobre ao aos é são não ou mas que este esta depois antes durante sob perto sem desde até cada todos todas nada mais quero encontre indique extraia devolva aparecem texto seu sua segundo pelo pela muita há",
-    "it": "il lo la i gli le di del della dei delle dello e un una in nel nella nelle per con da dal dalla su sul sulla al alla è sono non o ma che questo questa dopo prima durante sotto vicino senza ogni tutti tutte voglio trova indica estrai restituisci citati testo altro l dell nient più secondo",
+    "fr": "nous vous ils elle elles lorsque ainsi même très aussi où dont leur leurs entre chez quelques plusieurs pendant celui celle cela ici le la les l des du de et un une dans pour avec par sur au aux est sont pas ou mais qui que ce cette ces après avant pendant sous près sans depuis à d en son sa ses tous toutes chaque rien autre je veux donne trouve extrais merci renvoyer cités texte selon toute",
+    "es": "lo nos ya muy todo toda cuando también ese esa eso hacia partir pesar otro otra otros unos unas entre donde mientras ni si quien el la los las de del y un una en para con por sobre al es son no o pero que este esta estos después antes durante bajo cerca sin desde hasta cada todos todas nada más quiero busca indica extrae devuelve aparecen texto su sus según junto hay",
+    "pt": "pelos pelas isso esse essa nesse desse nessa dessa já muito quando também outro outra entre onde enquanto nem se quem uns umas ainda lado o a os as de do da dos das e um uma em no na nos nas num numa para com por sobre ao aos é são não ou mas que este esta depois antes durante sob perto sem desde até cada todos todas nada mais quero encontre indique extraia devolva aparecem texto seu sua segundo pelo pela muita há",
+    "it": "anche come nei negli degli agli dei quando quello quella altri altra tra dove mentre né se chi uno alcuni pochi fino parte lato il lo la i gli le di del della dei delle dello e un una in nel nella nelle per con da dal dalla su sul sulla al alla è sono non o ma che questo questa dopo prima durante sotto vicino senza ogni tutti tutte voglio trova indica estrai restituisci citati testo altro l dell nient più secondo",
 }
 
+#: Letters that one of the languages alone has.
+LETTERS = {"pt": "ãõ", "es": "ñ¿¡", "de": "äöüß", "fr": "œêîûè", "it": "ìò"}
+
 #: Names of the languages in each of them, folded to lower case.
 LANGUAGE_NAMES = {
     "en": "english englisch anglais inglés inglês inglese",
