@@ -68,6 +68,11 @@ def extraction_prompt(schema: Column, content: Column) -> Column:
     )
 
 
+def long_page(content: Column, size: int = chunk_geometry()[0]) -> Column:
+    """Whether the page is longer than one chunk; null content is not."""
+    return F.coalesce(F.char_length(content) > size, F.lit(False))
+
+
 def chat_messages(prompt: Column, answer: Column) -> Column:
     """the two turns of a training example."""
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))

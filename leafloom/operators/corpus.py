@@ -1,7 +1,10 @@
-"""Corpus preparation and sampling: caps, chunks, splits, samples."""
+"""Corpus preparation and sampling: caps, chunks, splits, samples."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,3 +96,20 @@ def strata(population: DataFrame, sampled: DataFrame, keys: list[str]) -> DataFr
     p = population.groupBy(*keys).agg(F.count("*").alias("population"))
     s = sampled.groupBy(*keys).agg(F.count("*").alias("sampled"))
     return p.join(s, keys, "full_outer").select(*keys, F.coalesce("population", F.lit(0)).alias("population"), F.coalesce("sampled", F.lit(0)).alias("sampled"))
+
+
+def with_language(df: DataFrame, key: str, text: str, detect: Callable[[str], str | None]) -> DataFrame:
+    """``key, lang``: what ``detect`` says of each text, line ends as spaces; ``unknown`` for null and blank texts and for None."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = [(detect(t.replace("\n", " ")) if t and t.strip() else None) or "unknown" for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string())], names=[key, "lang"])
+
+    x = df.select(key, text)
+    return x.mapInArrow(run, f"`{key}` {dict(x.dtypes)[key]}, lang string")
+
+
+def restricted(df: DataFrame, gold: DataFrame, key: str) -> DataFrame:
+    """the rows whose key the gold table has."""
+    return df.join(gold.select(key).distinct(), key, "left_semi")

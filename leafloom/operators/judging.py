@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.jsontext import NOTHING, find_value
 from leafloom.functions.leaves import canon, is_missing, leaves, rooted, strict
+from leafloom.functions.text import clipped
 
 TIERS = ("good", "so-so", "reject")
 
@@ -76,6 +78,22 @@ def response_leaves(responses: DataFrame, key: str, text: str) -> DataFrame:
     return responses.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").mapInArrow(run, "key string, leaf string, missing boolean, value string")
 
 
+def leaf_lines(found: DataFrame, most: int = 60, chars: int = 300) -> DataFrame:
+    """``key, lines``: the first ``most`` leaves by path, one a line, each value cut to ``chars`` characters and marked.
+
+    Reading every leaf of a key into one list is bounded by the leaves of one response.
+    """
+    line = F.concat("leaf", F.lit(": "), clipped(F.col("value"), chars, "…"))
+    per = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("leaf", line.alias("line")))).alias("x"))
+    return per.select("key", F.array_join(F.transform(F.slice("x", 1, most), lambda y: y["line"]), "\n").alias("lines"))
+
+
+def judge_prompt(template: str, schema: Column, content: Column, lines: Column) -> Column:
+    """The judge's prompt: ``{schema}``, ``{content}`` and ``{leaves}`` of the template replaced; null if any value is."""
+    values = {"{schema}": schema, "{content}": content, "{leaves}": lines}
+    return F.concat(*[values.get(part, F.lit(part)) for part in re.split(r"(\{(?:schema|content|leaves)\})", template)])
+
+
 def leaf_rates(judgments: DataFrame, found: DataFrame) -> DataFrame:
     """Verdicts per judge, apart for filled and missing leaves; verdicts on keys that the response lacks are unmatched.
 

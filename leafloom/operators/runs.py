@@ -1,4 +1,4 @@
-"""Accounts of model runs over overlapping groups."""
+"""Accounts of model runs over overlapping groups."""
 
 from __future__ import annotations
 
@@ -92,3 +92,11 @@ def still_to_do(planned: DataFrame, done: DataFrame, key: str, retry_errors: boo
     """Planned rows whose key has no record yet; with ``retry_errors`` failed records don't count."""
     finished = done.filter(F.col(error).isNull()) if retry_errors else done
     return planned.join(finished.select(key).distinct(), key, "left_anti")
+
+
+def against_gold(predictions: DataFrame, gold: DataFrame, key: str, measure: str) -> DataFrame:
+    """``n_gold, n_missing, mean_covered, mean_strict`` of a run against the gold keys; what is missing counts 0 in the last."""
+    x = gold.select(key).distinct().join(predictions.select(key, F.col(measure).alias("_m")).dropDuplicates([key]), key, "left")
+    return x.agg(
+        F.count("*").alias("n_gold"), F.count_if(F.col("_m").isNull()).alias("n_missing"), F.round(F.avg("_m"), 6).alias("mean_covered"), F.round(F.avg(F.coalesce("_m", F.lit(0.0))), 6).alias("mean_strict")
+    )

@@ -1,4 +1,4 @@
-"""JSON scoring and diffs over tables.
+"""JSON scoring and diffs over tables.
 
 One Arrow pass per row computes all measures together, so texts cross to Python once; everything after it is native.
 """
@@ -159,6 +159,34 @@ def extrapolated(labels: DataFrame, judged: DataFrame) -> DataFrame:
     return sure.unionByName(spread)
 
 
+def annotation_problems(sheet: DataFrame, annotations: DataFrame, key: str) -> DataFrame:
+    """``key, problem`` of every line of a sheet: missing, unverified, invalid (no JSON), not_compliant, or ok.
+
+    ``annotations`` has ``key, verified, gold, schema``; a key annotated twice counts once.
+    """
+    a = annotations.dropDuplicates([key])
+    v = validated(a, key, "gold", "schema").withColumnRenamed("key", "_k")
+    x = sheet.select(key).join(a.select(key, "verified"), key, "left").join(v, F.col(key).cast("string") == F.col("_k"), "left")
+    return x.select(key, F.when(F.col("verified").isNull(), "missing").when(~F.col("verified"), "unverified").when(~F.col("is_valid"), "invalid").when(~F.col("is_compliant"), "not_compliant").otherwise("ok").alias("problem"))
+
+
+def edits(pairs: DataFrame, key: str, draft: str, gold: str, stratum: str) -> DataFrame:
+    """Per stratum the pairs, leaves added, removed and changed from draft to gold, and the share of edited pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for k, g, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                d = L.leaf_diff(*(L.leaves(L.rooted(L.without_repeated_keys(t or "{}"))) for t in (x, y)))
+                rows.append((k, g, d["added"], d["removed"], d["changed"]))
+            yield _batch({"key": pa.string(), "stratum": pa.string()} | dict.fromkeys(("added", "removed", "changed"), pa.int64()), rows)
+
+    x = pairs.select(F.col(key).cast("string").alias("key"), F.col(stratum).cast("string").alias("stratum"), draft, gold)
+    d = x.mapInArrow(run, "key string, stratum string, added bigint, removed bigint, changed bigint")
+    any_edit = (F.col("added") + F.col("removed") + F.col("changed") > 0).cast("int")
+    return d.groupBy("stratum").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("added", "removed", "changed")], F.round(F.avg(any_edit), 6).alias("edited_share"))
+
+
 def pair_units(pairs: DataFrame) -> DataFrame:
     """Each pair (``pair_id, schema, page, chunk, before, after``) as two units: the old answer on its page, the new on its chunk."""
     unit = lambda kind, content, response: F.struct(F.lit(kind).alias("kind"), F.col(content).alias("content"), F.col(response).alias("response"))

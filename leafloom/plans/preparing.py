@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafloom.functions.text import CAPS, chunk_geometry, chunks, estimated_tokens, extraction_prompt, file_name, score_bucket
+from leafloom.functions.text import CAPS, chunk_geometry, chunks, estimated_tokens, extraction_prompt, file_name, long_page, score_bucket
 from leafloom.operators import corpus
 from leafloom.operators.concentration import tiers
 from leafloom.plans.describing import _BUCKET, ROOTS, _raw, _sources, raw
@@ -90,7 +90,7 @@ def sample_by_quota(spark, d):
 
 @query("tier_page_strata", ROOTS + ", n AS (SELECT DISTINCT id, length(content) > 14336 AS long_page FROM raw_rows WHERE id IS NOT NULL), k AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) rn FROM r WHERE root IS NOT NULL GROUP BY 1), x AS (SELECT r.id, CASE WHEN rn <= 10 THEN 'head' WHEN rn <= 100 THEN 'torso' ELSE 'tail' END AS tier, coalesce(long_page, false) AS long_page FROM r LEFT JOIN k USING (root) JOIN n USING (id)), s AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY md5(id || ':3'), id) q FROM x) SELECT tier, long_page, count(*) AS population, count(*) FILTER (WHERE q <= CASE tier WHEN 'head' THEN 40 WHEN 'torso' THEN 40 ELSE 20 END) AS sampled FROM s GROUP BY 1, 2")
 def tier_page_strata(spark, d):
-    long = once_per_id(table(spark, d, "raw_rows", ["id", "content"]).select("id", F.coalesce(F.char_length("content") > SIZE, F.lit(False)).alias("long_page")))
+    long = once_per_id(table(spark, d, "raw_rows", ["id", "content"]).select("id", long_page(F.col("content")).alias("long_page")))
     pop = tiers(_sources(spark, d), "root").select("id", "tier").join(long, "id")
     got = corpus.by_quota(pop, "id", "tier", {"head": 40, "torso": 40, "tail": 20}, 3)
     return corpus.strata(pop, got, ["tier", "long_page"])

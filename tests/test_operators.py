@@ -202,3 +202,24 @@ def test_scoring_tables(spark):
     assert {x.label: x.share for x in scoring.extrapolated(labels, judged).collect()} == {"completion": 0.25, "formatting": 0.25, "judged_equivalent": 0.25, "judged_partial": 0.25}
     units = scoring.pair_units(spark.createDataFrame([(1, "s", "page", "chunk", "b", "a")], "pair_id int, schema string, page string, chunk string, before string, after string"))
     assert sorted((u.kind, u.content, u.response) for u in units.collect()) == [("pair_orig", "page", "b"), ("pair_regen", "chunk", "a")]
+
+
+def test_gold_and_judge_helpers(spark, rows):
+    sheet = spark.createDataFrame([(i,) for i in range(5)], "hb int")
+    notes = spark.createDataFrame([(0, True, "{}", "{}"), (1, False, "{}", "{}"), (2, True, "{", "{}"), (3, True, "[]", '{"type": "object"}'), (0, True, "{}", "{}")], "hb int, verified boolean, gold string, schema string")
+    assert rows(scoring.annotation_problems(sheet, notes, "hb")) == [(0, "ok"), (1, "unverified"), (2, "invalid"), (3, "not_compliant"), (4, "missing")]
+    pairs = spark.createDataFrame([("a", "s", '{"x": 1, "y": 2}', '{"x": 2, "z": 1}'), ("b", "s", "{}", "{}"), ("c", None, None, '{"q": 1}')], "k string, st string, d string, g string")
+    got = {r.stratum: (r.n, r.added, r.removed, r.changed, r.edited_share) for r in scoring.edits(pairs, "k", "d", "g", "st").collect()}
+    assert got == {"s": (2, 1, 1, 1, 0.5), None: (1, 1, 0, 0, 1.0)}
+    pred = spark.createDataFrame([(0, 0.5), (1, 1.0), (1, 1.0), (9, 0.0)], "hb int, m double")
+    r = runs.against_gold(pred, sheet, "hb", "m").first()
+    assert (r.n_gold, r.n_missing, r.mean_covered, r.mean_strict) == (5, 3, 0.75, 0.3)
+    assert corpus.restricted(pred, sheet, "hb").count() == 3
+    texts = spark.createDataFrame([(1, "a\nb"), (2, " "), (3, None)], "k int, t string")
+    assert rows(corpus.with_language(texts, "k", "t", lambda t: "xx" if t == "a b" else None)) == [(1, "xx"), (2, "unknown"), (3, "unknown")]
+    found = judging.response_leaves(spark.createDataFrame([("u", json.dumps({"b": "y" * 400, "a": 1}))], "k string, t string"), "k", "t")
+    lines = judging.leaf_lines(found).first().lines.split("\n")
+    assert lines[0] == "a: 1" and lines[1].endswith("…") and len(lines[1]) == 304 and judging.leaf_lines(found, 1).first().lines == "a: 1"
+    p = spark.range(1).select(judging.judge_prompt("S {schema} C {content} L {leaves}", F.lit("{content}"), F.lit("%c"), F.lit("x")).alias("p")).first().p
+    assert p == "S {content} C %c L x"
+    assert [x[0] for x in texts.select(T.long_page(F.col("t"), 2)).collect()] == [True, False, False]
