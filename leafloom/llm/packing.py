@@ -106,6 +106,13 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 300) -> list[Fi
                     if not rest[s]:
                         del rest[s]
         if not took:
+            # no filling is worth a whole container any more: classes by themselves, so that few items are left
+            for s, n in list(rest.items()):
+                per = capacity // s
+                if n >= per:
+                    out.append(({s: per}, n // per))
+                    rest[s] = n % per
+            rest = {s: n for s, n in rest.items() if n}
             break
     return out + best_fit(rest, capacity)
 

@@ -10,6 +10,7 @@ _WORD = re.compile(r"[^\W_]+")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 _INSIDE = re.compile(r"(?<=\w)[.,'’‘`´*_\-‐-―­​-‏⁠﻿]+(?=\w)")
 _INVISIBLE = re.compile(r"[­​-‏⁠﻿]")
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]+")
 _MOJIBAKE = re.compile(r"[ÂÃâ][\u0080-¿Œ-Ÿƒˆ˜–-™€]{1,2}")
 
 
@@ -32,7 +33,7 @@ def folded(text: str) -> str:
         if "Ã" in text or "Â" in text or "â" in text:
             text = _MOJIBAKE.sub(_mended, text)
         text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-        text = "".join([c for c in text if not unicodedata.combining(c)])
+        text = _MARKS.sub("", text)
     return text.casefold()
 
 

@@ -33,8 +33,7 @@ def test_plan_holds_every_item_once(histogram):
             held[s] = held.get(s, 0) + n * copies
     assert held == histogram
     used, least = sum(c for _, c in plan), math.ceil(sum(s * n for s, n in histogram.items()) / 32)
-    big = sum(n for s, n in histogram.items() if s > 16)
-    assert used <= 1.25 * max(least, big) + 3
+    assert least <= used <= 1.05 * sum(c for _, c in P.best_fit(histogram, 32)) + 2
 
 
 def test_containers(spark):
