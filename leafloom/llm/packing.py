@@ -50,26 +50,30 @@ def best_filling(price: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[d
     return out, float(value[capacity])
 
 
-def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, step: float = 0.5) -> dict[tuple, float]:
-    """Fractional fillings that cover the ``counts`` on the average once, by multiplicative weights.
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 300, step: float = 0.5, settle: float = 0.0) -> dict[tuple, float]:
+    """Fractional fillings that cover the ``counts``, by multiplicative weights.
 
     The weights start where a class is worth its size, so the first filling is a full container; a class loses worth by
-    its cover so far and gains it by what others are ahead, and no round covers more than a share of a class.
+    its cover so far and gains it by what others are ahead, and no round covers more than a share of a class. With
+    ``settle`` this share of the rounds only finds the prices, and the rest is scaled to cover the scarcest class once;
+    else all are scaled to cover the classes once on the average.
     """
-    cover = np.zeros(len(sizes))
+    cover, kept = np.zeros(len(sizes)), np.zeros(len(sizes))
     x: dict[tuple, float] = {}
-    total = float((sizes * counts).sum())
-    for _ in range(rounds):
-        mean = float((cover * sizes * counts).sum()) / total
-        fill, _ = best_filling(sizes * np.exp(-step * (cover - mean)), sizes, capacity)
+    bulk = sizes * counts / float((sizes * counts).sum())
+    for i in range(rounds):
+        fill, _ = best_filling(sizes * np.exp(-step * (cover - float((cover * bulk).sum()))), sizes, capacity)
         idx = np.fromiter(fill.keys(), int)
         num = np.fromiter(fill.values(), float)
         amount = float((counts[idx] / num).min()) * 0.5
-        key = tuple(sorted(fill.items()))
-        x[key] = x.get(key, 0.0) + amount
         cover[idx] += amount * num / counts[idx]
-    mean = float((cover * sizes * counts).sum()) / total
-    return {k: v / mean for k, v in x.items()}
+        if i >= settle * rounds:
+            key = tuple(sorted(fill.items()))
+            x[key] = x.get(key, 0.0) + amount
+            kept[idx] += amount * num / counts[idx]
+    scale = float(kept.min()) if settle else 0.0
+    scale = scale or float((kept * bulk).sum())
+    return {k: v / scale for k, v in x.items()}
 
 
 def best_fit(rest: dict[int, int], capacity: int) -> list[Filling]:
@@ -87,15 +91,15 @@ def best_fit(rest: dict[int, int], capacity: int) -> list[Filling]:
     return [(held, 1) for _, held in bins]
 
 
-def plan(histogram: dict[int, int], capacity: int, rounds: int = 300) -> list[Filling]:
-    """Fillings (size to number, how many containers) that hold every item of the histogram exactly once."""
+def rounded(histogram: dict[int, int], capacity: int, rounds: int, settle: float) -> list[Filling]:
+    """Fractional fillings rounded down, again and again on what is left, and best-fit decreasing of the last items."""
     rest = {s: n for s, n in histogram.items() if n > 0}
     out: list[Filling] = []
     while sum(rest.values()) > 300:
         sizes = np.array(sorted(rest))
         counts = np.array([rest[int(s)] for s in sizes], float)
         took = 0
-        for key, v in sorted(fractional(sizes, counts, capacity, rounds).items(), key=lambda kv: (-kv[1], kv[0])):
+        for key, v in sorted(fractional(sizes, counts, capacity, rounds, settle=settle).items(), key=lambda kv: (-kv[1], kv[0])):
             fill = {int(sizes[i]): n for i, n in key}
             copies = min([int(v + 1e-9), *(rest.get(s, 0) // n for s, n in fill.items())])
             if copies > 0:
@@ -117,6 +121,18 @@ def plan(histogram: dict[int, int], capacity: int, rounds: int = 300) -> list[Fi
     return out + best_fit(rest, capacity)
 
 
+def plan(histogram: dict[int, int], capacity: int, rounds: int = 300) -> list[Filling]:
+    """Fillings (size to number, how many containers) that hold every item of the histogram exactly once.
+
+    The better of two roundings: with many classes few rounds reach all of them, so all rounds count; with few classes
+    the prices settle first. Items of up to 4,000 in number are also packed by best-fit decreasing alone.
+    """
+    ways = [rounded(histogram, capacity, rounds, 0.0), rounded(histogram, capacity, rounds, 0.5)]
+    if sum(histogram.values()) <= 4000:
+        ways.append(best_fit({s: n for s, n in histogram.items() if n > 0}, capacity))
+    return min(ways, key=lambda fillings: sum(copies for _, copies in fillings))
+
+
 def _pieces(texts: DataFrame, capacity: int) -> DataFrame:
     """Texts that alone exceed the capacity, cut at the last blank line, line end, sentence end or space that fits."""
 
