@@ -120,7 +120,10 @@ def plain_label(label):
 
 
 def fit_profiles(documents: DataFrame, sample_per_language: int = 300, size: int = 400) -> Profiles:
-    """Profiles fitted on at most ``sample_per_language`` labelled documents of each language, chosen by a hash of the id."""
+    """Profiles fitted on at most ``sample_per_language`` labelled documents of each language, chosen by a hash of the id.
+
+    The sample is of texts of 200 to 20,000 characters, so what the driver gets has a bound.
+    """
     start = Profiles({k: [v] for k, v in STARTING_TEXTS.items()}, size)
     texts = {k: [v] for k, v in STARTING_TEXTS.items()}
     labelled = documents.select(F.xxhash64("doc_id").alias("h"), plain_label(F.col("lang")).alias("lang"), "text").filter(
@@ -129,7 +132,7 @@ def fit_profiles(documents: DataFrame, sample_per_language: int = 300, size: int
     # the smallest hash of each language and slot: at most sample_per_language ids of each, on narrow rows; only their
     # texts are fetched
     slot = F.pmod("h", F.lit(sample_per_language))
-    chosen = labelled.filter("char_length(text) >= 200").select("lang", slot.alias("slot"), "h").groupBy("lang", "slot").agg(F.min("h").alias("h"))
+    chosen = labelled.filter("char_length(text) between 200 and 20000").select("lang", slot.alias("slot"), "h").groupBy("lang", "slot").agg(F.min("h").alias("h"))
     rows = labelled.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "slot").agg(F.first("text").alias("text")).collect()
     for r in sorted(rows, key=lambda r: (r.lang, r.slot)):
         t = running_text(r.text)
