@@ -59,39 +59,34 @@ class ItemTables:
             p += 1
 
 
+#: Words left out of the item and of the document at a mismatch, in the order they are tried.
+_JUMPS = ((0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (1, 2), (2, 1), (2, 2))
+_SIGNED = {step: tuple((step * x, step * y) for x, y in _JUMPS) for step in (1, -1)}
+
+
 def _reach(a: list[str], i: int, b: list[str], j: int, step: int) -> tuple[int, int, int]:
-    """Extend a common passage from (i, j) in one direction: last matched places and the number of further matches."""
-    n = matches = 0
-    li, lj = i, j
-    na, nb = len(a), len(b)
-    while True:
-        x, y = li + step, lj + step
-        if not (0 <= x < na and 0 <= y < nb):
-            break
-        if a[x] == b[y]:
-            li, lj, matches = x, y, matches + 1
-            continue
-        best = None
-        for gap in range(1, 2 * _GAP + 1):
-            for da in range(max(0, gap - _GAP), min(gap, _GAP) + 1):
-                u, v = x + step * da, y + step * (gap - da)
-                if not (0 <= u < na and 0 <= v < nb) or a[u] != b[v]:
-                    continue
-                u2, v2 = u + step, v + step
-                if not (0 <= u2 < na) or (0 <= v2 < nb and a[u2] == b[v2]):
-                    # one word for one word comes before words left out
-                    rank = (gap, abs(2 * da - gap))
-                    if best is None or rank < best[0]:
-                        best = (rank, u, v)
-            # a replaced word moves both sides, so gap 2 with da 1 competes with gap 1
-            if best is not None and gap >= 2:
+    """Extend a common passage from (i, j) in one direction: last matched places and the number of further matches.
+
+    At a mismatch the first jump counts after which two words agree in a row (one at the item's end).
+    """
+    matches, li, lj = 0, i, j
+    na, nb, jumps = len(a), len(b), _SIGNED[step]
+    x, y = i + step, j + step
+    while 0 <= x < na and 0 <= y < nb:
+        if a[x] != b[y]:
+            for dx, dy in jumps:
+                u, v = x + dx, y + dy
+                if 0 <= u < na and 0 <= v < nb and a[u] == b[v]:
+                    u2, v2 = u + step, v + step
+                    if not 0 <= u2 < na or 0 <= v2 < nb and a[u2] == b[v2]:
+                        x, y = u, v
+                        break
+            else:
                 break
-        if best is None:
-            break
-        n = best[0][0]
-        li, lj, matches = best[1], best[2], matches + 1
-        if n > 2 * _GAP:
-            break
+        li, lj = x, y
+        matches += 1
+        x += step
+        y += step
     return li, lj, matches
 
 
@@ -100,7 +95,8 @@ def passages(tables: ItemTables, doc: list[str]) -> dict[int, tuple[int, int, in
     best: dict[int, tuple[int, int, int, int]] = {}
     done: dict[int, list[tuple[int, int, int]]] = {}
     for k, i, p in tables.hits(doc):
-        if any(lo <= p <= hi and abs((p - i) - d) <= 2 * _GAP for lo, hi, d in done.get(k, ())):
+        before = done.get(k)
+        if before and any(lo <= p <= hi and abs(p - i - d) <= 2 * _GAP for lo, hi, d in before):
             continue
         item = tables.items[k]
         e = _WINDOW - 1
