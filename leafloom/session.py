@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def let_workers_import(spark: SparkSession) -> SparkSession:
+    """Put the folder of this package on the path of the session's Python workers, wherever the session was started."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    there = env.get("PYTHONPATH", "")
+    if root not in there.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, there]))
+    return spark
+
+
 def local_session(cores: int | str = 8, app: str = "leafloom") -> SparkSession:
     """A local session for tests and the bench; a cluster brings its own."""
-    return (
+    return let_workers_import(
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
