@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.text import is_rate_limit, normalized_error
@@ -11,6 +11,12 @@ METRICS = ("is_valid_json", "is_schema_compliant", "key_precision", "key_recall"
 DEEP, WIDE = 7, 200
 
 
+def _six(value: Column) -> Column:
+    """Six places; halves go up whatever the order in which the rows were summed."""
+    return F.round(value + F.lit(1e-10), 6)
+
+
+
 def last_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the last in ``order`` (nulls first); an aggregate, so no group is sorted in one task."""
     rest = [c for c in df.columns if c not in keys]
@@ -29,9 +35,9 @@ def in_groups(df: DataFrame, bucket: str = "complexity_bucket", depth: str = "sc
 def group_means(df: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Rows, cost, metric means, rejection and fallback rates per group."""
     return in_groups(df).groupBy("model", "grp").agg(
-        F.count("*").alias("n"), F.round(F.coalesce(F.sum("cost"), F.lit(0.0)), 6).alias("total_cost"), *[F.round(F.avg(m), 6).alias(m) for m in metrics],
-        F.round(F.avg(F.coalesce(F.col("schema_rejected"), F.lit(False)).cast("int")), 6).alias("schema_rejected_rate"),
-        F.round(F.avg(F.when(F.col("structured_mode_used") == "json_schema", 0).otherwise(1)), 6).alias("fallback_rate"),
+        F.count("*").alias("n"), _six(F.coalesce(F.sum("cost"), F.lit(0.0))).alias("total_cost"), *[_six(F.avg(m)).alias(m) for m in metrics],
+        _six(F.avg(F.coalesce(F.col("schema_rejected"), F.lit(False)).cast("int"))).alias("schema_rejected_rate"),
+        _six(F.avg(F.when(F.col("structured_mode_used") == "json_schema", 0).otherwise(1))).alias("fallback_rate"),
     )
 
 
@@ -42,9 +48,9 @@ def rejection_table(df: DataFrame) -> DataFrame:
     kept = lambda c: F.avg(F.when(~rejected, F.col(c)))
     return in_groups(df).groupBy("model", "grp").agg(
         F.count("*").alias("n_done"), F.count_if(limit).alias("n_rej_ratelimit"), F.count_if(rejected & ~limit).alias("n_rej_schema"), F.count_if(~rejected).alias("n_accepted"),
-        F.round(F.avg("is_schema_compliant"), 6).alias("compliant_all"), F.round(F.avg("key_f1"), 6).alias("key_f1_all"),
-        F.round(kept("is_schema_compliant"), 6).alias("compliant_accepted"), F.round(kept("key_f1"), 6).alias("key_f1_accepted"),
-        F.round(F.coalesce(F.sum(F.when(~rejected, F.col("is_schema_compliant"))), F.lit(0.0)) / F.count("*"), 6).alias("e2e_strict_done"),
+        _six(F.avg("is_schema_compliant")).alias("compliant_all"), _six(F.avg("key_f1")).alias("key_f1_all"),
+        _six(kept("is_schema_compliant")).alias("compliant_accepted"), _six(kept("key_f1")).alias("key_f1_accepted"),
+        _six(F.coalesce(F.sum(F.when(~rejected, F.col("is_schema_compliant"))), F.lit(0.0)) / F.count("*")).alias("e2e_strict_done"),
     )
 
 
@@ -56,7 +62,7 @@ def rejection_causes(df: DataFrame, top: int = 20) -> DataFrame:
 def rejected_against_accepted(df: DataFrame) -> DataFrame:
     """Mean keys and depth of rejected and accepted calls, nulls left out."""
     return df.groupBy(F.coalesce("schema_rejected", F.lit(False)).alias("rejected")).agg(
-        F.count("*").alias("n"), F.round(F.avg("schema_keys"), 6).alias("mean_keys"), F.round(F.avg("schema_depth"), 6).alias("mean_depth")
+        F.count("*").alias("n"), _six(F.avg("schema_keys")).alias("mean_keys"), _six(F.avg("schema_depth")).alias("mean_depth")
     )
 
 
@@ -65,9 +71,9 @@ def coverage_sensitivity(reference: DataFrame, run: DataFrame) -> DataFrame:
     x = in_groups(reference.join(run.select("idx").distinct().withColumn("_c", F.lit(True)), "idx", "left"))
     over = lambda c: F.avg(F.when(F.col("_c"), F.col(c)))
     return x.groupBy("grp").agg(
-        F.count("*").alias("n_full"), F.count("_c").alias("n_covered"), F.round(F.avg("is_schema_compliant"), 6).alias("compliant_full"),
-        F.round(over("is_schema_compliant"), 6).alias("compliant_covered"), F.round(over("is_schema_compliant") - F.avg("is_schema_compliant"), 6).alias("compliant_delta"),
-        F.round(F.avg("key_f1"), 6).alias("key_f1_full"), F.round(over("key_f1"), 6).alias("key_f1_covered"), F.round(over("key_f1") - F.avg("key_f1"), 6).alias("key_f1_delta"),
+        F.count("*").alias("n_full"), F.count("_c").alias("n_covered"), _six(F.avg("is_schema_compliant")).alias("compliant_full"),
+        _six(over("is_schema_compliant")).alias("compliant_covered"), _six(over("is_schema_compliant") - F.avg("is_schema_compliant")).alias("compliant_delta"),
+        _six(F.avg("key_f1")).alias("key_f1_full"), _six(over("key_f1")).alias("key_f1_covered"), _six(over("key_f1") - F.avg("key_f1")).alias("key_f1_delta"),
     ).filter("n_covered > 0")
 
 
@@ -75,8 +81,8 @@ def validity_and_means(df: DataFrame) -> DataFrame:
     """Validity rates over all rows, metric means over valid and compliant ones only."""
     good = (F.col("is_valid_json") == 1) & (F.col("is_schema_compliant") == 1)
     return df.agg(
-        F.count("*").alias("n"), F.round(F.avg("is_valid_json"), 6).alias("valid_rate"), F.round(F.avg("is_schema_compliant"), 6).alias("compliant_rate"),
-        *[F.round(F.avg(F.when(good, F.col(m))), 6).alias(f"mean_{m}") for m in METRICS[2:]],
+        F.count("*").alias("n"), _six(F.avg("is_valid_json")).alias("valid_rate"), _six(F.avg("is_schema_compliant")).alias("compliant_rate"),
+        *[_six(F.avg(F.when(good, F.col(m)))).alias(f"mean_{m}") for m in METRICS[2:]],
     )
 
 
@@ -98,5 +104,5 @@ def against_gold(predictions: DataFrame, gold: DataFrame, key: str, measure: str
     """``n_gold, n_missing, mean_covered, mean_strict`` of a run against the gold keys; what is missing counts 0 in the last."""
     x = gold.select(key).distinct().join(predictions.select(key, F.col(measure).alias("_m")).dropDuplicates([key]), key, "left")
     return x.agg(
-        F.count("*").alias("n_gold"), F.count_if(F.col("_m").isNull()).alias("n_missing"), F.round(F.avg("_m"), 6).alias("mean_covered"), F.round(F.avg(F.coalesce("_m", F.lit(0.0))), 6).alias("mean_strict")
+        F.count("*").alias("n_gold"), F.count_if(F.col("_m").isNull()).alias("n_missing"), _six(F.avg("_m")).alias("mean_covered"), _six(F.avg(F.coalesce("_m", F.lit(0.0)))).alias("mean_strict")
     )

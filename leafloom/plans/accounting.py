@@ -27,7 +27,7 @@ def latest_record_wins(spark, d):
     return runs.last_wins(t, ["model", "idx"], ["cost"])
 
 
-@query("overlapping_group_means", _LAST + _GRP + "SELECT model, grp, count(*) AS n, round(coalesce(sum(cost), 0), 6) AS total_cost, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in runs.METRICS) + ", round(avg(coalesce(schema_rejected, false)::INT), 6) AS schema_rejected_rate, round(avg(CASE WHEN structured_mode_used = 'json_schema' THEN 0 ELSE 1 END), 6) AS fallback_rate FROM g GROUP BY 1, 2")
+@query("overlapping_group_means", _LAST + _GRP + "SELECT model, grp, count(*) AS n, round(coalesce(sum(cost), 0) + 1e-10, 6) AS total_cost, " + ", ".join(f"round(avg({m}) + 1e-10, 6) AS {m}" for m in runs.METRICS) + ", round(avg(coalesce(schema_rejected, false)::INT) + 1e-10, 6) AS schema_rejected_rate, round(avg(CASE WHEN structured_mode_used = 'json_schema' THEN 0 ELSE 1 END) + 1e-10, 6) AS fallback_rate FROM g GROUP BY 1, 2")
 def overlapping_group_means(spark, d):
     return runs.group_means(_results(spark, d))
 
@@ -35,7 +35,7 @@ def overlapping_group_means(spark, d):
 _RL = "(contains(lower(coalesce(api_error, '')), 'rate limit') OR contains(lower(coalesce(api_error, '')), 'try again later'))"
 
 
-@query("rejection_table", _LAST + _GRP + f", h AS (SELECT *, coalesce(schema_rejected, false) rej FROM g) SELECT model, grp, count(*) AS n_done, count(*) FILTER (WHERE rej AND {_RL}) AS n_rej_ratelimit, count(*) FILTER (WHERE rej AND NOT {_RL}) AS n_rej_schema, count(*) FILTER (WHERE NOT rej) AS n_accepted, round(avg(is_schema_compliant), 6) AS compliant_all, round(avg(key_f1), 6) AS key_f1_all, round(avg(is_schema_compliant) FILTER (WHERE NOT rej), 6) AS compliant_accepted, round(avg(key_f1) FILTER (WHERE NOT rej), 6) AS key_f1_accepted, round(coalesce(sum(is_schema_compliant) FILTER (WHERE NOT rej), 0) / count(*), 6) AS e2e_strict_done FROM h GROUP BY 1, 2".replace(_GRP + ",", _GRP.rstrip() + ","))
+@query("rejection_table", _LAST + _GRP + f", h AS (SELECT *, coalesce(schema_rejected, false) rej FROM g) SELECT model, grp, count(*) AS n_done, count(*) FILTER (WHERE rej AND {_RL}) AS n_rej_ratelimit, count(*) FILTER (WHERE rej AND NOT {_RL}) AS n_rej_schema, count(*) FILTER (WHERE NOT rej) AS n_accepted, round(avg(is_schema_compliant) + 1e-10, 6) AS compliant_all, round(avg(key_f1) + 1e-10, 6) AS key_f1_all, round(avg(is_schema_compliant) FILTER (WHERE NOT rej) + 1e-10, 6) AS compliant_accepted, round(avg(key_f1) FILTER (WHERE NOT rej) + 1e-10, 6) AS key_f1_accepted, round(coalesce(sum(is_schema_compliant) FILTER (WHERE NOT rej), 0) / count(*) + 1e-10, 6) AS e2e_strict_done FROM h GROUP BY 1, 2".replace(_GRP + ",", _GRP.rstrip() + ","))
 def rejection_table(spark, d):
     return runs.rejection_table(_results(spark, d))
 
@@ -48,7 +48,7 @@ def rejection_causes(spark, d):
     return runs.rejection_causes(_results(spark, d))
 
 
-@query("rejected_against_accepted", _LAST + "SELECT coalesce(schema_rejected, false) AS rejected, count(*) AS n, round(avg(schema_keys), 6) AS mean_keys, round(avg(schema_depth), 6) AS mean_depth FROM m GROUP BY 1")
+@query("rejected_against_accepted", _LAST + "SELECT coalesce(schema_rejected, false) AS rejected, count(*) AS n, round(avg(schema_keys) + 1e-10, 6) AS mean_keys, round(avg(schema_depth) + 1e-10, 6) AS mean_depth FROM m GROUP BY 1")
 def rejected_against_accepted(spark, d):
     return runs.rejected_against_accepted(_results(spark, d))
 
@@ -56,14 +56,14 @@ def rejected_against_accepted(spark, d):
 _ENDS = ", lo AS (SELECT * FROM m WHERE model = (SELECT min(model) FROM m)), hi AS (SELECT DISTINCT idx FROM m WHERE model = (SELECT max(model) FROM m))"
 
 
-@query("coverage_sensitivity", _LAST + _ENDS + ", m2 AS (SELECT lo.*, hi.idx IS NOT NULL c FROM lo LEFT JOIN hi USING (idx)), g AS (SELECT 'overall' grp, * FROM m2 UNION ALL SELECT complexity_bucket, * FROM m2 WHERE complexity_bucket IS NOT NULL UNION ALL SELECT 'depth>=7', * FROM m2 WHERE schema_depth >= 7 UNION ALL SELECT 'keys>=200', * FROM m2 WHERE schema_keys >= 200) SELECT grp, count(*) AS n_full, count(*) FILTER (WHERE c) AS n_covered, round(avg(is_schema_compliant), 6) AS compliant_full, round(avg(is_schema_compliant) FILTER (WHERE c), 6) AS compliant_covered, round(avg(is_schema_compliant) FILTER (WHERE c) - avg(is_schema_compliant), 6) AS compliant_delta, round(avg(key_f1), 6) AS key_f1_full, round(avg(key_f1) FILTER (WHERE c), 6) AS key_f1_covered, round(avg(key_f1) FILTER (WHERE c) - avg(key_f1), 6) AS key_f1_delta FROM g GROUP BY 1 HAVING count(*) FILTER (WHERE c) > 0")
+@query("coverage_sensitivity", _LAST + _ENDS + ", m2 AS (SELECT lo.*, hi.idx IS NOT NULL c FROM lo LEFT JOIN hi USING (idx)), g AS (SELECT 'overall' grp, * FROM m2 UNION ALL SELECT complexity_bucket, * FROM m2 WHERE complexity_bucket IS NOT NULL UNION ALL SELECT 'depth>=7', * FROM m2 WHERE schema_depth >= 7 UNION ALL SELECT 'keys>=200', * FROM m2 WHERE schema_keys >= 200) SELECT grp, count(*) AS n_full, count(*) FILTER (WHERE c) AS n_covered, round(avg(is_schema_compliant) + 1e-10, 6) AS compliant_full, round(avg(is_schema_compliant) FILTER (WHERE c) + 1e-10, 6) AS compliant_covered, round(avg(is_schema_compliant) FILTER (WHERE c) - avg(is_schema_compliant) + 1e-10, 6) AS compliant_delta, round(avg(key_f1) + 1e-10, 6) AS key_f1_full, round(avg(key_f1) FILTER (WHERE c) + 1e-10, 6) AS key_f1_covered, round(avg(key_f1) FILTER (WHERE c) - avg(key_f1) + 1e-10, 6) AS key_f1_delta FROM g GROUP BY 1 HAVING count(*) FILTER (WHERE c) > 0")
 def coverage_sensitivity(spark, d):
     m = _results(spark, d)
     first, last = m.agg(F.min("model")).scalar(), m.agg(F.max("model")).scalar()
     return runs.coverage_sensitivity(m.filter(F.col("model") == first), m.filter(F.col("model") == last))
 
 
-@query("validity_and_means", _LAST + "SELECT count(*) AS n, round(avg(is_valid_json), 6) AS valid_rate, round(avg(is_schema_compliant), 6) AS compliant_rate, " + ", ".join(f"round(avg({x}) FILTER (WHERE is_valid_json = 1 AND is_schema_compliant = 1), 6) AS mean_{x}" for x in runs.METRICS[2:]) + " FROM m")
+@query("validity_and_means", _LAST + "SELECT count(*) AS n, round(avg(is_valid_json) + 1e-10, 6) AS valid_rate, round(avg(is_schema_compliant) + 1e-10, 6) AS compliant_rate, " + ", ".join(f"round(avg({x}) FILTER (WHERE is_valid_json = 1 AND is_schema_compliant = 1) + 1e-10, 6) AS mean_{x}" for x in runs.METRICS[2:]) + " FROM m")
 def validity_and_means(spark, d):
     return runs.validity_and_means(_results(spark, d))
 

@@ -101,8 +101,8 @@ def top_languages(spark, d):
 
 
 @query("model_performance", _raw("llm_model", "response_is_valid", "execution_time") + (
-    "SELECT llm_model, count(response_is_valid) AS total_count, sum(response_is_valid::INT)::BIGINT AS valid_count, round(avg(response_is_valid::INT), 3) AS valid_rate, round(avg(execution_time), 3) AS mean_seconds, "
-    "round(quantile_cont(execution_time, 0.5), 3) AS median_seconds, round(stddev_samp(execution_time), 3) AS std_seconds FROM r WHERE llm_model IS NOT NULL GROUP BY 1 HAVING count(response_is_valid) >= 100"))
+    "SELECT llm_model, count(response_is_valid) AS total_count, sum(response_is_valid::INT)::BIGINT AS valid_count, round(avg(response_is_valid::INT), 3) AS valid_rate, round(avg(execution_time) + 1e-10, 3) AS mean_seconds, "
+    "round(quantile_cont(execution_time, 0.5) + 1e-10, 3) AS median_seconds, round(stddev_samp(execution_time), 3) AS std_seconds FROM r WHERE llm_model IS NOT NULL GROUP BY 1 HAVING count(response_is_valid) >= 100"))
 def model_performance(spark, d):
     return stats.group_performance(raw(spark, d, "llm_model", "response_is_valid", "execution_time"), "llm_model", "response_is_valid", "execution_time")
 
