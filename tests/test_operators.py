@@ -223,3 +223,21 @@ def test_gold_and_judge_helpers(spark, rows):
     p = spark.range(1).select(judging.judge_prompt("S {schema} C {content} L {leaves}", F.lit("{content}"), F.lit("%c"), F.lit("x")).alias("p")).first().p
     assert p == "S {content} C %c L x"
     assert [x[0] for x in texts.select(T.long_page(F.col("t"), 2)).collect()] == [True, False, False]
+
+
+def test_found_objects_are_those_of_the_tables(spark, monkeypatch):
+    docs = {
+        "1": {"b.c": 1, "b": {"c": 2, "d": {"p": [{"q": 1}, {"q": {"p": {}}}]}}, "k\\": {"m": {"y": "\ud83d"}}, "": {"": {"": 3}}},
+        "2": [{"a": {"b": 1}}, [{"a": {"b": 2}}], 3], "3": {"x[0]": {"v": 1}, "x": [{"v": 2}], "x[]": {"v": {"w": 3}}}, "4": {},
+    }
+    rec = spark.createDataFrame([(kind, k, json.dumps(d)) for kind in ("response", "schema") for k, d in docs.items()], "rec_kind string, rec_key string, text string")
+    want = sorted((kind, k, p, q) for kind in ("response", "schema") for k, d in docs.items() for p, q, *_ in nested.walk_objects(d))
+    seen = []
+    for name in ("shared_inlining", "relational_rows"):
+        monkeypatch.setattr(nested, name, lambda *x, f=getattr(nested, name), name=name: (seen.append(name), f(*x))[1])
+    assert sorted(map(tuple, nested.node_rows(rec).collect())) == want and seen == ["shared_inlining", "relational_rows"]
+    objects = nested.parsed_objects(rec)
+    tables = nested.relational_rows(objects, nested.shared_inlining(objects)).collect()
+    assert sorted((r.rec_kind, r.rec_key, *n) for r in tables for n in r.objects) == want
+    top = next(r for r in tables if (r.rec_kind, r.rec_key, r.row_path) == ("response", "1", "$"))
+    assert top.columns["b\\.c"] == "1" and top.columns["b.c"] == "2" and top.columns["k\\\\.m.y"] == "\ufffd"
