@@ -1,13 +1,16 @@
 """Problem 7: records that stand, exactly or nearly, both in an evaluation split and in the training split.
 
-Word shingles of every content get a min-wise signature; bands of it are buckets, joined only across splits and only
-within one schema (as a JSON value). Candidates are verified by their exact Jaccard similarity and by the number of
-words that agree in order. Copies with equal words are one class until the very end: bands, candidates and
-verification see one representative per class and split side, so a group of copies costs no more than one row.
+Candidates come from an exact prefix-filter join. The words of a text, numbered where they repeat, are a set; texts that
+agree in ``least`` of the longer one's words share as many members. Of sets of n members, sorted by one order of all
+words, the first n - least * n + k then share k members; with the rarest words first these are few. The prefixes are
+joined only across splits and only within one schema (as a JSON value), and no pair can be missed. Candidates are
+verified by the number of words that agree in order; their exact Jaccard similarity is given too. Copies with equal
+words are one class until the very end, so a group of copies costs no more than one row per split side.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -21,8 +24,9 @@ from leafloom.functions.jsontext import NOTHING, canonical, find_value
 from leafloom.llm.words import words_of
 from leafloom.session import cut_lineage
 
-_PRIME = np.uint64((1 << 61) - 1)
-_SIG = "ft_id bigint, split string, source string, side string, schema_key bigint, class bigint, words binary, bands array<bigint>"
+_SIG = "ft_id bigint, split string, source string, side string, schema_key bigint, class bigint, words binary"
+_COMMON = 100_000  # words whose frequency orders the prefixes; any order is right, rare words first is cheap
+_MORE = 8  # a prefix is longer by one word in so many, and as many more words must be shared
 
 
 def _signed(x: int) -> int:
@@ -42,24 +46,27 @@ def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-class MinHash:
-    """Bands of a min-wise signature, the same in every process."""
+def members(ids: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words with their number among equal ones: a set that overlaps as the texts' words do."""
+    ids = np.sort(ids)
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    nth = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
+    with np.errstate(over="ignore"):
+        h = (ids.astype(np.uint64) + (nth.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        return h ^ (h >> np.uint64(32))
+
+
+def prefix(ids: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
+    """The rarest members of a text, enough for ``shared_at_least`` of them to be shared with every partner."""
+    m, n = members(ids), len(ids)
+    at = np.minimum(np.searchsorted(common, m), max(0, len(common) - 1))
+    often = np.where(common[at] == m, counts[at], 0) if len(common) else np.zeros(n, np.int64)
+    return m[np.lexsort((m, often))[: n - max(1, math.ceil(least * n - 1e-9)) + shared_at_least(n, least)]]
 
-    def __init__(self, bands: int, rows: int, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        self.a = rng.integers(1, 1 << 62, bands * rows, np.uint64) | np.uint64(1)
-        self.b = rng.integers(0, 1 << 62, bands * rows, np.uint64)
-        self.bands, self.rows = bands, rows
 
-    def __call__(self, shingles: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            x = shingles[None, :] * self.a[:, None] + self.b[:, None]
-            low = (x ^ (x >> np.uint64(31))).min(axis=1).reshape(self.bands, self.rows)
-            h = np.arange(self.bands, dtype=np.uint64)
-            for j in range(self.rows):
-                h = (h ^ low[:, j]) * np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(27)
-        return h.view(np.int64)
+def shared_at_least(n: int, least: float) -> int:
+    return min(1 + n // _MORE, max(1, math.ceil(least * n - 1e-9)))
 
 
 def agree_in_order(a: np.ndarray, b: np.ndarray) -> int:
@@ -78,12 +85,12 @@ def agree_in_order(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> DataFrame:
-    hasher = MinHash(bands, per_band)
+def _word_rows(rows: DataFrame) -> DataFrame:
+    """Each record with its words as numbers and the hash of its schema and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number: dict[str, int] = {}
-        keys: dict[str, int | None] = {}
+        keys: dict[str, int] = {}
         for b in batches:
             out: list[tuple] = []
             for ft_id, split, source, side, schema, content in zip(*(c.to_pylist() for c in b.columns)):
@@ -91,7 +98,7 @@ def _signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> Dat
                     if len(keys) > 20_000:
                         keys.clear()
                     v = find_value(schema, container=False)
-                    keys[schema] = _signed(xxhash.xxh3_64_intdigest(re.sub(r"\s+", " ", schema.strip()) if v is NOTHING else canonical(v)))
+                    keys[schema] = xxhash.xxh3_64_intdigest(re.sub(r"\s+", " ", schema.strip()) if v is NOTHING else canonical(v))
                 if len(number) > 1_000_000:
                     number.clear()
                 words = words_of(content)
@@ -99,37 +106,75 @@ def _signatures(rows: DataFrame, shingle: int, bands: int, per_band: int) -> Dat
                 if not len(ids):
                     continue
                 raw = ids.tobytes()
-                out.append((ft_id, split, source, side, keys[schema], _signed(xxhash.xxh3_64_intdigest(raw)), raw, hasher(shingle_hashes(ids, shingle))))
-            cols = list(zip(*out)) or [()] * 8
+                out.append((ft_id, split, source, side, _signed(keys[schema]), _signed(xxhash.xxh3_64_intdigest(raw, keys[schema])), raw))
+            cols = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))],
-                names=["ft_id", "split", "source", "side", "schema_key", "class", "words", "bands"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()))],
+                names=["ft_id", "split", "source", "side", "schema_key", "class", "words"],
             )
 
     return rows.mapInArrow(run, _SIG)
 
 
+def _common_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``_COMMON`` members that stand in most texts, sorted, with the number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            each = [members(np.frombuffer(w, np.uint32)) for w in b.column(0).to_pylist()]
+            m, n = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
+            twice = n > 1
+            yield pa.RecordBatch.from_arrays([pa.array(m[twice].view(np.int64)), pa.array(n[twice], pa.int64())], names=["member", "n"])
+
+    top = (
+        texts.select("words").mapInArrow(run, "member bigint, n bigint").groupBy("member").agg(F.sum("n").alias("n"))
+        .orderBy(F.desc("n"), "member").limit(_COMMON).toArrow()
+    )
+    m, n = top["member"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    order = np.argsort(m)
+    return m[order], n[order]
+
+
+def _prefixes(texts: DataFrame, least: float) -> DataFrame:
+    """``class, in_train, in_eval, n, member``: one row per text and word of its prefix, hashed with the schema."""
+    handed = texts.sparkSession.sparkContext.broadcast(_common_words(texts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, counts = handed.value
+        for b in batches:
+            ids = [np.frombuffer(w, np.uint32) for w in b.column(4).to_pylist()]
+            found = [(prefix(i, common, counts, least) ^ k).view(np.int64) for i, k in zip(ids, b.column(3).to_numpy().view(np.uint64))]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], pa.array([len(i) for i in ids], pa.int32()), pa.array(found, pa.list_(pa.int64()))],
+                names=["class", "in_train", "in_eval", "n", "members"],
+            )
+
+    out = texts.select("class", "in_train", "in_eval", "schema_key", "words").mapInArrow(
+        run, "class bigint, in_train boolean, in_eval boolean, n int, members array<bigint>"
+    )
+    return out.select("class", "in_train", "in_eval", "n", F.explode("members").alias("member"))
+
+
 def _verify(shingle: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            key, ta, tb = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            wa, wb = b.column(3).to_pylist(), b.column(4).to_pylist()
+            ta, tb, wa, wb = (c.to_pylist() for c in b.columns)
             keep: list[tuple] = []
-            for k, x, y, p, q in zip(key, ta, tb, wa, wb):
+            for x, y, p, q in zip(ta, tb, wa, wb):
                 a, c = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
                 longer = max(len(a), len(c))
-                if min(len(a), len(c)) < least * longer:
+                if min(len(a), len(c)) < least * longer or x != y and len(np.intersect1d(members(a), members(c), assume_unique=True)) < least * longer:
                     continue
                 agree = longer if x == y else agree_in_order(a, c)
                 if agree < least * longer:
                     continue
                 s, t = shingle_hashes(a, shingle), shingle_hashes(c, shingle)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append((k, x, y, agree / longer, both / (len(s) + len(t) - both)))
-            cols = list(zip(*keep)) or [()] * 5
+                keep.append((x, y, agree / longer, both / (len(s) + len(t) - both)))
+            cols = list(zip(*keep)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
-                names=["schema_key", "train_class", "eval_class", "agree", "jaccard"],
+                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))],
+                names=["train_class", "eval_class", "agree", "jaccard"],
             )
 
     return run
@@ -137,13 +182,13 @@ def _verify(shingle: int, least: float):
 
 def cross_split_pairs(
     records: DataFrame, train: str = "train", evaluation: tuple[str, ...] = ("test", "human_eval"), least: float = 0.75,
-    shingle: int = 3, bands: int = 48, per_band: int = 3,
+    shingle: int = 3,
 ) -> DataFrame:
     """``ft_id_a, ft_id_b`` (smaller first), ``eval_split, source, agree, jaccard``: all confirmed pairs.
 
     A pair has one record of ``train`` and one of ``evaluation`` with the same schema as a JSON value, and at least
     ``least`` of the words of the longer content agree in order. ``jaccard`` is the exact similarity of the shingle
-    sets; shingles of three words (not five) keep the search wide enough for a quarter of the words to differ.
+    sets. The search is exact: no pair depends on chance.
     Null split, schema or content and contents without words give no pair; repeated ids count once; extra columns are
     ignored; ``source`` is the evaluation record's.
     """
@@ -152,25 +197,30 @@ def cross_split_pairs(
         records.select("ft_id", "split", "source", side.alias("side"), "schema", "content")
         .filter("ft_id is not null and side is not null and schema is not null and content is not null")
     )
-    sig = cut_lineage(_signatures(rows, shingle, bands, per_band))
-    once = sig.select("schema_key", "class", "side", "bands").dropDuplicates(["schema_key", "class", "side"])
-    classes = once.select("schema_key", "class", "side", F.explode("bands").alias("band"))
+    sig = cut_lineage(_word_rows(rows))
+    texts = sig.groupBy("class").agg(
+        F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval"),
+        F.first("schema_key").alias("schema_key"), F.first("words").alias("words"),
+    )
+    p = _prefixes(texts, least)
+    t = p.filter("in_train").select("member", F.col("class").alias("train_class"), F.col("n").alias("tn"))
+    e = p.filter("in_eval").select("member", F.col("class").alias("eval_class"), F.col("n").alias("en"))
+    near = F.least("tn", "en") >= least * F.greatest("tn", "en") - 1e-6
     cand = (
-        classes.filter("side = 'train'").select("schema_key", "band", F.col("class").alias("train_class"))
-        .join(classes.filter("side = 'eval'").select("schema_key", "band", F.col("class").alias("eval_class")), ["schema_key", "band"])
-        .select("schema_key", "train_class", "eval_class").dropDuplicates()
+        t.join(e, "member").filter(near)
+        .groupBy("train_class", "eval_class").agg(F.count("*").alias("n"), F.first(F.least("tn", "en")).alias("shorter"))
+        .filter(F.col("n") >= F.least(F.expr(f"1 + shorter div {_MORE}"), F.greatest(F.lit(1), F.ceil(least * F.col("shorter") - 1e-9)))).select("train_class", "eval_class")
     )
-    words = sig.select("schema_key", "class", "words").dropDuplicates(["schema_key", "class"])
     pairs = (
-        cand.join(words.select("schema_key", F.col("class").alias("train_class"), F.col("words").alias("tw")), ["schema_key", "train_class"])
-        .join(words.select("schema_key", F.col("class").alias("eval_class"), F.col("words").alias("ew")), ["schema_key", "eval_class"])
-        .select("schema_key", "train_class", "eval_class", "tw", "ew")
+        cand.join(texts.select("schema_key", F.col("class").alias("train_class"), F.col("words").alias("tw")), "train_class")
+        .join(texts.select("schema_key", F.col("class").alias("eval_class"), F.col("words").alias("ew")), ["schema_key", "eval_class"])
+        .select("train_class", "eval_class", "tw", "ew")
     )
-    sure = pairs.mapInArrow(_verify(shingle, least), "schema_key bigint, train_class bigint, eval_class bigint, agree double, jaccard double")
-    t = sig.filter("side = 'train'").select("schema_key", F.col("class").alias("train_class"), F.col("ft_id").alias("t_id"))
-    e = sig.filter("side = 'eval'").select("schema_key", F.col("class").alias("eval_class"), F.col("ft_id").alias("e_id"), F.col("split").alias("eval_split"), "source")
+    sure = pairs.mapInArrow(_verify(shingle, least), "train_class bigint, eval_class bigint, agree double, jaccard double")
+    t = sig.filter("side = 'train'").select(F.col("class").alias("train_class"), F.col("ft_id").alias("t_id"))
+    e = sig.filter("side = 'eval'").select(F.col("class").alias("eval_class"), F.col("ft_id").alias("e_id"), F.col("split").alias("eval_split"), "source")
     return (
-        sure.join(t, ["schema_key", "train_class"]).join(e, ["schema_key", "eval_class"])
+        sure.join(t, "train_class").join(e, "eval_class")
         .select(F.least("t_id", "e_id").alias("ft_id_a"), F.greatest("t_id", "e_id").alias("ft_id_b"), "eval_split", "source", "agree", "jaccard")
         .dropDuplicates(["ft_id_a", "ft_id_b"])
     )

@@ -99,3 +99,19 @@ def test_wu_manber_against_direct_search(items, doc):
     n = leaks._WINDOW
     want = sorted((k, i, p) for k, i, w in patterns for p in range(len(doc) - n + 1) if tuple(doc[p : p + n]) == w)
     assert sorted(t.hits(doc)) == want
+
+
+def test_every_fourth_word_replaced_is_found(spark):
+    r = random.Random(5)
+    records = []
+    for i in range(150):
+        base = [f"w{r.randint(0, 3000)}" for _ in range(r.choice([40, 100, 203]))]
+        out = range(3, len(base), 4) if i % 3 else r.sample(range(len(base)), len(base) // 4)
+        edit = [f"x{i}y{j}" if j in set(out) else w for j, w in enumerate(base)]
+        if i % 5 == 0:
+            edit = base[: -(-3 * len(base) // 4)]
+        records += [(i, "train", '{"a": 1}', " ".join(base)), (1000 + i, "test", '{"a":1}', " ".join(edit)), (2000 + i, "test", '{"b":1}', " ".join(base))]
+    records += [(3000, "train", '{"a": 1}', "one"), (3001, "test", '{"a": 1}', "one two"), (3002, "test", '{"a": 1}', "ONE")]
+    df = spark.createDataFrame(records, "ft_id bigint, split string, schema string, content string").withColumn("source", F.lit("s"))
+    got = {(x.ft_id_a, x.ft_id_b) for x in overlap.cross_split_pairs(df).collect()}
+    assert got == brute(records) and got >= {(i, 1000 + i) for i in range(150)} | {(3000, 3002)}
