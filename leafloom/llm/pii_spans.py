@@ -80,6 +80,9 @@ _CUE_OF = {w: label for label, ws in CUES.items() for w in ws.split()}
 _LEFT = re.compile(r"([^\W\d_][\w°º.-]*|n[°º])[^\w\n]{0,3}$", re.I)
 _NO_NAMES, _PLACES, _GIVEN, _PARTICLES = map(frozenset, (NO_NAMES, PLACES, GIVEN, PARTICLES.split()))
 _IMAGE = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js)$", re.I)
+_KEY = re.compile(r'\\?"([A-Za-z_ ]{1,30})\\?"\s*:\s*\[?\s*\\?"$')
+_PERSON_KEYS = frozenset("person author autor auteur autore contact contacto kontakt speaker editor byline writer reporter owner employee customer".split())
+_ENDS = re.compile(r"\s*(?:$|[·|,;:–—()\"<\n\\*\d]|\.(?:\s|$)|- )|\n")
 _UNESCAPE = re.compile(r"\\+u([0-9a-fA-F]{4})")
 
 Span = tuple[int, int, str, tuple[str, ...]]
@@ -116,8 +119,7 @@ def person_spans(text: str, start: int = 0, stop: int | None = None) -> list[Spa
     out: list[Span] = []
     for run in _RUN.finditer(text, start, len(text) if stop is None else stop):
         tokens = [(m.start(), m.end(), _kind(m.group())) for m in _TOKEN.finditer(text, run.start(), run.end())]
-        if not any(k in ("surname", "given") for _, _, k in tokens):
-            continue
+        listed = any(k in ("surname", "given") for _, _, k in tokens)
         n = len(tokens)
         commas = [text[tokens[i][1] : tokens[i + 1][0]] == ", " for i in range(n - 1)]
         for i in range(n):
@@ -131,6 +133,10 @@ def person_spans(text: str, start: int = 0, stop: int | None = None) -> list[Spa
                 if kinds[0] == "particle" and not any(inner):
                     continue
                 start, end = tokens[i][0], tokens[j][1]
+                if not listed:
+                    if kinds[-1] not in ("particle", "initial") or any(inner):
+                        out.append((start, end, "private_person", _plain(text, start, end, kinds, inner, i == 0 and j == n - 1)))
+                    continue
                 feats = ["person", f"person_left={left_cue(text, start)}"]
                 if any(inner):
                     c = inner.index(True)
@@ -149,6 +155,33 @@ def person_spans(text: str, start: int = 0, stop: int | None = None) -> list[Spa
     return out
 
 
+def _plain(text: str, start: int, end: int, kinds: list[str], inner: list[bool], whole: bool) -> tuple[str, ...]:
+    """Features of a segment of a run in which no word is in a list of names or ends as one."""
+    key = _KEY.search(text, max(0, start - 40), start)
+    cue = left_cue(text, start)
+    if key:
+        last = re.split(r"[_ ]|(?<=[a-z])(?=[A-Z])", key.group(1))[-1].casefold()
+        left = "key_person" if last in _PERSON_KEYS else "key_name" if last == "name" else "key"
+    elif text[start - 1 : start] == "\n" or "|" in text[max(0, start - 3) : start]:  # a word of the line or cell before is no cue
+        left = "start"
+    elif cue == "private_person":
+        m = _LEFT.search(text, max(0, start - 24), start)
+        left = "byline" if ":" in text[m.end(1) : start] or m.group(1)[0].isupper() and not text[: m.start()].rstrip(" *_#>|-\t")[-1:].isalnum() else "cue"
+    else:
+        left = cue
+    feats = ["plain", f"plain_left={left}", "plain_form=" + (_shape(kinds) if not any(inner) else "comma"), "plain_whole" if whole else "plain_part"]
+    if not _ENDS.match(text, end):
+        feats.append("plain_runs_on")
+    words = [w.casefold() for w in re.findall(r"\w{3,}", text[start:end])]
+    if left != "none" and any(re.search(rf"\b{w}\b", text) for w in words):
+        feats.append("plain_common")
+    if "place" in kinds:
+        feats.append("plain_place")
+    if text[start:end].isupper():
+        feats.append("plain_upper")
+    return tuple(feats)
+
+
 def _shape(kinds: list[str]) -> str:
     """Which kinds a part of a name is made of: G given, g given-like, I initial, p particle, S surname, w other."""
     code = {"given": "G", "givenlike": "g", "initial": "I", "particle": "p", "surname": "S", "place": "P", "word": "w"}
@@ -163,18 +196,12 @@ straße strasse weg allee gasse platz pfad ring ufer damm steig Am An Im Zum Zur
 rue impasse chemin avenue place boulevard quai cours passage route ruelle sentier
 Calle Avenida Plaza Paseo Camino Ronda Rua Travessa Praça Largo Estrada Via Viale Vicolo Piazza Corso Strada
 """.split()
-_REACH = 110  # characters that a name or address may spread from the word that gives it away
+_REACH = 110  # characters that an address may spread from the word that gives it away
 
 
 def _gate() -> ahocorasick.Automaton:
-    """Words that give away a name (a given name, the end of a surname) or an address, in one automaton."""
+    """Words that give away an address, in one automaton."""
     a = ahocorasick.Automaton()
-    for w in GIVEN:
-        for x in (w.title(), w.upper()):
-            a.add_word(x, ("P", len(x), True))
-    for w in SURNAME_ENDS:
-        for x in (w, w.upper()):
-            a.add_word(x, ("P", len(x), False))
     for w in STREET_WORDS:
         a.add_word(w, ("A", len(w), w[0].isupper()))
     a.make_automaton()
@@ -186,8 +213,8 @@ _NUMBER = re.compile(r"[+(]?(?:[A-Z]{1,6})?\d[\dA-Z ().\-/]{5,}[\dA-Z]")
 
 
 def _windows(text: str) -> dict[str, list[list[int]]]:
-    """Stretches of the text in which names, addresses and numbers can lie."""
-    out: dict[str, list[list[int]]] = {"P": [], "A": [], "N": []}
+    """Stretches of the text in which addresses and numbers can lie."""
+    out: dict[str, list[list[int]]] = {"A": [], "N": []}
     n = len(text)
     for end, (tag, size, whole) in _GATE.iter(text):
         end += 1
@@ -227,6 +254,5 @@ def candidates(text: str) -> list[Span]:
                 if label == "private_address":
                     feats.append("postcode" if re.search(r"\d{4,6}", m.group()) else "no_postcode")
                 out.add((start, end, label, tuple(feats)))
-    for lo, hi in where["P"]:
-        out.update(person_spans(text, lo, hi))
+    out.update(person_spans(text))
     return list(out)

@@ -111,6 +111,42 @@ def sentence(r: random.Random) -> str:
     ))()
 
 
+_SYLLABLES = "ja ko wal ski du pont smi th ga ru mi ya ota ro be nak ash pri kum li wei cho hen ri que sa ba tos pe rez fi li po mü ller schu ber kov ack".split()
+_HEADS = "Annual Harbour Quarterly Garden Service Customer Support Report Review Editorial Office Press Team Summer Winter Festival Guide Market Museum Library Music Travel Science Programme Notes Update News Collection Overview Board Council".split()
+
+
+def _word(r: random.Random) -> str:
+    while True:
+        w = "".join(r.choice(_SYLLABLES) for _ in range(r.choice((2, 2, 3)))).title()
+        if S._kind(w) in ("word", "givenlike"):
+            return w
+
+
+def plain_name(r: random.Random) -> str:
+    """A name of which no word is in a list or ends as a listed one does."""
+    x, g, f = r.random(), _word(r), _word(r)
+    return f"{g} {r.choice('ABCDEFGHJKLMNPRST')}. {f}" if x < 0.15 else f"{g[0]}. {f}" if x < 0.25 else f"{g} {_word(r)} {f}" if x < 0.3 else f"{g} {f}"
+
+
+def plain_sentence(r: random.Random) -> str:
+    """As ``sentence``, with names outside the lists, and with headings, titles and firms that are no names."""
+    p = lambda: f"<private_person|{plain_name(r)}|>"
+    h = lambda: " ".join(r.sample(_HEADS, r.choice((2, 2, 3))))
+    w = lambda: r.choice(_WORDS)
+    x = lambda: r.choice((h, h, lambda: plain_name(r)))()  # noqa: E731, may look like a name where none is meant
+    return r.choice((
+        lambda: f"{r.choice(('By', 'Von', 'Par', 'Por', 'Di'))} {p()} · 2025-0{r.randrange(1, 9)}-11",
+        lambda: f"{r.choice(('Contact', 'Contato', 'Kontakt', 'Author'))}: {p()}, {r.choice(('phone', 'tel.'))} <private_phone|{_d(r, r.choice(_PHONES))}|>",
+        lambda: f'"{r.choice(("author", "person", "contact", "speaker"))}": "{p()}", "{r.choice(("title", "company", "venue", "headline"))}": "{x()}"',
+        lambda: f'"name": "{x()}", "title": "{x()}"',
+        lambda: f"# {h()}\n\nThe {w()} of {x()} shows the {w()} by {x()} and the {r.choice(_HEADS).lower()}.",
+        lambda: f"{h()} | {h()} | {x()}",
+        lambda: f"Contact: {(t := r.sample(_HEADS, 2))[0]} {t[1]}. The {t[0].lower()} is open.",
+        lambda: f"In {x()} wird der Text von {x()} gezeigt.",
+        lambda: f"{x()}",
+    ))()
+
+
 def parse(marked: str) -> tuple[str, set[tuple[int, int, str]]]:
     text, gold, at = "", set(), 0
     for m in _MARK.finditer(marked):
@@ -160,7 +196,7 @@ def gradient(spans: list[S.Span], gold: set[tuple[int, int, str]], weights: dict
 def train(n: int = 6000, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4, seed: int = 5) -> dict[str, float]:
     r = random.Random(seed)
     data = [parse(sentence(r)) for _ in range(n)]
-    lattice = [(S.candidates(t), g) for t, g in data]
+    lattice = [([s for s in S.candidates(t) if "plain" not in s[3]], g) for t, g in data]
     weights: dict[str, float] = defaultdict(float)
     for epoch in range(epochs):
         total = 0.0
@@ -176,8 +212,24 @@ def train(n: int = 6000, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4,
     return dict(weights)
 
 
+def train_plain(weights: dict[str, float], n: int = 3000, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4, seed: int = 6) -> dict[str, float]:
+    """Weights of the features of names outside the lists; those of ``weights`` stay."""
+    r = random.Random(seed)
+    data = [parse(plain_sentence(r) if i % 2 else sentence(r)) for i in range(n)]
+    lattice = [(S.candidates(t), g) for t, g in data]
+    w: dict[str, float] = defaultdict(float, weights)
+    for epoch in range(epochs):
+        for spans, gold in lattice:
+            if spans:
+                for f, v in gradient(spans, gold, w)[1].items():
+                    if f.startswith("plain"):
+                        w[f] += rate / (1 + epoch) * (v - l2 * w[f])
+        r.shuffle(lattice)
+    return dict(w)
+
+
 def main() -> None:
-    w = train()
+    w = train_plain(train())
     lines = ['"""Fixed values: weights of the span model, as trained by ``pii_train``."""', "", "WEIGHTS = {"]
     lines += [f'    "{k}": {v:.2f},' for k, v in sorted(w.items()) if abs(v) >= 0.05 and (v > 0 or v < S_UNSEEN or not k.startswith("form="))]
     Path(__file__).with_name("pii_weights.py").write_text("\n".join([*lines, "}", ""]))

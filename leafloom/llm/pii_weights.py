@@ -40,6 +40,37 @@ WEIGHTS = {
     "person_left=none": -0.30,
     "person_left=private_person": 1.65,
     "person_left=start": 1.46,
+    "plain": -1.29,
+    "plain_common": -9.28,
+    "plain_form=Ig": 0.09,
+    "plain_form=Iw": 0.17,
+    "plain_form=comma": -0.31,
+    "plain_form=gIg": 0.13,
+    "plain_form=gIw": 0.32,
+    "plain_form=gg": -0.09,
+    "plain_form=ggw": 0.17,
+    "plain_form=w*w": -0.13,
+    "plain_form=wIg": 0.17,
+    "plain_form=wIw": 0.46,
+    "plain_form=wg": -0.20,
+    "plain_form=wgg": 0.13,
+    "plain_form=wpP": -0.07,
+    "plain_form=wpw": -0.16,
+    "plain_form=ww": -1.05,
+    "plain_form=wwg": 0.16,
+    "plain_form=www": -1.06,
+    "plain_left=byline": 7.63,
+    "plain_left=cue": -1.39,
+    "plain_left=key": -3.69,
+    "plain_left=key_name": -3.08,
+    "plain_left=key_person": 8.24,
+    "plain_left=none": -4.66,
+    "plain_left=start": -3.95,
+    "plain_part": -0.33,
+    "plain_place": -0.24,
+    "plain_runs_on": -4.18,
+    "plain_upper": -1.09,
+    "plain_whole": -1.05,
     "postcode": 3.52,
     "private_address:french": 0.80,
     "private_address:number_first": 2.25,
