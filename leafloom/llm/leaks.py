@@ -5,8 +5,11 @@ how far the next possible pattern end is; where the shift is 0, the suffix bucke
 direct comparison confirms them. From every confirmed window the passage is extended to both sides, across single
 replaced, missing or additional words, and its length is compared with the item's.
 
-Of each run of neighbouring windows only the rarest is a pattern, so phrases that many items share cost nothing; a
-passage with ``_NEAR + _WINDOW - 1`` words in a row untouched is certain to be met. The items are a stated, bounded set:
+A passage of s words of which a fifth is replaced has a run of four untouched words where s is 20 or more, of three where
+it is 6 or more or no word is replaced. So windows have three words; in items of ``_LONG`` words or more, half of which
+are 20, the rarer of two neighbours is a pattern, in shorter ones each is. Five words with the middle one replaced, half
+of an item of nine or ten, are met by two and two. With that every passage with enough words equal is met; extra or
+missing words can still break its runs. The items are a stated, bounded set:
 their tables are built once in every Python process and the corpus streams past them without a shuffle.
 """
 
@@ -21,22 +24,29 @@ from pyspark.sql import functions as F
 
 from leafloom.llm.words import words_of
 
-_WINDOW, _NEAR, _GAP = 5, 3, 2
+_WINDOW, _GAP = 3, 2
+_LEAST, _LONG = 5, 39  # words of an item
 
 
 class ItemTables:
     """Shift table, suffix buckets and the words of the items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = {k: w for k, w in ((k, words_of(t, join=True)) for k, t in items) if len(w) >= _WINDOW}
+        self.items = {k: w for k, w in ((k, words_of(t, join=True)) for k, t in items) if len(w) >= _LEAST}
         seen: Counter[tuple[str, ...]] = Counter()
         windows = {k: [tuple(w[i : i + _WINDOW]) for i in range(len(w) - _WINDOW + 1)] for k, w in self.items.items()}
         for ws in windows.values():
             seen.update(ws)
         self.bucket: dict[tuple[str, str], dict[tuple[str, ...], list[tuple[int, int]]]] = {}
         self.shift: dict[tuple[str, str], int] = {}
+        self.gapped: dict[tuple[str, str, str, str], list[tuple[int, int]]] = {}
         for k, ws in windows.items():
-            chosen = {min(range(a, min(a + _NEAR, len(ws))), key=lambda i: (seen[ws[i]], i)) for a in range(max(1, len(ws) - _NEAR + 1))}
+            item = self.items[k]
+            near = 2 if len(item) >= _LONG else 1
+            chosen = {min(range(a, a + near), key=lambda i: (seen[ws[i]], i)) for a in range(len(ws) - near + 1)}
+            if len(item) in (9, 10):
+                for i in range(len(item) - 4):
+                    self.gapped.setdefault((*item[i : i + 2], *item[i + 3 : i + 5]), []).append((k, i))
             for i in chosen:
                 w = ws[i]
                 self.bucket.setdefault((w[-2], w[-1]), {}).setdefault(w, []).append((k, i))
@@ -59,6 +69,15 @@ class ItemTables:
             p += 1
 
 
+    def gapped_hits(self, doc: list[str]) -> Iterator[tuple[int, int, int]]:
+        """As ``hits``, for two and two words around one that is replaced."""
+        if self.gapped:
+            for p in range(len(doc) - 4):
+                for k, i in self.gapped.get((doc[p], doc[p + 1], doc[p + 3], doc[p + 4]), ()):
+                    if self.items[k][i + 2] != doc[p + 2]:
+                        yield k, i, p
+
+
 #: Words left out of the item and of the document at a mismatch, in the order they are tried.
 _JUMPS = ((0, 1), (1, 0), (1, 1), (0, 2), (2, 0), (1, 2), (2, 1), (2, 2))
 _SIGNED = {step: tuple((step * x, step * y) for x, y in _JUMPS) for step in (1, -1)}
@@ -94,16 +113,17 @@ def passages(tables: ItemTables, doc: list[str]) -> dict[int, tuple[int, int, in
     """For each met item its longest passage: (words of the item spanned, words equal, first word in the document, last)."""
     best: dict[int, tuple[int, int, int, int]] = {}
     done: dict[int, list[tuple[int, int, int]]] = {}
-    for k, i, p in tables.hits(doc):
+    seeds = [(tables.hits(doc), _WINDOW, _WINDOW), (tables.gapped_hits(doc), 5, 4)]
+    for k, i, p, width, same in ((*h, width, same) for hits, width, same in seeds for h in hits):
         before = done.get(k)
         if before and any(lo <= p <= hi and abs(p - i - d) <= 2 * _GAP for lo, hi, d in before):
             continue
         item = tables.items[k]
-        e = _WINDOW - 1
+        e = width - 1
         ri, rj, rm = _reach(item, i + e, doc, p + e, 1)
         li, lj, lm = _reach(item, i, doc, p, -1)
         done.setdefault(k, []).append((lj, rj, p - i))
-        found = (ri - li + 1, rm + lm + _WINDOW, lj, rj)
+        found = (ri - li + 1, rm + lm + same, lj, rj)
         if found[:2] > best.get(k, (0, 0))[:2]:
             best[k] = found
     return best

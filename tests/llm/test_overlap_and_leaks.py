@@ -115,3 +115,23 @@ def test_every_fourth_word_replaced_is_found(spark):
     df = spark.createDataFrame(records, "ft_id bigint, split string, schema string, content string").withColumn("source", F.lit("s"))
     got = {(x.ft_id_a, x.ft_id_b) for x in overlap.cross_split_pairs(df).collect()}
     assert got == brute(records) and got >= {(i, 1000 + i) for i in range(150)} | {(3000, 3002)}
+
+
+def test_passages_with_every_fifth_word_replaced(spark):
+    r = random.Random(12)
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(n))) for k, n in enumerate([9, 10, 11, 12, 20, 30, 38, 39, 40, 41, 60, 100] * 5)]
+    docs = []
+    for k, text in items:
+        w = text.split()
+        half = -(-len(w) // 2)
+        at = r.randint(0, len(w) - half)
+        part = w[at : at + half]
+        if half == 5:
+            part[2] = "other"
+        else:
+            for j in range(r.choice((2, 4)) if half > 10 else 3, half - 2, 5):  # the verification wants two equal words after each
+                if sum(x == "other" for x in part) < int(0.2 * half):
+                    part[j] = "other"
+        docs.append((k, " ".join(["before"] * 9 + part + ["after"] * 9)))
+    got = leaks.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(k, k) for k, _ in items}
