@@ -1,13 +1,12 @@
 import random
 
 import numpy as np
-import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from leafloom.llm import leaks, overlap
-from leafloom.llm.words import words_of
+from leafloom.llm.words import word_hashes, words_of
 
 
 @settings(max_examples=150, deadline=None)
@@ -87,18 +86,52 @@ def test_leaks_against_what_was_planted(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want and got.count() == len(want)
     assert leaks.leaks_by_item(got).agg(F.sum("n_docs")).first()[0] == len(want)
     assert leaks.leaked_items(df.limit(0), it).count() == 0 and leaks.leaked_items(df, it.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        leaks.leaked_items(df, it, most_items=3)
+    blocks = leaks.leaked_items(df, it, block_bytes=400)
+    assert {(r.doc_id, r.item_id) for r in blocks.collect()} == want
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abcd"), min_size=5, max_size=9), min_size=1, max_size=4), st.lists(st.sampled_from("abcd"), max_size=40))
 def test_wu_manber_against_direct_search(items, doc):
     t = leaks.ItemTables([(k, " ".join(w)) for k, w in enumerate(items)])
-    patterns = {(k, i, w) for b in t.bucket.values() for w, places in b.items() for k, i in places}
-    n = leaks._WINDOW
-    want = sorted((k, i, p) for k, i, w in patterns for p in range(len(doc) - n + 1) if tuple(doc[p : p + n]) == w)
-    assert sorted(t.hits(doc)) == want
+    hashes, _ = word_hashes([" ".join(doc)], join=True)
+    number = {w: int(t.number(word_hashes([w])[0])[0]) for w in "abcd"}
+    want = []
+    for k, w in enumerate(items):
+        least = -(-len(w) // 2)
+        for places in [tuple(range(min(3, least)))] + ([(0, 1, 3, 4)] if least == 5 else []):
+            want += [
+                (k, i, p) for i in range(len(w) - places[-1]) for p in range(len(doc) - places[-1])
+                if all(w[i + x] == doc[p + x] and number[w[i + x]] for x in places)
+            ]
+    assert sorted(zip(*(x.tolist() for x in t.hits(t.number(hashes))))) == sorted(want)
+
+
+def test_items_of_one_word_on_are_searched(spark):
+    items = [(1, "zygote"), (2, "two plus two equals"), (3, "数えてみましょう。"), (4, "alpha beta gamma delta epsilon"), (5, "...")]
+    docs = [(1, "A ZYGOTE is here"), (2, "it says: two plus  **two** equals four"), (3, "今日は\n数えてみましょう。"), (4, "alpha beta gamma"), (5, "alpha and beta"), (6, "nothing")]
+    got = leaks.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+def test_more_than_a_hundred_thousand_items(spark):
+    items = spark.range(100_001).selectExpr("id as item_id", "concat('item', id, ' a', id, ' b', id, ' c', id) as text")
+    docs = spark.createDataFrame([(1, "see item100000 a100000 b100000 c100000"), (2, "none")], "doc_id bigint, text string")
+    got = leaks.leaked_items(docs, items, block_bytes=1 << 20)
+    assert [(x.doc_id, x.item_id) for x in got.collect()] == [(1, 100_000)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="aB1é ßñ.,'_-*&<>;\u00ad\u0301\n日・ｱ", max_size=30), max_size=5), st.booleans())
+def test_hashed_words_are_the_words(texts, join):
+    hashes, ends = word_hashes(texts, join)
+    seen: dict[str, int] = {}
+    for t, a, z in zip(texts, ends[:-1], ends[1:]):
+        words = words_of(t, join)
+        assert len(words) == z - a
+        for w, h in zip(words, hashes[a:z].tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
 
 
 def test_every_fourth_word_replaced_is_found(spark):
