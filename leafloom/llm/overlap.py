@@ -21,12 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.jsontext import NOTHING, canonical, find_value
-from leafloom.llm.words import words_of
+from leafloom.llm.words import word_hashes
 from leafloom.session import cut_lineage
 
 _SIG = "ft_id bigint, split string, source string, side string, schema_key bigint, class bigint, words binary"
 _COMMON = 100_000  # words whose frequency orders the prefixes; any order is right, rare words first is cheap
-_MORE = 8  # a prefix is longer by one word in so many, and as many more words must be shared
+_MORE = 12  # a prefix is longer by one word in so many, and as many more words must be shared
 
 
 def _signed(x: int) -> int:
@@ -46,23 +46,46 @@ def shingle_hashes(ids: np.ndarray, k: int) -> np.ndarray:
     return np.unique(h)
 
 
-def members(ids: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words with their number among equal ones: a set that overlaps as the texts' words do."""
-    ids = np.sort(ids)
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-    nth = np.arange(len(ids)) - np.repeat(first, np.diff(np.r_[first, len(ids)]))
+def _grouped(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in one array, and which part each is of."""
+    return np.concatenate([*parts, np.zeros(0, np.uint32)]), np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+
+
+def all_members(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """For many texts at a time 64-bit hashes of their words with the number among equal ones in the text, and the text.
+
+    So each text is a set, and two sets overlap as the texts' words do. The members of a text stand together.
+    """
+    ids, text = _grouped(parts)
+    key = np.sort((text.astype(np.uint64) << np.uint64(32)) + ids)
+    place = np.arange(len(key))
+    nth = place - np.maximum.accumulate(np.where(np.r_[True, key[1:] != key[:-1]][: len(key)], place, 0))
     with np.errstate(over="ignore"):
-        h = (ids.astype(np.uint64) + (nth.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+        h = ((key & np.uint64(0xFFFFFFFF)) + (nth.astype(np.uint64) << np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
         h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+        return h ^ (h >> np.uint64(32)), text
 
 
-def prefix(ids: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> np.ndarray:
-    """The rarest members of a text, enough for ``shared_at_least`` of them to be shared with every partner."""
-    m, n = members(ids), len(ids)
-    at = np.minimum(np.searchsorted(common, m), max(0, len(common) - 1))
-    often = np.where(common[at] == m, counts[at], 0) if len(common) else np.zeros(n, np.int64)
-    return m[np.lexsort((m, often))[: n - max(1, math.ceil(least * n - 1e-9)) + shared_at_least(n, least)]]
+def members(ids: np.ndarray) -> np.ndarray:
+    return all_members([ids])[0]
+
+
+def prefixes(parts: list[np.ndarray], schema: np.ndarray, common: np.ndarray, counts: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The members of each text that are rarest in its schema, and how many; hashed with the schema.
+
+    Enough for ``shared_at_least`` of them to be shared with every partner.
+    """
+    m, text = all_members(parts)
+    m ^= schema[text]
+    often = np.zeros(len(m), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, m), len(common) - 1)
+        often = np.where(common[at] == m, counts[at], 0)
+    order = np.lexsort((m, often, text))
+    n = np.array([len(p) for p in parts], np.int64)
+    size = np.array([k - max(1, math.ceil(least * k - 1e-9)) + shared_at_least(k, least) if k else 0 for k in n.tolist()], np.int64)
+    within = np.arange(len(m)) - np.repeat(np.cumsum(n) - n, n)
+    return m[order][within < np.repeat(size, n)], size
 
 
 def shared_at_least(n: int, least: float) -> int:
@@ -85,49 +108,56 @@ def agree_in_order(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose arrays stay in the processor's cache."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _word_rows(rows: DataFrame) -> DataFrame:
     """Each record with its words as numbers and the hash of its schema and words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[str, int] = {}
         keys: dict[str, int] = {}
-        for b in batches:
-            out: list[tuple] = []
-            for ft_id, split, source, side, schema, content in zip(*(c.to_pylist() for c in b.columns)):
+        for b in _slices(batches):
+            hashes, ends = word_hashes(b.column(5).to_pylist())
+            ids = (hashes >> np.uint64(32)).astype(np.uint32)
+            raws, schemas, classes = [], [], []
+            for schema, a, z in zip(b.column(4).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
                 if schema not in keys:
-                    if len(keys) > 20_000:
+                    if len(keys) > 20_000:  # a cache: keys are found again
                         keys.clear()
                     v = find_value(schema, container=False)
                     keys[schema] = xxhash.xxh3_64_intdigest(re.sub(r"\s+", " ", schema.strip()) if v is NOTHING else canonical(v))
-                if len(number) > 1_000_000:
-                    number.clear()
-                words = words_of(content)
-                ids = np.fromiter((number.get(w) or number.setdefault(w, xxhash.xxh32_intdigest(w)) for w in words), np.uint32, len(words))
-                if not len(ids):
-                    continue
-                raw = ids.tobytes()
-                out.append((ft_id, split, source, side, _signed(keys[schema]), _signed(xxhash.xxh3_64_intdigest(raw, keys[schema])), raw))
-            cols = list(zip(*out)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()))],
+                raws.append(ids[a:z].tobytes())
+                schemas.append(_signed(keys[schema]))
+                classes.append(_signed(xxhash.xxh3_64_intdigest(raws[-1], keys[schema])))
+            out = pa.RecordBatch.from_arrays(
+                [*b.columns[:4], pa.array(schemas, pa.int64()), pa.array(classes, pa.int64()), pa.array(raws, pa.binary())],
                 names=["ft_id", "split", "source", "side", "schema_key", "class", "words"],
             )
+            yield out.filter(pa.array([len(r) > 0 for r in raws]))
 
     return rows.mapInArrow(run, _SIG)
 
 
+def _numbers(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(w, np.uint32) for w in column.to_pylist()]
+
+
 def _common_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``_COMMON`` members that stand in most texts, sorted, with the number of texts."""
+    """At most ``_COMMON`` members, hashed with the schema, that stand in most texts, sorted, with the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            each = [members(np.frombuffer(w, np.uint32)) for w in b.column(0).to_pylist()]
-            m, n = np.unique(np.concatenate(each) if each else np.zeros(0, np.uint64), return_counts=True)
+            m, text = all_members(_numbers(b.column(1)))
+            m, n = np.unique(m ^ b.column(0).to_numpy().view(np.uint64)[text], return_counts=True)
             twice = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(m[twice].view(np.int64)), pa.array(n[twice], pa.int64())], names=["member", "n"])
 
     top = (
-        texts.select("words").mapInArrow(run, "member bigint, n bigint").groupBy("member").agg(F.sum("n").alias("n"))
+        texts.select("schema_key", "words").mapInArrow(run, "member bigint, n bigint").groupBy("member").agg(F.sum("n").alias("n"))
         .orderBy(F.desc("n"), "member").limit(_COMMON).toArrow()
     )
     m, n = top["member"].to_numpy().view(np.uint64), top["n"].to_numpy()
@@ -136,23 +166,36 @@ def _common_words(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(texts: DataFrame, least: float) -> DataFrame:
-    """``class, in_train, in_eval, n, member``: one row per text and word of its prefix, hashed with the schema."""
+    """``class, in_train, in_eval, n, member``: one row per text and word of its prefix."""
     handed = texts.sparkSession.sparkContext.broadcast(_common_words(texts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, counts = handed.value
-        for b in batches:
-            ids = [np.frombuffer(w, np.uint32) for w in b.column(4).to_pylist()]
-            found = [(prefix(i, common, counts, least) ^ k).view(np.int64) for i, k in zip(ids, b.column(3).to_numpy().view(np.uint64))]
+        for b in _slices(batches):
+            ids = _numbers(b.column(4))
+            found, size = prefixes(ids, b.column(3).to_numpy().view(np.uint64), common, counts, least)
+            whose = pa.array(np.repeat(np.arange(len(ids)), size))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:3], pa.array([len(i) for i in ids], pa.int32()), pa.array(found, pa.list_(pa.int64()))],
-                names=["class", "in_train", "in_eval", "n", "members"],
+                [*(b.column(x).take(whose) for x in range(3)), pa.array(np.repeat([len(i) for i in ids], size), pa.int32()), pa.array(found.view(np.int64))],
+                names=["class", "in_train", "in_eval", "n", "member"],
             )
 
-    out = texts.select("class", "in_train", "in_eval", "schema_key", "words").mapInArrow(
-        run, "class bigint, in_train boolean, in_eval boolean, n int, members array<bigint>"
+    return texts.select("class", "in_train", "in_eval", "schema_key", "words").mapInArrow(
+        run, "class bigint, in_train boolean, in_eval boolean, n int, member bigint"
     )
-    return out.select("class", "in_train", "in_eval", "n", F.explode("members").alias("member"))
+
+
+def _with_partners(texts: DataFrame, least: float) -> DataFrame:
+    """The texts for which the other side has one of the same schema and of a length that can agree.
+
+    Lengths are compared by their logarithm to the base 1 / ``least``: partners lie at most one step apart.
+    """
+    step = F.floor(F.log(F.octet_length("words") / 4) / -math.log(least) + 1e-9).cast("int") if least < 1 else (F.octet_length("words") / 4).cast("int")
+    texts = texts.withColumn("step", step)
+    there = texts.groupBy("schema_key", "step").agg(F.bool_or("in_train").alias("t"), F.bool_or("in_eval").alias("e"))
+    near = there.select("schema_key", F.explode(F.array(*[F.col("step") + x for x in (-1, 0, 1)])).alias("step"), "t", "e")
+    near = near.groupBy("schema_key", "step").agg(F.bool_or("t").alias("near_train"), F.bool_or("e").alias("near_eval"))
+    return texts.join(near, ["schema_key", "step"]).filter("in_train and near_eval or in_eval and near_train").drop("step", "near_train", "near_eval")
 
 
 def _verify(shingle: int, least: float):
@@ -202,6 +245,7 @@ def cross_split_pairs(
         F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval"),
         F.first("schema_key").alias("schema_key"), F.first("words").alias("words"),
     )
+    texts = cut_lineage(_with_partners(texts, least))
     p = _prefixes(texts, least)
     t = p.filter("in_train").select("member", F.col("class").alias("train_class"), F.col("n").alias("tn"))
     e = p.filter("in_eval").select("member", F.col("class").alias("eval_class"), F.col("n").alias("en"))
