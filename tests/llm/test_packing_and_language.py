@@ -18,14 +18,18 @@ def test_knapsack_against_brute_force(classes, capacity):
     best = [0.0] * (capacity + 1)
     for j in range(1, capacity + 1):
         best[j] = max([best[j - 1], *(best[j - s] + p for s, p in classes if s <= j)])
-    fill, value = P.best_filling(price, sizes, capacity)
+    solved = P.Knapsack(price, sizes, capacity)
+    fill, value = solved.filling(capacity), solved.value[-1]
+    assert solved.value == pytest.approx(best)
+    for near in solved.good(0.1, np.arange(len(sizes))):
+        assert sum(sizes[k] * n for k, n in near.items()) <= capacity and sum(price[k] * n for k, n in near.items()) >= 0.9 * value - 1e-9
     assert sum(sizes[k] * n for k, n in fill.items()) <= capacity and value == pytest.approx(best[-1]) and sum(price[k] * n for k, n in fill.items()) == pytest.approx(value)
 
 
 @settings(max_examples=20, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 400), max_size=12))
 def test_plan_holds_every_item_once(histogram):
-    plan = P.plan(histogram, 32, 60)
+    plan, bound = P.plan(histogram, 32)
     held: dict[int, int] = {}
     for fill, copies in plan:
         assert copies > 0 and sum(s * n for s, n in fill.items()) <= 32
@@ -33,7 +37,18 @@ def test_plan_holds_every_item_once(histogram):
             held[s] = held.get(s, 0) + n * copies
     assert held == histogram
     used, least = sum(c for _, c in plan), math.ceil(sum(s * n for s, n in histogram.items()) / 32)
-    assert least <= used <= 1.05 * sum(c for _, c in P.best_fit(histogram, 32)) + 2
+    assert bound <= used + 1e-6 and least <= used <= 1.05 * sum(c for _, c in P.best_fit(histogram, 32)) + 2
+
+
+@pytest.mark.parametrize("low, high, items, most", [(150, 299, 50_000, 1.04), (1, 257, 20_000, 1.005), (20, 80, 100, 1.2), (20, 80, 10_000, 1.01)])
+def test_plan_is_near_the_dual_bound_at_every_size(low, high, items, most):
+    r = random.Random(3)
+    histogram: dict[int, int] = {}
+    for _ in range(items):
+        s = r.randint(low, high)
+        histogram[s] = histogram.get(s, 0) + 1
+    plan, bound = P.plan(histogram, 512)
+    assert sum(c for _, c in plan) <= most * bound + 1
 
 
 def test_containers(spark):
@@ -53,8 +68,8 @@ def test_containers(spark):
         parts = sorted((x for x in got if x.doc_id == d), key=lambda x: x.piece_no)
         assert "".join(text[d][x.piece_start : x.piece_start + x.piece_chars] for x in parts) == text[d]
         assert len(parts) == 1 or len(text[d].encode()) + 1 > 256
-    report = P.fill_report(P.fill_containers(df, 256, 4), 256).first()
-    assert report.fill > 0.93 and report.containers >= report.least_possible
+    report = P.fill_report(P.fill_containers(df, 256, 4), 256, 4).first()
+    assert report.fill > 0.93 and report.containers >= report.lp_bound >= 1 and report.containers >= report.least_possible
     assert P.fill_containers(df.limit(0), 256, 4).count() == 0
     with pytest.raises(ValueError):
         P.fill_containers(df, 16, 8)
