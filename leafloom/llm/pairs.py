@@ -1,7 +1,7 @@
 """Problem 2: prompt-response pairs that are no use, each with its type of defect.
 
-Per pair, in this order: ``empty`` (no value but null, "", [], {}, N/A, NA), ``refusal`` (an automaton of refusal
-wording covers most sentences of the answer), ``copy`` (traversing the suffix automaton of the prompt's words covers
+Per pair, in this order: ``empty`` (no value but null, "", [], {}, N/A, NA), ``refusal`` (an automaton of kinds of words
+marks half or more of the answer as sentences that decline and that the page lacks), ``copy`` (traversing the suffix automaton of the prompt's words covers
 most of the answer, or the answer is the row's schema), ``truncated`` (a stack of delimiters is left open, or the last
 text value stops within a word of the page), ``wrong_language`` (function words vote for another language than the one
 that the prompt asks for or is written in). Row-local but for the duplicate ids: one pass, one narrow shuffle.
@@ -35,23 +35,57 @@ def _votes() -> dict[str, dict[str, float]]:
     for lang, words in W.STOPWORDS.items():
         for w in set(words.split()):
             langs.setdefault(w, []).append(lang)
-    return {w: {x: 1 / len(ls) ** 2 for x in ls} for w, ls in langs.items()}
+    more: dict[str, list[str]] = {}
+    for lang, words in W.MORE_STOPWORDS.items():
+        for w in set(words.split()) - langs.keys():
+            more.setdefault(w, []).append(lang)
+    return {w: {x: 1 / len(ls) ** 2 for x in ls} for w, ls in (langs | more).items()}
 
 
 _VOTES = _votes()
 _LETTERS = {ch: lang for lang, chars in W.LETTERS.items() for ch in chars}
 
 
+def _script(ch: str) -> str | None:
+    o = ord(ch)
+    return next((lang for a, z, lang in W.SCRIPTS if a <= o <= z), None) if o >= 0x370 else None
+
+
 def _refusal_automaton() -> ahocorasick.Automaton:
+    """Finds the kinds of words of which refusals are made."""
+    kinds: dict[str, set[str]] = {}
+    for kind, lines in W.REFUSAL_KINDS.items():
+        for cue in (c for line in lines.splitlines() for c in line.split("|")):
+            if cue.strip():
+                kinds.setdefault(" " + cue.lstrip() if cue[0] == " " else cue, set()).add(kind)
     a = ahocorasick.Automaton()
-    for line in W.REFUSAL.strip().splitlines():
-        for cue in line.split("|"):
-            a.add_word(cue.strip(), cue.strip())
+    for cue, ks in kinds.items():
+        a.add_word(cue, tuple(ks))
     a.make_automaton()
     return a
 
 
 _REFUSAL = _refusal_automaton()
+_APART = re.compile(r"[^\w'-]+|(?<!\w)['-]|['-](?!\w)")
+
+
+def declines(sentence: str) -> bool:
+    """True if a sentence declines to answer, by the kinds of words that meet in it.
+
+    Someone who speaks of themself isn't able or allowed to do the task, or declines it; rules forbid it; what is
+    private will not be given.
+    """
+    plain = " " + _APART.sub(" ", sentence.casefold().replace("’", "'")) + " "
+    met: set[str] = set()
+    for _, kinds in _REFUSAL.iter(plain):
+        met.update(kinds)
+    if "self" in met:
+        if "decline" in met or {"unable", "not", "task"} <= met or {"forbid", "task"} <= met and ("not" in met or "rule" in met or "sorry" in met):
+            return True
+        if "rule" in met and ("forbid" in met or {"unable", "not"} <= met) or {"sorry", "unable", "not"} <= met and "task" in met:
+            return True
+        return "forbid" in met and "task" in met and ("outside" in plain or "beyond" in plain)
+    return {"withheld", "private"} <= met or {"rule", "forbid", "task"} <= met or {"sorry", "unable", "not", "task"} <= met
 
 
 class SuffixAutomaton:
@@ -121,7 +155,7 @@ def language_of(words, margin: float = 1.5) -> str | None:
             votes[lang] = votes.get(lang, 0.0) + x
         if not w.isascii():
             for ch in w:
-                if lang := _LETTERS.get(ch):
+                if lang := _LETTERS.get(ch) or _script(ch):
                     votes[lang] = votes.get(lang, 0.0) + 0.5
     if not votes:
         return None
@@ -195,9 +229,11 @@ def unclosed(text: str) -> bool:
 
 
 def stops_within_word(texts: list[str], content: str | None) -> bool:
-    """True if the last text value ends where a word of the page goes on."""
-    last = next((t for t in reversed(texts) if len(_WORD.findall(t)) > 2), "")
-    last = last.rstrip()
+    """True if the last text value ends where a word of the page goes on.
+
+    Values of one word may be codes and keywords, which happen to begin words of the page; they say nothing.
+    """
+    last = next((t for t in reversed(texts) if len(_WORD.findall(t)) > 1), "").rstrip()
     cut = last.rstrip(" .…")
     if cut != last and (last.endswith("…") or last.endswith("...")):
         last = cut
@@ -215,6 +251,21 @@ def stops_within_word(texts: list[str], content: str | None) -> bool:
     return False
 
 
+def _refuses(texts: list[str], content: str | None) -> bool:
+    """True if sentences that decline, and that the page doesn't hold, make up half of the answer's text or more."""
+    sentences = [s for t in texts for s in _SENT.split(t) if len(s) > 3]
+    said = sum(map(len, sentences))
+    declining = 0
+    page: str | None = None
+    for s in sentences:
+        if declines(s):
+            if page is None:
+                page = (content or "").casefold()
+            if s.strip(" .>*").casefold() not in page:
+                declining += len(s)
+    return declining > 0 and declining * 2 >= said
+
+
 def defect_of(prompt: str | None, response: str | None, schema: str | None, content: str | None) -> str | None:
     """The defect of one pair, None for a good one or for a null or blank prompt."""
     if prompt is None or not prompt.strip():
@@ -227,13 +278,9 @@ def defect_of(prompt: str | None, response: str | None, schema: str | None, cont
     if value is NOTHING and not response.replace("```json", "").replace("`", "").strip():
         return "empty"
     texts = [response] if value is NOTHING else texts_of(value)
-    brief = value is NOTHING or sum(map(len, texts)) < 1500
-    if brief:
-        sentences = [s for t in texts for s in _SENT.split(t) if len(s) > 3]
-        if sentences:
-            hits = sum(len(s) for s in sentences if next(_REFUSAL.iter(s.casefold().replace("’", "'")), None))
-            if hits * 2 >= sum(map(len, sentences)) and len(texts) <= 3 and (value is not NOTHING or "{" not in response):
-                return "refusal"
+    prose = value is NOTHING and "{" not in response
+    if (prose or value is not NOTHING) and _refuses(texts, content):
+        return "refusal"
     automaton, n_prompt, expected = _prompt(prompt)
     words = [w for t in texts for w in _WORD.findall(t.casefold())]
     if words and automaton.covered(words, min(3, n_prompt)) >= 0.75 * len(words):
@@ -242,8 +289,8 @@ def defect_of(prompt: str | None, response: str | None, schema: str | None, cont
         own = find_value(schema)
         if own is not NOTHING and own and _same_schema(value, own):
             return "copy"
-    if value is NOTHING:
-        return "truncated" if unclosed(response) else None
+    if value is NOTHING and unclosed(response):
+        return "truncated"
     if stops_within_word(texts, content):
         return "truncated"
     running = [w for t in texts if t.count(" ") >= 3 and "://" not in t for w in _WORD.findall(t.casefold())]

@@ -57,3 +57,35 @@ def test_languages_of_random_sentences():
     for _ in range(20):
         assert P.language_of([w.lower() for w in r.sample(de, 10)]) == "de" and P.language_of(r.sample(en, 10)) == "en"
     assert P.language_of([]) is None and P.language_of(["zzz"]) is None
+
+UNSEEN = """
+Sorry, I won't do that. | As an AI language model I am not comfortable with this request. | I'm afraid this is against my guidelines. | I must respectfully refuse. | I'm not able to comply with that.
+We cannot share this data. | That goes against my content policy, so no. | I cannot in good conscience complete this task. | It would be impossible for me to answer this question.
+Leider kann ich das nicht beantworten. | Das verstößt gegen meine Richtlinien. | Ich möchte diese Frage nicht beantworten. | Désolé, cela m'est impossible. | Je refuse de répondre. | Mes règles m'interdisent de le faire.
+Lo lamento, no puedo hacer eso. | Mis normas no me permiten contestar. | Infelizmente não posso fazer isso. | Recuso-me a responder. | Purtroppo non posso farlo. | Mi rifiuto di rispondere.
+"""
+ANSWERS = """
+Sorry, we cannot ship this item to the islands at the moment. | The office answers questions on Monday. | Our rules forbid dogs in the hall. | We do not sell tickets at the door. | Sie können nicht mit Karte zahlen.
+Refunds are given within ten days. | I like the harbour, it never gets cold. | The museum declined the loan. | Les chiens ne sont pas admis. | No se admiten perros en la sala.
+"""
+
+
+def test_refusals_of_other_wording():
+    unseen, answers = ([s.strip() for line in block.strip().splitlines() for s in line.split("|")] for block in (UNSEEN, ANSWERS))
+    found = [P.defect_of(ASK, '{"title": null, "note": "%s"}' % s, None, "The page.") for s in unseen]
+    assert len(unseen) >= 20 and found.count("refusal") >= 0.9 * len(unseen)
+    assert not any(P.declines(s) for s in answers)
+
+
+def test_a_refusal_counts_at_any_length_and_in_any_number_of_fields_but_not_on_the_page():
+    long = " ".join(f"I am sorry, but I cannot answer question {i} of this request." for i in range(60))
+    assert len(long) > 3000 and P.defect_of(ASK, '{"a": "' + long + '"}', None, None) == "refusal" == P.defect_of(ASK, long, None, None)
+    many = "{" + ", ".join(f'"f{i}": "I must refuse to answer this."' for i in range(9)) + "}"
+    assert P.defect_of(ASK, many, None, None) == "refusal"
+    assert P.defect_of(ASK, '{"a": "I must refuse to answer this."}', None, "He said: I must refuse to answer this.") is None
+
+
+def test_languages_beyond_those_of_the_corpus_are_wrong_too():
+    assert P.defect_of(ASK, '{"s": "Het kantoor in de haven is niet open voor deze week, maar wordt morgen ook nog gebruikt."}', None, None) == "wrong_language"
+    assert P.defect_of(ASK, '{"s": "Контора в порту на этой неделе закрыта, но завтра она снова откроется."}', None, None) == "wrong_language"
+    assert P.defect_of(ASK, "Das Hafenamt nennt die Ersatzteile und die Wartezeiten vor der nächsten Ausgabe auf der Seite.", None, None) == "wrong_language"
