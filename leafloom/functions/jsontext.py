@@ -7,11 +7,12 @@ import re
 
 _FENCE = re.compile(r"```[A-Za-z0-9_-]*[ \t]*\r?\n?(.*?)```", re.S)
 _DECODER = json.JSONDecoder(parse_constant=lambda x: (_ for _ in ()).throw(ValueError(x)))
+
+
 class NOTHING:
     """Stands for no value; a class, so that it stays the same object in other processes."""
 
 
-
 def _loads(text: str):
     try:
         return _DECODER.decode(text)
@@ -19,13 +20,13 @@ def _loads(text: str):
         return NOTHING
 
 
-def _unwrapped(value, most: int = 4):
-    """Open JSON strings that hold JSON."""
-    while isinstance(value, str) and most:
+def _unwrapped(value):
+    """Open JSON strings that hold JSON, however many lie in one another; each is shorter than the one around it."""
+    while isinstance(value, str):
         inner = _loads(value.strip())
         if inner is NOTHING:
-            return value
-        value, most = inner, most - 1
+            break
+        value = inner
     return value
 
 
