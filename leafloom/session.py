@@ -35,12 +35,16 @@ def local_session(cores: int | str = 8, app: str = "leafloom") -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The shared folder named in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that would lie on one machine, so it raises.
+    """
     there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        there = tempfile.mkdtemp(prefix="leafloom-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", there)
-    return there
+    if there:
+        return there
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="leafloom-checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
