@@ -1,15 +1,20 @@
 """Problem 1: the main body of web pages, by deducing each site's template from its pages.
 
-The unit of deduction is the line token: a line with the site's own name, digits, link targets and free slots masked.
-For every site and token the pages in which it occurs are folded into an order-free fingerprint (the occurrence
-vector); tokens of a site with equal vectors form an equivalence class. A class is valid if it occurs on two or more
-pages of the site, or its tokens on several sites (so that sites with a single page profit from the others), and its
-role is recognised: by wording, by structure (bars of links, crumbs, lists of other articles) or, for lines of unknown
-wording at the page's edges, because most of its class is recognised. Valid classes make up the template, nested lists
-of other articles included; what remains in its slots is the body.
-
-Cost: one pass over the text, then shuffles of a few narrow rows per page. Counts are combined before they are
-shuffled, so a site with a third of all pages is spread over all tasks.
+No wording is known beforehand. Markdown has no tag paths, so the unit of deduction is the line token: a line without
+decoration, with the site's own name and digits masked and the free slots of nested lists (titles of other articles,
+trails, page numbers) left out; a bar of links has one token for each item.
+
+*Support.* Tokens met on one page only are content. *Nesting.* The template lies around the content: a line stands at the
+page's edge if no content lies between it and the top or the bottom. A token is part of a template if a good share of its
+occurrences stand at an edge and it isn't always the line next to the content there, as titles are; tokens that occur
+mostly between lines of content are content too, and edges are found again without them. *Equivalence classes.* Tokens
+of a site with equal occurrence vectors (the set of its pages that hold them, folded into an order-free fingerprint) are
+a class; a token without enough evidence of its own follows its class, and a token that most pages of a site have at
+their edges is part of its template. What remains in the slots is the body. A token with evidence counts on all sites, so
+sites with few pages profit from the others.
+
+Cost: one pass over the text, then shuffles of narrow rows (one for each recurring token of a page). Counts are combined
+before they are shuffled, copies of a page are one page until the end, and no group larger than a page is collected.
 """
 
 from __future__ import annotations
@@ -19,57 +24,30 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.urls import last_two_labels
-from leafloom.llm import furniture as W
 from leafloom.session import cut_lineage
 
-KNOWN, UNKNOWN = 1, 2
-#: Longer lines count as running text.
-_LONGEST = 1000
+#: Kinds of tokens: with a free slot in it; without a letter.
+SLOT, WORDLESS = 1, 2
 
-_NAV = W.phrases(W.NAVIGATION)
-_CRUMB = tuple(f"{w} > " for w in W.phrases(W.CRUMB_START))
-_SKIP = W.phrases(W.SKIP_AND_TOP)
-_FOOT = W.phrases(W.FOOTER)
-_NOTICE = W.phrases(W.NOTICES)
-_HEADS = W.phrases(W.OTHER_ARTICLES)
-_WORD = re.compile(r"\w+")
-
-
-def _consent_runs() -> dict[str, bool]:
-    """Every run of words of a consent notice; true if it is long enough to stand for the notice by itself."""
-    runs: dict[str, bool] = {}
-    for line in W.CONSENT.strip().splitlines():
-        words = _WORD.findall(line)
-        for i in range(len(words)):
-            for j in range(i + 1, len(words) + 1):
-                run = " ".join(words[i:j])
-                runs[run] = runs.get(run, False) or j - i >= 4
-    return runs
-
-
-_CONSENT = _consent_runs()
 _LEAD = re.compile(r"(?:>+\s*|\*\*|#+\s+|\[[xX]\]\s*)")
 _COUNTER = re.compile(r"\s*\(\d+\)$")
 _DIGITS = re.compile(r"\d+")
-_LINK = re.compile(r"\[([^\]]*)\]\(([^)\s]*)\)")
-_ITEM = re.compile(r"^(?:[-*+]\s+|\d+\.\s+)?\[[^\]]*\]\(([^)\s]*)\)$")
-_NAVITEM = re.compile(r"^[-*+]\s+\[([^\]]{1,30})\]\([^)\s]*\)$")
-_PAGES = re.compile(r"^(?:«\s*)?\d+(?: \d+){2,}(?: …)?(?: \w+ »)?$")
-_LOGO = re.compile(r"^!\[logo\]\(", re.I)
+_LINK = re.compile(r"!?\[([^\]]*)\]\(([^)\s]*)\)")
+_LETTER = re.compile(r"[^\W\d_]")
+_BAR = re.compile(r"\s+[|·]\s+")
+_PAGES = re.compile(r"^[^\w]*\d+(?: \d+){2,}\b[^.]*$")
 _COPY = re.compile(r"^©\s*\d{4}\b\s*(\w+)?")
-_APP = re.compile(r"^(\w+) (?:App|Club): .*(?:\[→\]\([^)]*\)|-\d+ %)$", re.S)
-_PLUS = re.compile(r"^★ .* → (\w+) Plus$", re.S)
-_SPEAKER = re.compile(r"^\w+: (.+)$", re.S)
-_SENTENCE = re.compile(r"[.!?。]$")
+_LOGO = re.compile(r"!\[logo\]\(https?://(?:[\w-]+\.)*([\w-]+)\.\w+/")
+_URL_END = re.compile(r"[\s→]*https?://\S+$")
 
 
 def _pictogram(ch: str) -> bool:
     o = ord(ch)
-    return o > 0xFFFF or 0x2600 <= o <= 0x27BF and ch != "★" or o in (0xFE0F, 0x200D)
+    return o > 0xFFFF or 0x2600 <= o <= 0x27BF or o in (0xFE0F, 0x200D)
 
 
 def bare(line: str, site: str) -> str:
@@ -89,8 +67,8 @@ def bare(line: str, site: str) -> str:
             s = s[:-2].rstrip()
         elif s[-1] == ")" and (m := _COUNTER.search(s, max(0, len(s) - 16))):
             s = s[: m.start()]
-        elif s.endswith("/consent") and "http" in s:
-            s = s[: s.rindex("http")].rstrip(" →")
+        elif "http" in s and "](" not in s and (m := _URL_END.search(s)):
+            s = s[: m.start()]
         else:
             break
     if site and s[: len(site)].casefold() == site and s[len(site) : len(site) + 1] == ":":
@@ -106,195 +84,155 @@ def site_of(content: str, host: str | None) -> str:
         m = _COPY.match(bare(line, "")) if "©" in line else None
         if m and m.group(1):
             return m.group(1).casefold()
-    m = re.search(r"!\[logo\]\(https?://(?:[\w-]+\.)*([\w-]+)\.\w+/", content)
-    if m:
-        return m.group(1).casefold()
-    m = re.search(r"^(\w+) – \w", content, re.M) or re.search(r"^(\w+) (?:App|Club): |→ (\w+) Plus$", content, re.M)
-    return next((g for g in m.groups() if g), "").casefold() if m else ""
-
-
-def page_lines(content: str, site: str) -> list[tuple[int, str, int]]:
-    """(line number from 1, token, KNOWN or UNKNOWN) of the lines of one page that may belong to its template."""
-    raw = content.split("\n")
-    n = len(raw)
-    # a paragraph of running text is no template line by itself; the longest bars of links stay below this
-    plain = [bare(x, site) if len(x) <= _LONGEST else "" for x in raw]
-    low = [x.casefold() for x in plain]
-    role = [0] * n
-    token: list[str | None] = [None] * n
-    nav = [False] * n
-    consent = [False] * n
-    fragment = [False] * n
-    for i in range(n):
-        line = raw[i].strip()
-        if not line or len(raw[i]) > _LONGEST:
-            continue
-        s, c = plain[i], low[i]
-        if not s:
-            fragment[i] = True  # only decoration: a counter, a link to the settings
-            continue
-        if c in _SKIP or c in _FOOT or c in _NOTICE:
-            role[i] = KNOWN
-            continue
-        m = _COPY.match(s)
-        if m:
-            rest = c[m.end() :].lstrip(". ")
-            if not rest or rest in _FOOT or (m.group(1) or "").casefold() == site:
-                role[i], token[i] = KNOWN, "© 0 §. " + rest
-                continue
-        if " – " in c:
-            head, _, rest = c.partition(" – ")
-            if rest in _FOOT and " " not in head:
-                role[i], token[i] = KNOWN, "§ – " + rest
-                continue
-        if len(s) <= 400:
-            if line[0] != "|" and (" | " in c or " · " in c or c.count("](") > 1):
-                links = _LINK.findall(c)
-                if len(links) > 1 and not _LINK.sub("", c).strip():
-                    items = [x for x, _ in links]
-                else:
-                    body = c[len(site) :].strip() if site and c.startswith(site + " ") else c
-                    if "  " in body[:40]:  # an unknown name before the bar
-                        body = body.split("  ", 1)[1].strip()
-                    items = re.split(r"\s*[|·]\s*", body)
-                if sum(x in _NAV for x in items) * 2 >= len(items) or (site and c.startswith(site + "  ")):
-                    role[i], token[i] = KNOWN, "bar …" if all(x in _NAV for x in items) else " | ".join(items)
-                    continue
-            m = _NAVITEM.match(line)
-            if m and m.group(1).casefold() in _NAV:
-                role[i], token[i] = KNOWN, "* " + m.group(1).casefold()
-                continue
-            if c in _NAV:
-                nav[i] = True
-            if c.startswith(_CRUMB) and len(c) < 120:
-                role[i], token[i] = KNOWN, c.split(" > ")[0] + " > …"
-                continue
-            if _PAGES.match(s):
-                role[i], token[i] = KNOWN, "0 … " + c.split(" ", 1)[-1].lstrip("0123456789 ")
-                continue
-            if _LOGO.match(s):
-                role[i], token[i] = KNOWN, "![logo]"
-                continue
-            run = " ".join(_WORD.findall(c))
-            known = _CONSENT.get(run)
-            if known:
-                role[i], consent[i] = KNOWN, True
-                continue
-            if known is not None or (site and c.rstrip(":") == site):
-                fragment[i] = True
-            elif (m := _SPEAKER.match(c)) and _CONSENT.get(" ".join(_WORD.findall(m.group(1)))):
-                role[i], consent[i], token[i] = KNOWN, True, m.group(1)  # a page that names another site than its host
-                continue
-        m = _APP.match(s)
-        if m:
-            role[i], token[i] = KNOWN, "§ app/club: …"
-            continue
-        m = _PLUS.match(s)
-        if m:
-            role[i], token[i] = KNOWN, "★ … → § plus"
-            continue
-    # menus of one word a line: two or more in a row, or below the logo
-    for i in range(n):
-        if nav[i] and not role[i]:
-            near = [j for j in (i - 1, i + 1) if 0 <= j < n]
-            if any(nav[j] or _LOGO.match(plain[j]) for j in near):
-                role[i] = KNOWN
-    # pieces of a wrapped consent notice next to the rest of it
-    for order in (range(n), range(n - 1, -1, -1)):
-        for i in order:
-            if fragment[i] and not role[i]:
-                if (i and consent[i - 1]) or (i + 1 < n and consent[i + 1]):
-                    role[i], consent[i] = KNOWN, True
-                    token[i] = token[i] or low[i] or "consent …"
-    # lists of other articles with their heading
-    i = 0
-    while i < n:
-        if not role[i] and low[i].rstrip(": ") in _HEADS:
-            j = i + 1
-            while j < n and not raw[j].strip():
-                j += 1
-            first, target = j, None
-            while j < n and not role[j]:
-                x = raw[j].strip()
-                if m := _ITEM.match(x):
-                    # one list links in one way; the page's own list links in another
-                    if target is not None and target != m.group(1)[:1]:
-                        break
-                    target = m.group(1)[:1]
-                elif not x.endswith("»") or len(x) > 200:
-                    break
-                role[j], token[j] = KNOWN, "other: " + ("[…](…)" if "](" in raw[j] else "… »")
-                j += 1
-            if j > first or low[i].rstrip(": ") in _HEADS and raw[i].strip()[:1] in "#*":
-                role[i], token[i] = KNOWN, "heading " + low[i].rstrip(": ")
-            i = max(j, i + 1)
-        else:
-            i += 1
-    # lines of unknown wording at the edges: judged by their class
-    said = [i for i in range(n) if raw[i].strip()]
-    for edge in (said, said[::-1]):
-        for i in edge:
-            if not role[i]:
-                s = plain[i]
-                if not s or len(s) > 60 or _SENTENCE.search(s) or not any(ch.isalpha() for ch in s) or raw[i].lstrip()[:1] in "#|-*>`{":
-                    break
-                role[i] = UNKNOWN
-    return [(i + 1, _DIGITS.sub("0", token[i] or (low[i].replace(site, "§") if site else low[i])), role[i]) for i in said if role[i]]
+    m = _LOGO.search(content)
+    return m.group(1).casefold() if m else ""
+
+
+def line_tokens(line: str, site: str) -> tuple[list[str], int]:
+    """The tokens of one non-blank line and their kind."""
+    s = bare(line, site).casefold()
+    if site:
+        s = s.replace(site, "§")
+    s = _DIGITS.sub("0", s)
+    first = line.lstrip()[:1]
+    links = _LINK.findall(s) if "](" in s else []
+    rest = _LINK.sub("", s) if links else s
+    if not s:
+        return ["(decoration)"], SLOT
+    if first in "|`":
+        return [s], 0 if _LETTER.search(s) else WORDLESS
+    if len(links) > 1 and not _LETTER.search(rest):
+        return [x.strip() for x, _ in links if x.strip()] or ["(links)"], 0
+    if not links and (" | " in s or " · " in s):
+        return [x.strip() for x in _BAR.split(s) if x.strip()] or [s], 0
+    if len(links) == 1 and not _LETTER.search(rest):
+        text, target = links[0]
+        if "![" in s:
+            return ["!" + text], SLOT
+        if len(text.split()) <= 3:
+            return [text], 0
+        # a list that leads to other pages of the site, or one of the page's own results
+        return (["[…](http…)"], 0) if target.startswith("http") else (["[…](/…)"], SLOT)
+    if " > " in s:
+        return [s.split(" > ")[0] + " > …"], SLOT
+    if _PAGES.match(bare(line, site)):
+        return ["0 0 0 …"], SLOT
+    if s.endswith("»"):
+        return ["… »"], SLOT
+    if "→" in s and (tail := s.rsplit("→", 1)[1].strip()) and "](" not in tail:
+        return ["… → " + tail], SLOT
+    if s.startswith("§ ") and len(s.split()) > 4:
+        return [" ".join(s.split()[:2]) + " …"], SLOT
+    return [s.rstrip(": ")], 0 if _LETTER.search(s) else WORDLESS
+
+
+_OTHERS = frozenset(["[…](/…)", "… »"])
+
+
+def page_tokens(content: str, site: str) -> list[tuple[int, int, int, str, int, bool]]:
+    """(place among the non-blank lines, line number from 1, tokens in the line, token, kind, first time on the page)."""
+    said = [(no, line) for no, line in enumerate(content.split("\n"), 1) if line.strip()]
+    found = [line_tokens(line, site) for _, line in said]
+    out, met = [], set()
+    for at, ((no, _), (tokens, kind)) in enumerate(zip(said, found)):
+        if len(tokens) == 1 and not kind and at + 1 < len(found) and found[at + 1][0][0] in _OTHERS:
+            tokens, kind = [tokens[0] + " ↴"], SLOT  # the heading of a nested list
+        for t in tokens:
+            out.append((at, no, len(tokens), t, kind, t not in met))
+            met.add(t)
+    return out
 
 
 def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
+_ITEM = [("at", pa.int32()), ("line_no", pa.int32()), ("k", pa.int32()), ("token", pa.int64()), ("kind", pa.int32()), ("first", pa.int32())]
+_ITEMS = "array<struct<at:int,line_no:int,k:int,token:bigint,kind:int,first:int>>"
+
+
 def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        ids, numbers, sites, tokens, roles, pages = [], [], [], [], [], []
-        for id_, host, content in zip(*(c.to_pylist() for c in b.columns)):
+        sites, pages, sizes, starts = [], [], [], [0]
+        cols: tuple[list, ...] = ([], [], [], [], [], [])
+        for host, content in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             site = site_of(content, host)
-            h, p = _hash(site) if site else 0, _hash(content)
-            for number, token, role in page_lines(content, site):
-                ids.append(id_)
-                numbers.append(number)
-                sites.append(h)
-                tokens.append(_hash(token))
-                roles.append(role)
-                pages.append(p)
+            sites.append(_hash(site) if site else 0)
+            pages.append(_hash(site + "\n" + content))
+            for at, no, k, token, kind, new in page_tokens(content, site):
+                for c, x in zip(cols, (at, no, k, _hash(token), kind, int(new))):
+                    c.append(x)
+            starts.append(len(cols[0]))
+            sizes.append(cols[0][-1] + 1 if len(cols[0]) > starts[-2] else 0)
+        items = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, _ITEM)], names=[n for n, _ in _ITEM])
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.string()), pa.array(numbers, pa.int32()), *(pa.array(x, pa.int64()) for x in (sites, tokens)), pa.array(roles, pa.int32()), pa.array(pages, pa.int64())],
-            names=["id", "line_no", "site", "token", "role", "page"],
+            [b.column(0), pa.array(sites, pa.int64()), pa.array(pages, pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), items)],
+            names=["id", "site", "page", "lines", "items"],
         )
 
 
-def template_lines(pages: DataFrame, least_pages: int = 2, least_sites: int = 2) -> DataFrame:
+def _with_edges(rows: DataFrame, content: Column) -> DataFrame:
+    """Of each recurring token of a page whether it stands at an edge and whether next to the content.
+
+    ``content`` says whether a token is known as content. Rows are spread by page once; both groupings keep to that.
+    """
+    item = F.struct("at", "line_no", "k", "token", "kind", "first", content.alias("content"))
+    rows = rows.select("page", "site", "lines", "at", "k", item.alias("i"), (content | (F.col("kind") == WORDLESS)).alias("solid")).repartition("page")
+    lines = rows.groupBy("page", "site", "lines", "at", "k").agg(F.count_if(~F.col("solid")).alias("loose"), F.collect_list("i").alias("of_line"))
+    open_ = F.when(F.col("k") > 2, F.col("loose") * 2 >= F.col("k")).otherwise(F.col("loose") >= F.col("k"))
+    whole = lines.groupBy("page", "site", "lines").agg(F.collect_list(F.when(open_, F.col("at"))).alias("open"), F.flatten(F.collect_list("of_line")).alias("items"))
+    between = F.array_except(F.sequence(F.lit(0), F.col("lines") - 1), "open")
+    top, bottom = F.coalesce(F.array_min(between), F.col("lines")), F.coalesce(F.array_max(between), F.lit(-1))
+    at = F.col("i.at")
+    return whole.select("page", "site", top.alias("top"), bottom.alias("bottom"), "lines", F.explode("items").alias("i")).select(
+        "page", "site", "lines", "i.*", ((at < F.col("top")) | (at > F.col("bottom"))).alias("edge"),
+        ((at == F.col("top") - 1) | (at == F.col("bottom") + 1)).alias("next_to"),
+    )
+
+
+def template_lines(
+    pages: DataFrame, at_edge: float = 0.3, away: float = 0.03, least_away: int = 2, share: float = 0.5, least_pages: int = 3,
+) -> DataFrame:
     """``id, line_no``: the non-blank lines of ``content`` that belong to the template of their site.
 
     ``pages`` needs ``id, source, content``; other columns are ignored. Ids delivered twice count once; null ids and null
-    contents give no row. Pages without host are placed by the name in their own copyright line, else only the
-    classes that several sites share apply to them. ``least_pages`` and ``least_sites`` are the support of a class.
+    contents give no row. Pages without host are placed by the name in their own copyright line or logo.
+
+    A token met on two or more pages is part of templates if ``at_edge`` of its occurrences stand at an edge and
+    ``away`` of these, ``least_away`` or more, not next to the content (slots of nested lists needn't). On its site alone
+    a token is if it stands at edges on ``share`` of the site's pages, ``least_pages`` or more, or if half or more of its
+    class, two tokens at least, are.
     """
-    lines = (
+    read = cut_lineage(
         pages.select("id", last_two_labels(F.col("source")).alias("host"), "content").filter("id is not null and content is not null")
-        .mapInArrow(_emit, "id string, line_no int, site bigint, token bigint, role int, page bigint")
-        .dropDuplicates(["id", "line_no"])
-    )
-    lines = cut_lineage(lines)
-    vectors = lines.groupBy("site", "token").agg(
-        # a page that several rows use is one page
-        F.expr("bit_xor(distinct page)").alias("vector"), F.expr("count(distinct page)").alias("n"), F.min("role").alias("role")
+        .mapInArrow(_emit, f"id string, site bigint, page bigint, lines int, items {_ITEMS}")
     )
-    classes = vectors.groupBy("site", "vector", "n").agg(
-        F.count("*").alias("size"), F.count_if(F.col("role") == KNOWN).alias("known")
-    )
-    shared = vectors.groupBy("token").agg(F.count("*").alias("sites"))
-    valid = (
-        vectors.join(shared, "token").join(classes, ["site", "vector", "n"])
-        .filter(
-            ((F.col("role") == KNOWN) & ((F.col("n") >= least_pages) | (F.col("sites") >= least_sites)))
-            | ((F.col("n") > least_pages) & (F.col("known") >= 2) & (F.col("known") * 2 >= F.col("size")) & (F.col("site") != 0))
-        )
-        .select("site", "token", F.col("role").alias("class_role"))
+    once = read.dropDuplicates(["page"]).select("page", "site", "lines", F.explode("items").alias("i")).select("page", "site", "lines", "i.*")
+    recurring = once.groupBy("token").agg(F.sum("first").alias("pages")).filter("pages > 1").select("token")
+    known = cut_lineage(_with_edges(once.join(recurring, "token"), F.lit(False)))
+    inner = known.groupBy("token").agg((F.count_if("edge") < F.count("*") * at_edge).alias("content"))
+    known = cut_lineage(_with_edges(known.drop("content", "edge", "next_to").join(inner, "token"), F.col("content")))
+
+    far = F.count_if(F.col("edge") & ~F.col("next_to"))
+    edge = F.count_if("edge")
+    evidence = known.groupBy("token").agg(
+        (edge >= F.count("*") * at_edge).alias("outer"),
+        ((edge >= F.count("*") * at_edge) & ~F.bool_or("content") & (F.min("kind") != WORDLESS) & ((F.min("kind") == SLOT) | (far >= F.greatest(F.lit(least_away), edge * away)))).alias("template"),
     )
-    return lines.join(valid, ["site", "token"]).select("id", "line_no")
+    sizes = once.select("page", "site").distinct().groupBy("site").agg(F.count("*").alias("of"))
+    vectors = known.filter("first = 1").groupBy("site", "token").agg(
+        F.bit_xor("page").alias("vector"), F.count("*").alias("n"), F.count_if("edge").alias("n_edge"), F.min("kind").alias("kind")
+    ).join(evidence, "token").join(sizes, "site")
+    own = (F.col("site") != 0) & (F.col("n_edge") >= least_pages) & (F.col("n_edge") >= F.col("of") * share) & (F.col("kind") != WORDLESS)
+    vectors = vectors.withColumn("sure", F.col("template") | own)
+    classes = vectors.groupBy("site", "vector", "n").agg(F.count("*").alias("size"), F.count_if("sure").alias("known"))
+    follows = (F.col("site") != 0) & (F.col("n") >= least_pages) & F.col("outer") & (F.col("known") >= 2) & (F.col("known") * 2 >= F.col("size"))
+    template = vectors.join(classes, ["site", "vector", "n"]).filter(F.col("sure") | follows).select("site", "token")
+
+    hits = known.join(template, ["site", "token"]).groupBy("page", "line_no", "k").agg(F.count("*").alias("hits"))
+    lines = hits.filter(F.when(F.col("k") > 2, F.col("hits") * 2 >= F.col("k")).otherwise(F.col("hits") >= F.col("k"))).select("page", "line_no")
+    ids = read.select("id", "page").dropDuplicates(["id"])
+    return ids.join(lines, "page").select("id", "line_no")
 
 
 def main_body(pages: DataFrame) -> DataFrame:
