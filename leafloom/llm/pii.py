@@ -1,13 +1,16 @@
 """Problem 4: personal items in free text, by a semi-Markov conditional random field.
 
-Whole candidate segments carry features (detector, cue word before them, make-up of a name); a linear model scores
-them; a dynamic program over segment boundaries picks the set of disjoint segments with the greatest total, so
-boundaries and types are decided together. Text outside the candidates scores nothing. The weights were trained by
-``pii_train`` (conditional log-likelihood, exact gradients from the forward-backward pass over the same lattice).
+Every run of capitalised words (segments of up to ``MOST_WORDS``), every run of digits and every match of a detector is a
+candidate segment. Whole segments carry features (shape, cue before them, JSON key, make-up of a name, what follows), and two
+segments that follow each other closely carry a transition of their labels; a linear model scores both. A dynamic program
+over segment ends picks the set of disjoint segments with the greatest total, so boundaries and types are decided
+together. Text outside the segments scores nothing. The weights were trained by ``pii_train`` (conditional log-likelihood,
+exact gradients from forward and backward sums over the same choices).
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafloom.llm.pii_spans import Span, candidates
+from leafloom.llm.pii_spans import NEAR, Span, candidates, transition
 from leafloom.llm.pii_weights import WEIGHTS
 
 #: Weight of a make-up of names that training has not met.
@@ -27,36 +30,26 @@ def score(span: Span, weights: dict[str, float]) -> float:
     return sum(weights.get(f, _UNSEEN if f.startswith("form=") else 0.0) for f in span[3])
 
 
-def decode(spans: list[Span], weights: dict[str, float]) -> list[Span]:
-    """The disjoint segments with the greatest total score (Viterbi over segment ends), in text order."""
+def decode(spans: list[Span], weights: dict[str, float], text: str = "") -> list[Span]:
+    """The disjoint segments with the greatest total score, their transitions included, in text order (Viterbi)."""
     spans = sorted(spans, key=lambda s: (s[1], s[0], s[2]))
-    best: list[tuple[float, int]] = [(0.0, -1)]  # per prefix of the sorted segments: total, chosen segment
-    ends = [0]
-    back: list[int] = [0]
+    ends = [s[1] for s in spans]
+    total: list[float] = []  # of the best choice that ends with this segment
+    back: list[int] = []
+    best: list[tuple[float, int]] = [(0.0, -1)]  # per prefix of the sorted segments: total and last segment
     for i, s in enumerate(spans):
-        w = score(s, weights)
-        # last prefix whose segments all end at or before the start of this one
-        lo, hi = 0, i
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            if spans[mid - 1][1] <= s[0]:
-                lo = mid
-            else:
-                hi = mid - 1
-        take = best[lo][0] + w
-        keep = best[i][0]
-        if take > keep and w > 0:
-            best.append((take, i))
-            back.append(lo)
-        else:
-            best.append((keep, -1))
-            back.append(i)
-        ends.append(s[1])
+        far, near = bisect.bisect_right(ends, s[0] - NEAR - 1), bisect.bisect_right(ends, s[0], 0, i)
+        value, last = best[min(far, i)]
+        for j in range(far, near):
+            f = transition(text, spans[j], s)
+            value, last = max((value, last), (total[j] + (weights.get(f, 0.0) if f else 0.0), j))
+        total.append(value + score(s, weights))
+        back.append(last)
+        best.append(max(best[-1], (total[i], i)))
     out: list[Span] = []
-    i = len(spans)
-    while i:
-        if best[i][1] >= 0:
-            out.append(spans[best[i][1]])
+    i = best[-1][1]
+    while i >= 0:
+        out.append(spans[i])
         i = back[i]
     return out[::-1]
 
@@ -64,7 +57,7 @@ def decode(spans: list[Span], weights: dict[str, float]) -> list[Span]:
 def find_items(text: str) -> list[tuple[str, int, int]]:
     """(label, start, end) of the personal items of a text."""
     spans = candidates(text)
-    return [(s[2], s[0], s[1]) for s in decode(spans, WEIGHTS)] if spans else []
+    return [(s[2], s[0], s[1]) for s in decode(spans, WEIGHTS, text)] if spans else []
 
 
 @lru_cache(maxsize=2048)

@@ -15,6 +15,7 @@ CUES = {
     "account_number": "ssn id n° nº no no. passport passeport pasaporte passaporte reisepass ausweisnr ausweisnr. ausweis steuer-id identité identità identidad dni nie nif cpf rg fiscale sociale tax iban account konto",
     "private_address": "address adresse anschrift dirección endereço indirizzo direccion",
     "private_person": "contact contacto contato contatto kontakt by von par por di name author autor auteur autore person speaker",
+    "number": "number numbers numero número numéro nummer call whatsapp card carte karte tarjeta cartão carta",
     "other": "ref ref. lot sku isbn build version order item art. artikel batch day jour tag giorno dia día",
 }
 PARTICLES = "van von de di da del mac mc"
@@ -70,6 +71,7 @@ DETECTORS: list[tuple[str, str, re.Pattern[str]]] = [
     ("account_number", "digits_letter", re.compile(rf"{_NB}\d{{8}}-[A-Z]{_NA}")),
     ("account_number", "tax_code", re.compile(rf"{_NB}[A-Z]{{6}}\d\d[A-Z]\d\d[A-Z]\d{{3}}[A-Z]{_NA}")),
     ("private_address", "number_first", re.compile(rf"{_NB}(?:(?:Flat|Apartment|Apt\.?|Unit) \d+\w?,? )?\d+[A-Za-z]? {_STREET_EN},? {_TOWN}(?:,? \d{{4,6}}(?!\d))?")),
+    ("private_address", "number_first", re.compile(rf"{_NB}(?:(?:Flat|Apartment|Apt\.?|Unit) \d+\w?,? )?\d+[A-Za-z]? {_STREET_EN},? [{_U}][{_L}'’]+(?:[- ][{_U}][{_L}'’]+)?,? [A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}}(?!\w)")),
     ("private_address", "french", re.compile(rf"{_NB}\d+(?: ?[a-z]|(?: bis| ter))?,? {_STREET_FR}(?:,| -| –)? \d{{4,6}} {_TOWN}")),
     ("private_address", "street_first", re.compile(rf"(?<!\w)(?:{_STREET_DE}|{_STREET_RO}),? \d+ ?[a-z]?(?:,| -| –)? \d{{4,6}} {_TOWN}")),
 ]
@@ -77,6 +79,16 @@ DETECTORS: list[tuple[str, str, re.Pattern[str]]] = [
 _SURNAME = re.compile(rf"(?:{'|'.join(SURNAME_ENDS)})$")
 _GIVEN_END = re.compile(rf"(?:{'|'.join(GIVEN_ENDS)})$")
 _CUE_OF = {w: label for label, ws in CUES.items() for w in ws.split()}
+#: Segments have at most so many words; the bound of the segments of the model.
+MOST_WORDS = 8
+#: Any run of digits with separators, a letter at most at either end; what it is, is up to shape and context.
+_DIGIT_RUN = re.compile(rf"{_NB}(?:\+|\()?(?:[A-Z]{{1,2}})?\d+(?:[ .\-/()]{{1,2}}\d+)*[A-Z]?{_NA}")
+_BEFORE = re.compile(r"[^\W\d_][\w°º.-]*|[.!?;|,\n{}\[\]]")
+_DATE = re.compile(r"(?:19|20)\d\d-\d\d-\d\d|\d\d?[./]\d\d?[./](?:19|20)?\d\d")
+_ABSTRACT = re.compile(
+    r"(?:tion|sion|ment|ings?|ness|ity|ance|ence|ice|ices|ure|ures|age|ship|ory|ary|ies|isms?|ors|ers|al|ive|ful|ous|ual|able|ual|ette|um|ew|ews|our|ide|ard|ates?|ouncil|board|ungen?|heit|keit|schaft|ción|ções|ção|zione)$"
+)
+_GAPS = {",": "list", "and": "list", "or": "list", "&": "list", "und": "list", "oder": "list", "et": "list", "ou": "list", "y": "list", "o": "list", "e": "list", ";": "list", "–": "beside", "-": "beside", "|": "beside", "·": "beside", "(": "beside"}
 _LEFT = re.compile(r"([^\W\d_][\w°º.-]*|n[°º])[^\w\n]{0,3}$", re.I)
 _NO_NAMES, _PLACES, _GIVEN, _PARTICLES = map(frozenset, (NO_NAMES, PLACES, GIVEN, PARTICLES.split()))
 _IMAGE = re.compile(r"\.(?:png|jpe?g|gif|svg|webp|css|js)$", re.I)
@@ -93,6 +105,65 @@ def left_cue(text: str, start: int) -> str:
     return _CUE_OF.get(m.group(1).casefold(), "none") if m else "start"
 
 
+def near_cue(text: str, start: int) -> str:
+    """The cue nearest before ``start`` among the last four words of its sentence or cell."""
+    words = [m.group() for m in _BEFORE.finditer(text, max(0, start - 60), start)][-4:]
+    for w in reversed(words):
+        if not w[0].isalpha():
+            break
+        cue = _CUE_OF.get(w.casefold()) or _CUE_OF.get(w.casefold().rstrip("."))
+        if not cue and w[-1] == ".":
+            break
+        if cue and cue != "private_person":
+            return cue
+    return "none"
+
+
+#: Segments farther apart than this have no transition of their own.
+NEAR = 16
+_NAMED_GAP = re.compile(r"[,;|·–-]? ?([^\W\d_][\w.-]*):?")
+
+
+def gap_of(text: str, end: int, start: int) -> str | None:
+    """How two segments that follow each other are joined: as parts of a list, side by side, or not closely."""
+    if not 0 < start - end <= NEAR:
+        return None
+    gap = text[end:start].strip()
+    m = _NAMED_GAP.fullmatch(gap)
+    return _GAPS.get(gap) or ("named" if m and _CUE_OF.get(m.group(1).casefold(), "other") not in ("other", "private_person") else None)
+
+
+def transition(text: str, before: Span, after: Span) -> str | None:
+    """The feature of two segments that follow each other closely: both labels and how they are joined."""
+    gap = gap_of(text, before[1], after[0])
+    return gap and f"next:{before[2]}>{after[2]}:{gap}"
+
+
+def _check_digit(digits: str) -> bool:
+    """The check of card numbers."""
+    total = sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits)))
+    return total % 10 == 0
+
+
+def number_spans(text: str, known: set[tuple[int, int]]) -> list[Span]:
+    """Runs of digits that no detector has named, each as a phone and as an account number."""
+    out: list[Span] = []
+    for m in _DIGIT_RUN.finditer(text):
+        start, end = m.span()
+        digits = re.sub(r"\D", "", m.group())
+        if not 7 <= len(digits) <= 19 or any(a < end and start < z for a, z in known):
+            continue
+        shape = ["date"] if _DATE.match(m.group()) else []
+        if len(digits) >= 13 and _check_digit(digits):
+            shape.append("checked")
+        letters = any(c.isalpha() for c in m.group())
+        for label in ("private_phone", "account_number"):
+            feats = [f"any:{label}", f"any:{label}_near={near_cue(text, start)}", f"any:{label}_digits={'few' if len(digits) < 9 else 'phone' if len(digits) < 14 else 'many'}"]
+            feats += [f"any:{label}_{x}" for x in (*shape, *(["letter"] if letters else []), *(["plus"] if m.group()[0] == "+" else []))]
+            out.append((start, end, label, tuple(feats)))
+    return out
+
+
 def _kind(token: str) -> str:
     """given, surname, initial, particle, stop, place or word"""
     if token[-1] == ".":
@@ -123,7 +194,7 @@ def person_spans(text: str, start: int = 0, stop: int | None = None) -> list[Spa
         n = len(tokens)
         commas = [text[tokens[i][1] : tokens[i + 1][0]] == ", " for i in range(n - 1)]
         for i in range(n):
-            for j in range(i + 1, min(n, i + 5)):
+            for j in range(i + 1, min(n, i + MOST_WORDS)):
                 inner = commas[i:j]
                 if sum(inner) > 1:
                     break
@@ -169,12 +240,18 @@ def _plain(text: str, start: int, end: int, kinds: list[str], inner: list[bool],
         left = "byline" if ":" in text[m.end(1) : start] or m.group(1)[0].isupper() and not text[: m.start()].rstrip(" *_#>|-\t")[-1:].isalnum() else "cue"
     else:
         left = cue
+    if left == "none" and _BEFORE.search(text, max(0, start - 14), start) and gap_of(text, start - len(_tail(text, start)), start):
+        left = "joined"
     feats = ["plain", f"plain_left={left}", "plain_form=" + (_shape(kinds) if not any(inner) else "comma"), "plain_whole" if whole else "plain_part"]
     if not _ENDS.match(text, end):
         feats.append("plain_runs_on")
     words = [w.casefold() for w in re.findall(r"\w{3,}", text[start:end])]
     if left != "none" and any(re.search(rf"\b{w}\b", text) for w in words):
         feats.append("plain_common")
+    if any(_ABSTRACT.search(w) for w in words):
+        feats.append("plain_abstract")
+    if left in ("cue", "joined", "none"):
+        feats.append(f"plain_{left}_{'abstract' if any(_ABSTRACT.search(w) for w in words) else 'word'}{min(len(kinds), 4)}")
     if "place" in kinds:
         feats.append("plain_place")
     if text[start:end].isupper():
@@ -182,6 +259,12 @@ def _plain(text: str, start: int, end: int, kinds: list[str], inner: list[bool],
     return tuple(feats)
 
 
+def _tail(text: str, start: int) -> str:
+    """The joint before ``start``: up to a blank, a conjunction or sign and a blank."""
+    m = re.search(r"(?: (?:and|or|und|oder|et|ou|y|o|e|&) |, )$", text[max(0, start - 8) : start])
+    return m.group() if m else ""
+
+
 def _shape(kinds: list[str]) -> str:
     """Which kinds a part of a name is made of: G given, g given-like, I initial, p particle, S surname, w other."""
     code = {"given": "G", "givenlike": "g", "initial": "I", "particle": "p", "surname": "S", "place": "P", "word": "w"}
@@ -196,9 +279,6 @@ straße strasse weg allee gasse platz pfad ring ufer damm steig Am An Im Zum Zur
 rue impasse chemin avenue place boulevard quai cours passage route ruelle sentier
 Calle Avenida Plaza Paseo Camino Ronda Rua Travessa Praça Largo Estrada Via Viale Vicolo Piazza Corso Strada
 """.split()
-_REACH = 110  # characters that an address may spread from the word that gives it away
-
-
 def _gate() -> ahocorasick.Automaton:
     """Words that give away an address, in one automaton."""
     a = ahocorasick.Automaton()
@@ -223,10 +303,10 @@ def _windows(text: str) -> dict[str, list[list[int]]]:
         if whole and end > size and text[end - size - 1].isalpha() and text[end - size - 1] != "n":
             continue
         w = out[tag]
-        if w and w[-1][1] >= end - _REACH:
-            w[-1][1] = min(n, end + _REACH)
-        else:
-            w.append([max(0, end - _REACH), min(n, end + _REACH)])
+        if w and w[-1][1] >= end:
+            continue
+        lo, hi = text.rfind("\n", 0, end) + 1, text.find("\n", end)
+        w.append([lo, n if hi < 0 else hi])
     for m in _NUMBER.finditer(text):
         out["N"].append([max(0, m.start() - 2), min(n, m.end() + 2)])
     return out
@@ -254,5 +334,6 @@ def candidates(text: str) -> list[Span]:
                 if label == "private_address":
                     feats.append("postcode" if re.search(r"\d{4,6}", m.group()) else "no_postcode")
                 out.add((start, end, label, tuple(feats)))
+    out.update(number_spans(text, {s[:2] for s in out}))
     out.update(person_spans(text))
     return list(out)

@@ -6,6 +6,7 @@ numbers are put together at random. No table is read.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -115,6 +116,27 @@ _SYLLABLES = "ja ko wal ski du pont smi th ga ru mi ya ota ro be nak ash pri kum
 _HEADS = "Annual Harbour Quarterly Garden Service Customer Support Report Review Editorial Office Press Team Summer Winter Festival Guide Market Museum Library Music Travel Science Programme Notes Update News Collection Overview Board Council".split()
 
 
+_COMMON = [h for h in _HEADS if S._ABSTRACT.search(h.lower())]
+_MORE_PHONES = ("###-555-####", "555 ### ####", "555#######", "0#### ######", "+1 ### ### ####", "(0##) ### ####", "555-####", "0###/#######", "+49 ### #######")
+_MORE_ACCOUNTS = ("#########", "########?", "##########", "### ### ###", "####-####-####", "?########", "############")
+_DATES = ("20##-0#-1#", "1#.0#.20##", "20##/1#/0#", "##/##/20##", "##.#####")
+_MORE_OTHERS = ("20##-0#-1#", "1#.0#.20##", "#######", "########", "### ### ###", "##.#####", "###-###-####", "1#,###,###", "20##/0#/1# 1#:##", "##-##-##-##", "#.###.###")
+
+
+def _card(r: random.Random) -> str:
+    """A card number whose check digit is right, sometimes wrong and then no item."""
+    body = [r.randrange(10) for _ in range(15)]
+    ok = next(d for d in range(10) if S._check_digit("".join(map(str, [*body, d]))))
+    last = ok if r.random() < 0.7 else (ok + r.randrange(1, 10)) % 10
+    t = "".join(map(str, [*body, last]))
+    t = " ".join(t[i : i + 4] for i in range(0, 16, 4)) if r.random() < 0.7 else t
+    return f"<account_number|{t}|>" if last == ok else t
+
+
+def _isbn(r: random.Random) -> str:
+    return next(t for t in iter(lambda: _d(r, "978-9-9999-####-#"), "") if S._check_digit(t.replace("-", "")))
+
+
 def _word(r: random.Random) -> str:
     while True:
         w = "".join(r.choice(_SYLLABLES) for _ in range(r.choice((2, 2, 3)))).title()
@@ -134,15 +156,43 @@ def plain_sentence(r: random.Random) -> str:
     h = lambda: " ".join(r.sample(_HEADS, r.choice((2, 2, 3))))
     w = lambda: r.choice(_WORDS)
     x = lambda: r.choice((h, h, lambda: plain_name(r)))()  # noqa: E731, may look like a name where none is meant
+    c = lambda: " ".join(r.sample(_COMMON, r.choice((2, 2, 3))))  # noqa: E731, words that no name has
+    cue = lambda: r.choice(("contact", "by", "par", "von", "por", "kontakt", "written by", "please contact", "author"))
+    join = lambda: r.choice((" and ", " or ", ", ", " und ", " et ", " y "))
+    phone = lambda: f"<private_phone|{_d(r, r.choice(_MORE_PHONES))}|>"
+    account = lambda: f"<account_number|{_d(r, r.choice(_MORE_ACCOUNTS))}|>"
     return r.choice((
+        lambda: f"Please {r.choice(('contact', 'Contact'))} {p()}",
+        lambda: f"{r.choice(('by', 'contact', 'par', 'von', 'por'))} {p()}{join()}{p()}",
+        lambda: f"The {w()} {cue()} {p()} shows the {w()}.",
+        lambda: f"the {w()} {cue()} {p()}{join()}{p()} is new",
+        lambda: f"The {w()} {cue()} {c()} shows the {w()} by {c()}.",
+        lambda: f"{r.choice(('my number is', 'call', 'Phone:', 'phone', 'tel.', 'Telefon', 'you can call me at', 'WhatsApp'))} {phone()}",
+        lambda: f"{r.choice(('Passport', 'passport no.', 'DNI', 'SSN', 'ID', 'Ausweis', 'IBAN', 'konto', 'Account', 'account no.', 'CPF', 'tax'))} {account()}",
+        lambda: f"{p()}, {r.choice(('phone', 'tel.', 'Telefon'))} {phone()}, {r.choice(('passport', 'ID', 'account'))} {account()}",
+        lambda: _card(r),
+        lambda: f"{r.choice(('ISBN', 'order', 'lot', 'SKU', 'version'))} {_MARK.sub(lambda m: m[2], _card(r))}",
+        lambda: f"The {w()}. ISBN {_isbn(r)}.",
+        lambda: f"The {r.choice(('mobile', 'phone', 'fax', 'account', 'id', 'passport'))} {r.choice(('list', 'office of', 'price', 'page from', 'shop'))} {_d(r, r.choice(_DATES))} shows the {w()}.",
+        lambda: f'"phone": null, "published": "{_d(r, r.choice(_DATES))}", "{w()}": "{_d(r, r.choice(_MORE_OTHERS))}"',
+        lambda: f"{w()}\n{x()}\n{x()}\n{w()}\n\n{x()}",
+        lambda: f"{x()} | {x()} | {w()}\n{w()} · {x()} · {w()}",
+        lambda: f"{r.choice(('Contact', 'Kontakt', 'Contato'))}\n{x()}\n{w()}",
+        lambda: f"{h()}, {h()}{join()}{c()}",
+        lambda: f"{c()}, {c()}",
+        lambda: f"the {w()} of {h()}{join()}{h()} shows the {w()}",
+        lambda: f"WE KEEP {w().upper()}. {h().upper()} {w().upper()}. {h().upper()}, {w().upper()} {h().upper()}",
+        lambda: f"The {w()} of {_d(r, r.choice(_MORE_OTHERS))} shows the {w()}.",
+        lambda: f"{r.choice(('Ref.', 'order', 'ISBN', 'lot', 'SKU', 'version', 'price', 'day', 'total', 'at'))} {_d(r, r.choice((*_MORE_PHONES, *_MORE_OTHERS)))}",
+        lambda: f"The {w()} has number {_d(r, r.choice(_MORE_OTHERS))}.",
         lambda: f"{r.choice(('By', 'Von', 'Par', 'Por', 'Di'))} {p()} · 2025-0{r.randrange(1, 9)}-11",
         lambda: f"{r.choice(('Contact', 'Contato', 'Kontakt', 'Author'))}: {p()}, {r.choice(('phone', 'tel.'))} <private_phone|{_d(r, r.choice(_PHONES))}|>",
         lambda: f'"{r.choice(("author", "person", "contact", "speaker"))}": "{p()}", "{r.choice(("title", "company", "venue", "headline"))}": "{x()}"',
         lambda: f'"name": "{x()}", "title": "{x()}"',
-        lambda: f"# {h()}\n\nThe {w()} of {x()} shows the {w()} by {x()} and the {r.choice(_HEADS).lower()}.",
+        lambda: f"# {h()}\n\nThe {w()} of {x()} shows the {w()} by {c()} and the {r.choice(_HEADS).lower()}.",
         lambda: f"{h()} | {h()} | {x()}",
         lambda: f"Contact: {(t := r.sample(_HEADS, 2))[0]} {t[1]}. The {t[0].lower()} is open.",
-        lambda: f"In {x()} wird der Text von {x()} gezeigt.",
+        lambda: f"In {x()} wird der Text von {c()} gezeigt.",
         lambda: f"{x()}",
     ))()
 
@@ -157,72 +207,88 @@ def parse(marked: str) -> tuple[str, set[tuple[int, int, str]]]:
     return text + marked[at:], gold
 
 
-def gradient(spans: list[S.Span], gold: set[tuple[int, int, str]], weights: dict[str, float]) -> tuple[float, dict[str, float]]:
-    """Log-likelihood of the gold segments among the candidates and its gradient (exact, over the segment lattice)."""
-    nodes = sorted({0} | {x for s in spans for x in s[:2]})
-    pos = {x: i for i, x in enumerate(nodes)}
+def _sum(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))"""
+    m = max(a, b)
+    return m if m == -math.inf else m + math.log1p(math.exp(min(a, b) - m))
+
+
+def gradient(text: str, spans: list[S.Span], gold: set[tuple[int, int, str]], weights: dict[str, float]) -> tuple[float, dict[str, float]]:
+    """Log-likelihood of the gold segments among the candidates and its gradient: forward and backward sums over all choices."""
+    spans = sorted(spans, key=lambda s: (s[1], s[0], s[2]))
     sc = [sum(weights.get(f, 0.0) for f in s[3]) for s in spans]
-    n = len(nodes)
-    into, outof = defaultdict(list), defaultdict(list)
-    for k, s in enumerate(spans):
-        into[pos[s[1]]].append(k)
-        outof[pos[s[0]]].append(k)
-
-    def add(a: float, b: float) -> float:
-        m = max(a, b)
-        return m + math.log1p(math.exp(min(a, b) - m))
-
-    alpha, beta = [0.0] * n, [0.0] * n
-    for i in range(1, n):
-        alpha[i] = alpha[i - 1]
-        for k in into[i]:
-            alpha[i] = add(alpha[i], alpha[pos[spans[k][0]]] + sc[k])
-    for i in range(n - 2, -1, -1):
-        beta[i] = beta[i + 1]
-        for k in outof[i]:
-            beta[i] = add(beta[i], beta[pos[spans[k][1]]] + sc[k])
-    z = alpha[-1]
+    ends, n = [s[1] for s in spans], len(spans)
+    before: list[list[tuple[int, str | None]]] = []  # near predecessors with their transition
+    alpha: list[float] = []
+    upto = [0.0]  # over the choices that end with one of the first spans, or none
+    for i, s in enumerate(spans):
+        far, near = bisect.bisect_right(ends, s[0] - S.NEAR - 1), bisect.bisect_right(ends, s[0], 0, i)
+        before.append([(j, S.transition(text, spans[j], s)) for j in range(far, near)])
+        a = upto[far]
+        for j, f in before[i]:
+            a = _sum(a, alpha[j] + (weights.get(f, 0.0) if f else 0.0))
+        alpha.append(a + sc[i])
+        upto.append(_sum(upto[i], alpha[i]))
+    z = upto[n]
+    after: list[list[tuple[int, str | None]]] = [[] for _ in spans]
+    for i, js in enumerate(before):
+        for j, f in js:
+            after[j].append((i, f))
+    order = sorted(range(n), key=lambda i: spans[i][0])
+    starts = [spans[i][0] for i in order]
+    since, beta = [0.0] * (n + 1), [0.0] * n
+    since[n] = -math.inf
+    for at in range(n - 1, -1, -1):
+        i = order[at]
+        b = _sum(0.0, since[bisect.bisect_left(starts, spans[i][1] + S.NEAR + 1)])
+        for k, f in after[i]:
+            b = _sum(b, sc[k] + beta[k] + (weights.get(f, 0.0) if f else 0.0))
+        beta[i] = b
+        since[at] = _sum(since[at + 1], sc[i] + b)
     g: dict[str, float] = defaultdict(float)
     ll = -z
-    for k, s in enumerate(spans):
-        p = math.exp(alpha[pos[s[0]]] + sc[k] + beta[pos[s[1]]] - z)
-        hit = (s[0], s[1], s[2]) in gold
-        ll += sc[k] * hit
+    hit = [(s[0], s[1], s[2]) in gold for s in spans]
+    for i, s in enumerate(spans):
+        p = math.exp(alpha[i] + beta[i] - z)
+        ll += sc[i] * hit[i]
         for f in s[3]:
-            g[f] += hit - p
+            g[f] += hit[i] - p
+        for j, f in before[i]:
+            if f:
+                both = hit[i] and hit[j] and not any(ends[j] <= a and z_ <= s[0] for a, z_, _ in gold)
+                w = weights.get(f, 0.0)
+                ll += w * both
+                g[f] += both - math.exp(alpha[j] + w + sc[i] + beta[i] - z)
     return ll, g
 
 
+def _listed(span: S.Span) -> bool:
+    return not span[3][0].startswith(("plain", "any:"))
+
+
 def train(n: int = 6000, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4, seed: int = 5) -> dict[str, float]:
+    """Weights of the segments that a detector or a listed name makes, from sentences that hold no other ones."""
     r = random.Random(seed)
     data = [parse(sentence(r)) for _ in range(n)]
-    lattice = [([s for s in S.candidates(t) if "plain" not in s[3]], g) for t, g in data]
-    weights: dict[str, float] = defaultdict(float)
-    for epoch in range(epochs):
-        total = 0.0
-        for spans, gold in lattice:
-            if not spans:
-                continue
-            ll, g = gradient(spans, gold, weights)
-            total += ll
-            step = rate / (1 + epoch)
-            for f, v in g.items():
-                weights[f] += step * (v - l2 * weights[f])
-        r.shuffle(lattice)
-    return dict(weights)
+    lattice = [(t, [s for s in S.candidates(t) if _listed(s)], g) for t, g in data]
+    return _fit(lattice, {}, ("",), epochs, rate, l2, r)
 
 
-def train_plain(weights: dict[str, float], n: int = 3000, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4, seed: int = 6) -> dict[str, float]:
-    """Weights of the features of names outside the lists; those of ``weights`` stay."""
+def train_plain(weights: dict[str, float], n: int = 9000, epochs: int = 6, rate: float = 0.25, l2: float = 1e-4, seed: int = 6) -> dict[str, float]:
+    """Weights of all other segments and of the transitions; those of ``weights`` stay."""
     r = random.Random(seed)
-    data = [parse(plain_sentence(r) if i % 2 else sentence(r)) for i in range(n)]
-    lattice = [(S.candidates(t), g) for t, g in data]
+    data = [parse(plain_sentence(r) if i % 3 else sentence(r)) for i in range(n)]
+    return _fit([(t, S.candidates(t), g) for t, g in data], weights, ("plain", "any:", "next:"), epochs, rate, l2, r)
+
+
+def _fit(lattice: list, weights: dict[str, float], fitted: tuple[str, ...], epochs: int, rate: float, l2: float, r: random.Random) -> dict[str, float]:
+    """Gradient steps of falling size on one sentence at a time."""
     w: dict[str, float] = defaultdict(float, weights)
     for epoch in range(epochs):
-        for spans, gold in lattice:
+        for text, spans, gold in lattice:
             if spans:
-                for f, v in gradient(spans, gold, w)[1].items():
-                    if f.startswith("plain"):
+                for f, v in gradient(text, spans, gold, w)[1].items():
+                    if f.startswith(fitted):
                         w[f] += rate / (1 + epoch) * (v - l2 * w[f])
         r.shuffle(lattice)
     return dict(w)
