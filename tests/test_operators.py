@@ -241,3 +241,12 @@ def test_found_objects_are_those_of_the_tables(spark, monkeypatch):
     assert sorted((r.rec_kind, r.rec_key, *n) for r in tables for n in r.objects) == want
     top = next(r for r in tables if (r.rec_kind, r.rec_key, r.row_path) == ("response", "1", "$"))
     assert top.columns["b\\.c"] == "1" and top.columns["b.c"] == "2" and top.columns["k\\\\.m.y"] == "\ufffd"
+
+
+def test_join_counted(spark):
+    from leafloom.operators.joining import join_counted
+
+    a, b = spark.range(20), spark.range(5, 30).withColumn("x", F.lit(1))
+    ways = [join_counted(a, b, ["id"], how, most) for how in ("inner", "left_semi") for most in (0, 100)]
+    assert [sorted(r.id for r in w.collect()) for w in ways] == [list(range(5, 20))] * 4
+    assert "BroadcastHashJoin" in ways[1]._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" not in ways[0]._jdf.queryExecution().executedPlan().toString()
