@@ -6,7 +6,8 @@ trails, page numbers) left out; a bar of links has one token for each item.
 
 *Support.* Tokens met on one page only are content. *Nesting.* The template lies around the content: a line stands at the
 page's edge if no content lies between it and the top or the bottom. A token is part of a template if a good share of its
-occurrences stand at an edge and it isn't always the line next to the content there, as titles are; tokens that occur
+occurrences stand at an edge, if it isn't always the line next to the content there, as titles are, and if the sites that
+have it have it again; tokens that occur
 mostly between lines of content are content too, and edges are found again without them. *Equivalence classes.* Tokens
 of a site with equal occurrence vectors (the set of its pages that hold them, folded into an order-free fingerprint) are
 a class; a token without enough evidence of its own follows its class, and a token that most pages of a site have at
@@ -28,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.urls import last_two_labels
+from leafloom.operators.joining import join_counted
 from leafloom.session import cut_lineage
 
 #: Kinds of tokens: with a free slot in it; without a letter.
@@ -191,7 +193,7 @@ def _with_edges(rows: DataFrame, content: Column) -> DataFrame:
 
 
 def template_lines(
-    pages: DataFrame, at_edge: float = 0.3, away: float = 0.03, least_away: int = 2, share: float = 0.5, least_pages: int = 3,
+    pages: DataFrame, at_edge: float = 0.3, away: float = 0.03, least_away: int = 2, repeated: float = 0.01, share: float = 0.5, least_pages: int = 3,
 ) -> DataFrame:
     """``id, line_no``: the non-blank lines of ``content`` that belong to the template of their site.
 
@@ -199,7 +201,8 @@ def template_lines(
     contents give no row. Pages without host are placed by the name in their own copyright line or logo.
 
     A token met on two or more pages is part of templates if ``at_edge`` of its occurrences stand at an edge and
-    ``away`` of these, ``least_away`` or more, not next to the content (slots of nested lists needn't). On its site alone
+    ``away`` of these, ``least_away`` or more, not next to the content (slots of nested lists needn't). If it is fewer than
+    half of these, ``repeated`` of the other pages of its sites must have it again, as titles met by chance don't. On its site alone
     a token is if it stands at edges on ``share`` of the site's pages, ``least_pages`` or more, or if half or more of its
     class, two tokens at least, are.
     """
@@ -209,27 +212,34 @@ def template_lines(
     )
     once = read.dropDuplicates(["page"]).select("page", "site", "lines", F.explode("items").alias("i")).select("page", "site", "lines", "i.*")
     recurring = once.groupBy("token").agg(F.sum("first").alias("pages")).filter("pages > 1").select("token")
-    known = cut_lineage(_with_edges(once.join(recurring, "token"), F.lit(False)))
+    known = cut_lineage(_with_edges(join_counted(once, recurring, ["token"]), F.lit(False)))
     inner = known.groupBy("token").agg((F.count_if("edge") < F.count("*") * at_edge).alias("content"))
-    known = cut_lineage(_with_edges(known.drop("content", "edge", "next_to").join(inner, "token"), F.col("content")))
-
-    far = F.count_if(F.col("edge") & ~F.col("next_to"))
-    edge = F.count_if("edge")
-    evidence = known.groupBy("token").agg(
-        (edge >= F.count("*") * at_edge).alias("outer"),
-        ((edge >= F.count("*") * at_edge) & ~F.bool_or("content") & (F.min("kind") != WORDLESS) & ((F.min("kind") == SLOT) | (far >= F.greatest(F.lit(least_away), edge * away)))).alias("template"),
+    known = cut_lineage(_with_edges(join_counted(known.drop("content", "edge", "next_to"), inner, ["token"]), F.col("content")))
+
+    sizes = read.select("page", "site").distinct().groupBy("site").agg(F.count("*").alias("of"))
+    vectors = known.groupBy("site", "token").agg(
+        F.bit_xor(F.when(F.col("first") == 1, F.col("page"))).alias("vector"), F.sum("first").alias("n"),
+        F.sum(F.when(F.col("edge"), F.col("first")).otherwise(0)).alias("n_edge"), F.count("*").alias("occurs"), F.count_if("edge").alias("edges"),
+        F.count_if(F.col("edge") & ~F.col("next_to")).alias("away"), F.min("kind").alias("kind"), F.bool_or("content").alias("inner"),
+    ).join(sizes, "site")
+    vectors = cut_lineage(vectors)
+    named = F.col("site") != 0
+    again = F.try_divide(F.sum(F.when(named, F.col("n") - 1)), F.sum(F.when(named, F.col("of") - 1)))
+    evidence = vectors.groupBy("token").agg(
+        (F.sum("edges") >= F.sum("occurs") * at_edge).alias("outer"), F.bool_or("inner").alias("inner_"), F.sum("away").alias("far"), F.sum("edges").alias("all_edges"),
+        F.min("kind").alias("kind_"), F.coalesce(again, F.lit(0.0)).alias("again"),
+    )
+    enough = (F.col("far") >= F.greatest(F.lit(least_away), F.col("all_edges") * away)) & ((F.col("far") * 2 >= F.col("all_edges")) | (F.col("again") >= repeated))
+    evidence = evidence.select(
+        "token", "outer", (F.col("outer") & ~F.col("inner_") & (F.col("kind_") != WORDLESS) & ((F.col("kind_") == SLOT) | enough)).alias("template")
     )
-    sizes = once.select("page", "site").distinct().groupBy("site").agg(F.count("*").alias("of"))
-    vectors = known.filter("first = 1").groupBy("site", "token").agg(
-        F.bit_xor("page").alias("vector"), F.count("*").alias("n"), F.count_if("edge").alias("n_edge"), F.min("kind").alias("kind")
-    ).join(evidence, "token").join(sizes, "site")
-    own = (F.col("site") != 0) & (F.col("n_edge") >= least_pages) & (F.col("n_edge") >= F.col("of") * share) & (F.col("kind") != WORDLESS)
-    vectors = vectors.withColumn("sure", F.col("template") | own)
+    own = named & (F.col("n_edge") >= least_pages) & (F.col("n_edge") >= F.col("of") * share) & (F.col("kind") != WORDLESS)
+    vectors = vectors.join(evidence, "token").withColumn("sure", F.col("template") | own)
     classes = vectors.groupBy("site", "vector", "n").agg(F.count("*").alias("size"), F.count_if("sure").alias("known"))
-    follows = (F.col("site") != 0) & (F.col("n") >= least_pages) & F.col("outer") & (F.col("known") >= 2) & (F.col("known") * 2 >= F.col("size"))
+    follows = named & (F.col("n") >= least_pages) & F.col("outer") & (F.col("known") >= 2) & (F.col("known") * 2 >= F.col("size"))
     template = vectors.join(classes, ["site", "vector", "n"]).filter(F.col("sure") | follows).select("site", "token")
 
-    hits = known.join(template, ["site", "token"]).groupBy("page", "line_no", "k").agg(F.count("*").alias("hits"))
+    hits = join_counted(known.select("page", "site", "token", "line_no", "k"), template, ["site", "token"]).groupBy("page", "line_no", "k").agg(F.count("*").alias("hits"))
     lines = hits.filter(F.when(F.col("k") > 2, F.col("hits") * 2 >= F.col("k")).otherwise(F.col("hits") >= F.col("k"))).select("page", "line_no")
     ids = read.select("id", "page").dropDuplicates(["id"])
     return ids.join(lines, "page").select("id", "line_no")
