@@ -99,7 +99,7 @@ class Profiles:
         n = len(ids)
         if not n:
             return None
-        # one sort by falling count, then number
+        # one sort by falling count, then number; numbers are below their count, so the two don't mix
         order = ids[(ids - count[ids] * len(self.number)).argsort()[: self.size]]
         return np.abs(self.rank[:, order] - self._places[: len(order)]).sum(axis=1) / (len(order) * self.size)
 
@@ -142,38 +142,50 @@ def fit_profiles(documents: DataFrame, sample_per_language: int = 300, size: int
     return Profiles(texts, size)
 
 
-def judge(profiles: Profiles, text: str, sure: float = 0.06) -> tuple[str, float, list[tuple[int, str, float]]] | None:
+#: What no profile fits.
+UNKNOWN = "und"
+_KANA = re.compile("[\u3041-\u30ff]")
+
+
+def recognised(profiles: Profiles, words: list[str], far: float = 0.33, lead: float = 0.06) -> tuple[str, float, list[float] | None]:
+    """Language, confidence and distances of some words; ``UNKNOWN`` if no profile has an n-gram of them, or if the nearest
+    is ``far`` and hardly nearer than the next, or if it is Japanese without a kana."""
+    got = profiles.best(words)
+    if got is None:
+        return UNKNOWN, 0.0, None
+    lang, conf, d = got
+    if conf < lead and min(d) >= far or lang == "ja" and not _KANA.search("".join(words)):
+        return UNKNOWN, 0.0, d
+    return lang, conf, d
+
+
+def judge(profiles: Profiles, text: str, sure: float = 0.05, doubt: float = 20) -> tuple[str, float, list[tuple[int, str, float]]] | None:
     """Main language with confidence, and (number, language, confidence) of each paragraph of running text.
 
-    A paragraph counts as written in another language than the rest if its lead over the main language is ``sure`` or
-    more; short ones need a greater lead, as a few n-grams say little. None if there is no running text.
+    A paragraph counts as written in another language than the rest if its lead over the main language, discounted by
+    ``doubt`` letters that say nothing, is ``sure`` or more; else it has the main language. None if there is no running text.
     """
     found = []
     for no, p in enumerate(paragraphs(text), 1):
         t = running_text(p)
         words = _RUN.findall(t)
-        letters = sum(map(len, words))
-        if letters < 2:
-            continue
-        got = profiles.best(words)
-        if got:
-            found.append((no, len(t.strip()), letters, got))
+        if words:
+            found.append((no, len(t.strip()), sum(map(len, words)), recognised(profiles, words)))
     if not found:
         return None
     chars: Counter[str] = Counter()
     for _, n, _, (lang, _, _) in found:
         chars[lang] += n
+    if len(chars) > 1:
+        del chars[UNKNOWN]
     main = min(chars, key=lambda x: (-chars[x], x))
-    at = profiles.langs.index(main)
     out, weight, total = [], 0.0, 0
-    chars.clear()
     for no, n, letters, (lang, conf, d) in found:
-        if lang != main:
-            lead = (d[at] - min(d)) / max(d[at], 1e-9)
-            if lead < sure * max(1.0, 40 / letters):
+        if lang != main and d is not None and main != UNKNOWN:
+            at = d[profiles.langs.index(main)]
+            if (at - min(d)) / max(at, 1e-9) * letters / (letters + doubt) < sure:
                 lang, conf = main, 0.0
         out.append((no, lang, conf))
-        chars[lang] += n
         weight, total = weight + conf * n * (lang == main), total + n
     return main, weight / max(total, 1), out
 
@@ -183,7 +195,7 @@ def document_languages(documents: DataFrame, sample_per_language: int = 300) ->
     text, and one row per paragraph of each document whose paragraphs are in more than one language.
 
     Null ids and texts and texts of code or JSON only give no row; repeated ids count once; extra columns are ignored.
-    Paragraphs without running text keep their number but have no row.
+    Paragraphs without running text keep their number but have no row. What no profile fits is ``und``.
     """
     profiles = fit_profiles(documents, sample_per_language)
     handed = documents.sparkSession.sparkContext.broadcast(profiles)
@@ -211,5 +223,9 @@ def document_languages(documents: DataFrame, sample_per_language: int = 300) ->
 
 
 def wrong_labels(languages: DataFrame) -> DataFrame:
-    """Of ``document_languages``: main languages that the label lacks or contradicts, and all rows of mixed paragraphs."""
-    return languages.filter((F.col("para_no") > 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))).select("doc_id", "para_no", "lang", "confidence")
+    """Of ``document_languages``: main languages that the label lacks or contradicts, and all rows of mixed paragraphs.
+
+    What no profile fits contradicts no label.
+    """
+    wrong = (F.col("para_no") > 0) | F.col("label").isNull() | (F.col("label") != F.col("lang"))
+    return languages.filter(wrong & (F.col("lang") != UNKNOWN)).select("doc_id", "para_no", "lang", "confidence")

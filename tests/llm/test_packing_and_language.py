@@ -109,3 +109,29 @@ def test_documents(spark):
 def test_paragraphs():
     assert L.paragraphs("a\n\n\nb\nc\n \nd") == ["a", "b\nc", "d"] and L.paragraphs("\n\n") == []
     assert L.running_text('{"a": 1}') == "" and L.running_text("see `x` at https://a.b/c").split() == ["see", "at"]
+
+
+def test_what_no_profile_fits_is_und(spark):
+    model = L.Profiles({k: [v] for k, v in L.STARTING_TEXTS.items()})
+    for text in (
+        "Дети ждали автобус, когда начался дождь, и никто не взял зонт.", "De kinderen wachtten op de bus toen het begon te regenen, en niemand had een paraplu meegenomen. Na een tijdje kwam de chauffeur terug met de sleutels.",
+        "孩子们在等公共汽车时开始下雨了，没有人带伞。",
+    ):
+        assert L.judge(model, text)[0] == L.UNKNOWN, text
+    for lang, text in L.STARTING_TEXTS.items():
+        main, conf, parts = L.judge(model, text + "\n\nДети ждали автобус, когда начался дождь, и никто не взял зонт.")
+        assert main == lang and conf > 0.05 and [x for _, x, _ in parts] == [lang, L.UNKNOWN]
+    docs = [(1, "Дети ждали автобус, когда начался дождь.", "ru"), (2, "Дети ждали автобус, когда начался дождь.", None), (3, L.STARTING_TEXTS["de"], "nl")]
+    got = L.document_languages(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"))
+    assert {(r.doc_id, r.lang) for r in got.collect()} == {(1, "und"), (2, "und"), (3, "de")} and [r.doc_id for r in L.wrong_labels(got).collect()] == [3]
+
+
+def test_short_paragraphs_are_judged_by_one_rule_at_every_length():
+    model = L.Profiles({k: [v] for k, v in L.STARTING_TEXTS.items()})
+    de = L.STARTING_TEXTS["de"]
+    leads = []
+    for n in range(1, 60):
+        part = L.judge(model, de + "\n\n" + "the children were waiting for the bus when it began to rain and nobody had it"[:n])[2]
+        assert len(part) == 2  # a paragraph of one letter has a row too
+        leads.append(part[1][1])
+    assert leads[0] == "de" and leads[-1] == "en"
