@@ -60,6 +60,7 @@ def estimated_tokens(chars: Column, ratio: float = CHARS_PER_TOKEN) -> Column:
     return F.ceil(chars / F.lit(ratio))
 
 
+# The wording of the prompt, and in ``normalized_error`` the patterns of the messages.
 def extraction_prompt(schema: Column, content: Column) -> Column:
     """the prompt for one page and schema; null if either is."""
     return F.concat(
@@ -142,11 +143,11 @@ def file_name(value: Column) -> Column:
 
 
 def request_options(mode: str, schema: Column) -> Column:
-    """The structured-output options of a request as JSON; null for mode ``none``."""
+    """The structured-output options of a request as JSON; an empty object for mode ``none``."""
     if mode == "json_schema":
-        return F.concat(F.lit('{"type":"json_schema","json_schema":{"name":"extraction","schema":'), schema, F.lit("}}"))
+        return F.concat(F.lit('{"type":"json_schema","json_schema":{"name":"extraction","schema":'), schema, F.lit(',"strict":false}}'))
     if mode == "json_object":
         return F.lit('{"type":"json_object"}')
     if mode == "none":
-        return F.lit(None).cast("string")
+        return F.lit("{}")
     raise ValueError(f"unknown mode {mode}")

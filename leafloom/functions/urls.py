@@ -42,9 +42,20 @@ def last_two_labels(source: Column) -> Column:
     return F.when(~is_ip(h) & h.contains("."), F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)).otherwise(None)
 
 
-def root_domain(source: Column, two_level: tuple[str, ...] = ("co.uk", "com.au", "co.jp", "com.br", "org.uk", "co.nz")) -> Column:
-    """The registrable domain: one label before the public suffix; suffixes of two labels are a parameter."""
+#: Second-level labels under which country registries give out names (co.uk, com.au, ac.jp).
+REGISTRY_LABELS = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "gv", "mil", "ne", "net", "nom", "or", "org", "sch")
+
+
+def root_domain(source: Column, more: tuple[str, ...] = ()) -> Column:
+    """The registrable domain: one label before the public suffix; null for IP addresses and hosts that are a suffix.
+
+    A suffix is the last label, or the last two where a registry label stands before a country's two letters; further
+    suffixes of two labels, as private registries have them, can be given.
+    """
     h = host_of(source)
     two = F.regexp_extract(h, r"([^.]+\.[^.]+)$", 1)
     three = F.regexp_extract(h, r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    return F.when(is_ip(h) | ~h.contains(".") | (h == "localhost"), None).when(two.isin(*two_level), F.when(three != "", three)).otherwise(two)
+    suffix = two.rlike(rf"^(?:{'|'.join(REGISTRY_LABELS)})\.[a-z]{{2}}$")
+    if more:
+        suffix = suffix | two.isin(*more)
+    return F.when(is_ip(h) | ~h.contains("."), None).when(suffix, F.when(three != "", three)).otherwise(two)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -48,23 +49,39 @@ def sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return df.orderBy(hash_order(F.col(key), seed), key).limit(n)
 
 
+def _turns(amounts: list[int], n: int) -> list[int]:
+    """How often each amount is lowered if the greatest one, the first among equals, is lowered ``n`` times by one."""
+    heap = [(-a, i) for i, a in enumerate(amounts) if a > 0]
+    heapq.heapify(heap)
+    out = [0] * len(amounts)
+    for _ in range(n if heap else 0):
+        a, i = heap[0]
+        out[i] += 1
+        if a + 1 < 0:
+            heapq.heapreplace(heap, (a + 1, i))
+        else:
+            heapq.heappop(heap)
+            if not heap:
+                break
+    return out
+
+
 def quotas(sizes: dict[str, int], n: int) -> dict[str, int]:
-    """Proportional quotas of at least one that sum up to ``n``; drift is taken from the largest, given to the one with most to spare.
+    """Quotas in proportion to the sizes, one or more each, that sum up to ``n``; all rows if ``n`` isn't below their number.
 
-    Halves are rounded to even; ties go to the stratum that comes first by name.
+    Shares are rounded, halves to even. What is too much goes from the greatest quotas, what lacks to the strata with most
+    rows left, one by one; ties go to the stratum that comes first by name.
     """
-    total = sum(sizes.values())
-    if n >= total:
-        return dict(sizes)
-    out = {k: max(1, round(n * v / total)) for k, v in sorted(sizes.items())}
-    while sum(out.values()) > n:
-        out[max(out, key=lambda k: out[k])] -= 1
-    while sum(out.values()) < n:
-        k = max(out, key=lambda k: sizes[k] - out[k])
-        if sizes[k] <= out[k]:
-            break
-        out[k] += 1
-    return out
+    names, total = sorted(sizes), sum(sizes.values())
+    if not 0 < n < total:
+        return {k: sizes[k] for k in names}
+    share = [max(1, round(n * sizes[k] / total)) for k in names]
+    drift = sum(share) - n
+    if drift > 0:
+        change = [-t for t in _turns(share, drift)]
+    else:
+        change = _turns([sizes[k] - s for k, s in zip(names, share)], -drift)
+    return {k: s + c for k, s, c in zip(names, share, change)}
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int) -> DataFrame:
@@ -110,6 +127,21 @@ def with_language(df: DataFrame, key: str, text: str, detect: Callable[[str], st
     return x.mapInArrow(run, f"`{key}` {dict(x.dtypes)[key]}, lang string")
 
 
+def calibration(df: DataFrame, key: str, tokens: Column, pool: int = 2048, most_tokens: int = 2048, n: int = 256, seed: int = 42) -> DataFrame:
+    """of a sample of ``pool`` rows those with at most ``most_tokens`` tokens, the first ``n`` of them in the sample's order."""
+    order = hash_order(F.col(key), seed)
+    return sample(df, key, pool, seed).filter(tokens <= most_tokens).orderBy(order, key).limit(n)
+
+
+def page_quotas(tiers: DataFrame, tier: str, long: str, quota: dict[str, int]) -> dict[str, int]:
+    """Quotas of the strata ``tier/short`` and ``tier/long``: half of each tier's quota, filled up from the other side."""
+    n = {(r[0], bool(r[1])): r[2] for r in tiers.groupBy(tier, long).count().collect()}  # two rows for each tier
+    out: dict[str, int] = {}
+    for t, q in quota.items():
+        out[f"{t}/short"], out[f"{t}/long"] = half_short_half_long(q, n.get((t, False), 0), n.get((t, True), 0))
+    return out
+
+
 def restricted(df: DataFrame, gold: DataFrame, key: str) -> DataFrame:
     """the rows whose key the gold table has."""
     return df.join(gold.select(key).distinct(), key, "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.jsontext import NOTHING, find_value
-from leafloom.functions.leaves import canon, is_missing, leaves, rooted, strict
+from leafloom.functions.leaves import canon, is_missing, leaves, plain, rooted, strict
 from leafloom.functions.text import clipped
 
 TIERS = ("good", "so-so", "reject")
@@ -62,7 +63,10 @@ def first_verdicts(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def response_leaves(responses: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, leaf, missing, value``: one row per leaf of the JSON that each text holds; texts without JSON have none."""
+    """``key, place, leaf, missing, value, shown``: one row per leaf of the JSON that each text holds, in its order.
+
+    ``value`` is canonical, ``shown`` is the JSON as it stands, empty objects as ``{}``. Texts without JSON have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -71,21 +75,19 @@ def response_leaves(responses: DataFrame, key: str, text: str) -> DataFrame:
                 v = find_value(t)
                 if v is NOTHING:
                     continue
-                out += [(k, p, is_missing(x), canon(x)) for p, x in leaves(rooted(v)).items()]
-            cols = list(zip(*out)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.string()))], names=["key", "leaf", "missing", "value"])
+                out += [(k, i, p, is_missing(x), canon(x), json.dumps(plain(x), ensure_ascii=False)) for i, (p, x) in enumerate(leaves(rooted(v)).items())]
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.string(), pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["key", "place", "leaf", "missing", "value", "shown"])
 
-    return responses.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").mapInArrow(run, "key string, leaf string, missing boolean, value string")
+    return responses.select(F.col(key).alias("key"), F.col(text).alias("text")).filter("text is not null").mapInArrow(run, "key string, place int, leaf string, missing boolean, value string, shown string")
 
 
 def leaf_lines(found: DataFrame, most: int = 60, chars: int = 300) -> DataFrame:
-    """``key, lines``: the first ``most`` leaves by path, one a line, each value cut to ``chars`` characters and marked.
-
-    Reading every leaf of a key into one list is bounded by the leaves of one response.
-    """
-    line = F.concat("leaf", F.lit(": "), clipped(F.col("value"), chars, "…"))
-    per = found.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("leaf", line.alias("line")))).alias("x"))
-    return per.select("key", F.array_join(F.transform(F.slice("x", 1, most), lambda y: y["line"]), "\n").alias("lines"))
+    """``key, lines``: the first ``most`` leaves in the order of the text, one a line, each value cut to ``chars`` and marked."""
+    line = F.concat("leaf", F.lit(" = "), clipped(F.col("shown"), chars, "…"))
+    per = found.filter(F.col("place") < most).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("place", line.alias("line")))).alias("x"))
+    return per.select("key", F.array_join(F.transform("x", lambda y: y["line"]), "\n").alias("lines"))
 
 
 def judge_prompt(template: str, schema: Column, content: Column, lines: Column) -> Column:
@@ -94,14 +96,43 @@ def judge_prompt(template: str, schema: Column, content: Column, lines: Column)
     return F.concat(*[values.get(part, F.lit(part)) for part in re.split(r"(\{(?:schema|content|leaves)\})", template)])
 
 
-def leaf_rates(judgments: DataFrame, found: DataFrame) -> DataFrame:
-    """Verdicts per judge, apart for filled and missing leaves; verdicts on keys that the response lacks are unmatched.
+#: Verdicts on filled leaves and on leaves that say nothing.
+FILLED_VERDICTS = ("supported", "partially_supported", "hallucinated", "wrong_field")
+MISSING_VERDICTS = ("correctly_missing", "missed_in_content")
+
+
+def _placed(judgments: DataFrame, found: DataFrame) -> DataFrame:
+    x = judgments.join(found.select(F.col("key").alias("unit_id"), "leaf", "missing"), ["unit_id", "leaf"], "left")
+    return x.withColumn("kind", F.when(F.col("missing").isNull(), "unmatched").when(F.col("missing"), "missing").otherwise("filled"))
+
+
+def leaf_counts(judgments: DataFrame, found: DataFrame) -> DataFrame:
+    """Verdicts per judge, apart for filled and missing leaves; verdicts on keys that the response lacks are unmatched.
 
     ``judgments`` has ``unit_id, judge_model, leaf, verdict``, ``found`` has ``key (= unit_id), leaf, missing``.
     """
-    x = judgments.join(found.select(F.col("key").alias("unit_id"), "leaf", "missing"), ["unit_id", "leaf"], "left")
-    kind = F.when(F.col("missing").isNull(), "unmatched").when(F.col("missing"), "missing").otherwise("filled")
-    return x.groupBy("judge_model", kind.alias("kind"), "verdict").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("units"))
+    return _placed(judgments, found).groupBy("judge_model", "kind", "verdict").agg(F.count("*").alias("n"), F.count_distinct("unit_id").alias("units"))
+
+
+def leaf_rates(
+    judgments: DataFrame, found: DataFrame, units: DataFrame, filled: tuple[str, ...] = FILLED_VERDICTS, missing: tuple[str, ...] = MISSING_VERDICTS, invented: str = "hallucinated",
+) -> DataFrame:
+    """One row per judge: leaves of each kind, the share of each verdict among the leaves of its kind, the crossover
+    rates (a verdict of one kind on a leaf of the other) and the share of ``units`` (``judge_model, unit_id``) with an
+    invented leaf. Rates have four places and are 0 where there are no leaves."""
+    x = _placed(judgments, found)
+    n = {k: F.count_if(F.col("kind") == k) for k in ("filled", "missing", "unmatched")}
+    rate = lambda kind, verdicts: F.round(F.count_if((F.col("kind") == kind) & F.col("verdict").isin(*verdicts)) / F.greatest(n[kind], F.lit(1)), 4)
+    rates = x.groupBy("judge_model").agg(
+        n["filled"].alias("n_filled_leaves"), n["missing"].alias("n_missing_leaves"), n["unmatched"].alias("n_unmatched_leaf_keys"),
+        *[rate(k, [v]).alias(f"{k}_{v}_rate") for k, vs in (("filled", filled), ("missing", missing)) for v in vs],
+        rate("filled", missing).alias("filled_crossover_rate"), rate("missing", filled).alias("missing_crossover_rate"),
+    )
+    bad = x.filter((F.col("kind") != "unmatched") & (F.col("verdict") == invented)).select("judge_model", "unit_id").distinct().withColumn("bad", F.lit(1))
+    share = units.select("judge_model", "unit_id").distinct().join(bad, ["judge_model", "unit_id"], "left").groupBy("judge_model").agg(
+        F.round(F.count("bad") / F.count("*"), 4).alias("units_with_any_hallucination_rate")
+    )
+    return share.join(rates, "judge_model", "left")
 
 
 def strict_json(text: str) -> bool:

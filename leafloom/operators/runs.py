@@ -41,17 +41,26 @@ def group_means(df: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
     )
 
 
-def rejection_table(df: DataFrame) -> DataFrame:
-    """Per group the calls done, rejected by rate limit or schema, accepted; means over all and over accepted; strict rate."""
+def rejection_table(df: DataFrame, planned: DataFrame | None = None) -> DataFrame:
+    """Per group the calls done, rejected by rate limit or schema, accepted; means over all and over accepted; strict rate.
+
+    With the ``planned`` calls also their number per group and the strict rate over it; a group without plan counts what is done.
+    """
     rejected = F.coalesce(F.col("schema_rejected"), F.lit(False))
     limit = rejected & is_rate_limit(F.col("api_error"))
     kept = lambda c: F.avg(F.when(~rejected, F.col(c)))
-    return in_groups(df).groupBy("model", "grp").agg(
+    strict = F.coalesce(F.sum(F.when(~rejected, F.col("is_schema_compliant"))), F.lit(0.0))
+    table = in_groups(df).groupBy("model", "grp").agg(
         F.count("*").alias("n_done"), F.count_if(limit).alias("n_rej_ratelimit"), F.count_if(rejected & ~limit).alias("n_rej_schema"), F.count_if(~rejected).alias("n_accepted"),
         _six(F.avg("is_schema_compliant")).alias("compliant_all"), _six(F.avg("key_f1")).alias("key_f1_all"),
         _six(kept("is_schema_compliant")).alias("compliant_accepted"), _six(kept("key_f1")).alias("key_f1_accepted"),
-        _six(F.coalesce(F.sum(F.when(~rejected, F.col("is_schema_compliant"))), F.lit(0.0)) / F.count("*")).alias("e2e_strict_done"),
+        _six(strict / F.count("*")).alias("e2e_strict_done"), strict.alias("_strict"),
     )
+    if planned is None:
+        return table.drop("_strict")
+    per = in_groups(planned).groupBy("grp").agg(F.count("*").alias("_planned"))
+    n = F.coalesce("_planned", "n_done")
+    return table.join(per, "grp", "left").select(*[c for c in table.columns if c != "_strict"], n.alias("n_planned"), _six(F.col("_strict") / n).alias("e2e_strict_planned"))
 
 
 def rejection_causes(df: DataFrame, top: int = 20) -> DataFrame:

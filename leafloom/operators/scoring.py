@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from leafloom.functions import leaves as L
 from leafloom.functions.jsontext import NOTHING, find_value
+from leafloom.operators.corpus import sample
+from leafloom.operators.quantiles import quantile_rows
 
 SCORES = ("is_valid_json", "is_schema_compliant", "key_precision", "key_recall", "key_f1", "missing_keys", "extra_keys", "value_score", "overall_bleu")
 CHANGES = ("chg_missing_convention", "chg_orig_missing_regen_content", "chg_orig_content_regen_missing", "chg_case_whitespace_only", "chg_numeric_format", "chg_content_rewrite")
@@ -108,14 +110,19 @@ def compared(pairs: DataFrame, key: str, schema: str, before: str, after: str, f
 
 
 def diff_summary(diffs: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Rates and means over the pairs, all in one aggregate; ratios are of sums."""
+    """Rates and means over the pairs in one aggregate, and the median Jaccard similarity; ratios are of sums.
+
+    ``by`` must have few values.
+    """
+    name = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("all")
+    diffs = diffs.withColumn("_set", name)
     both = F.col("jaccard").isNotNull()
     rate = lambda c: F.round(F.avg(c.cast("int")), 6)
     ratio = lambda a, b: F.round(F.try_divide(F.sum(a), F.sum(b)), 6)
     same = F.col("n_changed") == 0
     out = [
         F.count("*").alias("pairs"), *[rate(F.col(c)).alias(f"{c}_rate") for c in ("orig_valid_json", "regen_valid_json", "orig_compliant", "regen_compliant")],
-        F.round(F.avg("jaccard"), 6).alias("mean_jaccard"), F.round(F.percentile("jaccard", 0.5), 6).alias("median_jaccard"), F.round(F.avg("top_jaccard"), 6).alias("mean_top_jaccard"),
+        F.round(F.avg("jaccard"), 6).alias("mean_jaccard"), F.round(F.avg("top_jaccard"), 6).alias("mean_top_jaccard"),
         rate(F.col("identical_keys")).alias("identical_keys_rate"), rate(F.when(both, F.col("n_shared") == 0)).alias("no_shared_keys_rate"),
         F.round(F.avg("n_keys_orig"), 6).alias("mean_keys_orig"), F.round(F.avg("n_keys_regen"), 6).alias("mean_keys_regen"),
         F.percentile("orig_chars", 0.5).cast("double").alias("median_chars_orig"), F.percentile("regen_chars", 0.5).cast("double").alias("median_chars_regen"),
@@ -123,7 +130,30 @@ def diff_summary(diffs: DataFrame, by: list[str] | None = None) -> DataFrame:
         ratio("n_changed", "n_shared").alias("value_change_rate"), rate(F.when(both, F.col("identical_keys") & same)).alias("identical_pairs_rate"), rate(F.when(both, same)).alias("no_value_change_rate"),
         *[F.round(F.sum(c) / F.greatest(F.sum("n_changed"), F.lit(1)), 6).alias(f"{c}_rate") for c in CHANGES],
     ]
-    return diffs.groupBy(*by).agg(*out) if by else diffs.agg(*out)
+    median = quantile_rows(diffs.select(F.col("_set").alias("g"), F.col("jaccard").alias("v")), {"median_jaccard": 0.5}, "_set")
+    median = median.select("_set", F.round("median_jaccard", 6).alias("median_jaccard"))
+    table = diffs.groupBy("_set", *by).agg(*out) if by else diffs.agg(*out).withColumn("_set", F.lit("all"))
+    return table.join(F.broadcast(median), "_set", "left").drop("_set")  # a row for each group
+
+
+def soft_means(pairs: DataFrame, key: str, before: str, after: str, n: int = 5000, seed: int = 42) -> DataFrame:
+    """Over a sample of ``n`` pairs the mean key precision, recall and F1 of the later answer against the earlier one.
+
+    Pairs with an answer that is no JSON count as empty objects, as everywhere; null answers are no pairs.
+    """
+    x = pairs.filter(F.col(before).isNotNull() & F.col(after).isNotNull()).select(F.col(key).cast("string").alias("key"), before, after)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("key_precision", "key_recall", "key_f1")
+        for b in batches:
+            rows = []
+            for old, new in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                s = L.scores(L.without_repeated_keys(new), L.without_repeated_keys(old))
+                rows.append(tuple(s[c] for c in names))
+            yield _batch(dict.fromkeys(names, pa.float64()), rows)
+
+    got = sample(x, "key", n, seed).mapInArrow(run, "key_precision double, key_recall double, key_f1 double")
+    return got.agg(*[F.round(F.avg(c), 4).alias(f"sample_{c}") for c in ("key_precision", "key_recall", "key_f1")], F.count("*").alias("sample_n"))
 
 
 def rewrites(pairs: DataFrame, key: str, before: str, after: str, most: int = 2000) -> DataFrame:

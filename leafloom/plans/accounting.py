@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from leafloom.functions.text import long_page
 from leafloom.operators import judging, runs
 from leafloom.operators.concentration import tiers
 from leafloom.plans.describing import ROOTS, _sources
@@ -152,10 +153,54 @@ def first_leaf_verdicts(spark, d):
     return judging.first_verdicts(j, ["unit_id", "judge_model"]).groupBy("judge_model", "verdict").agg(F.count("*").alias("n"))
 
 
-@query("leaf_verdict_rates")
-def leaf_verdict_rates(spark, d):
+def _verdicts(spark, d):
+    """Verdicts, leaves of the judged responses, and the judged units."""
     j = table(spark, d, "judgments", ["unit_id", "judge_model", "leaves", "error"]).filter("error is null")
-    verdicts = judging.first_verdicts(j, ["unit_id", "judge_model"])
     ids = j.select(F.expr("substring(unit_id, 3)").alias("id")).distinct()
     r = table(spark, d, "raw_rows", ["id", "response"]).join(ids, "id", "left_semi").dropDuplicates(["id"]).select(F.concat(F.lit("u-"), "id").alias("unit_id"), "response")
-    return judging.leaf_rates(verdicts, judging.response_leaves(r, "unit_id", "response"))
+    return judging.first_verdicts(j, ["unit_id", "judge_model"]), judging.response_leaves(r, "unit_id", "response"), j
+
+
+@query("leaf_verdict_counts")
+def leaf_verdict_counts(spark, d):
+    verdicts, found, _ = _verdicts(spark, d)
+    return judging.leaf_counts(verdicts, found)
+
+
+@query("leaf_verdict_rates")
+def leaf_verdict_rates(spark, d):
+    return judging.leaf_rates(*_verdicts(spark, d), ("correct", "wrong", "unsupported"), ("missing",), "unsupported")
+
+
+@query("rejection_table_with_plan", _LAST + _GRP.replace(", g AS", ", pl AS (SELECT DISTINCT idx, complexity_bucket, schema_depth, schema_keys FROM m), pg AS (SELECT 'overall' grp, * FROM pl UNION ALL SELECT complexity_bucket, * FROM pl WHERE complexity_bucket IS NOT NULL UNION ALL SELECT 'depth>=7', * FROM pl WHERE schema_depth >= 7 UNION ALL SELECT 'keys>=200', * FROM pl WHERE schema_keys >= 200), pn AS (SELECT grp, count(*) n FROM pg GROUP BY 1), g AS") + "SELECT model, grp, count(*) AS n_done, max(pn.n) AS n_planned, round(coalesce(sum(is_schema_compliant) FILTER (WHERE NOT coalesce(schema_rejected, false)), 0) / max(pn.n) + 1e-10, 6) AS e2e_strict_planned FROM g JOIN pn USING (grp) GROUP BY 1, 2")
+def rejection_table_with_plan(spark, d):
+    """A20 against a plan: every call that any model has made."""
+    m = _results(spark, d)
+    planned = m.select("idx", "complexity_bucket", "schema_depth", "schema_keys").distinct()
+    return runs.rejection_table(m, planned).select("model", "grp", "n_done", "n_planned", "e2e_strict_planned")
+
+
+@query("gold_coverage", "WITH g AS (SELECT DISTINCT idx FROM model_results), p AS (SELECT idx, max(key_f1) f FROM model_results WHERE model = (SELECT min(model) FROM model_results) AND key_f1 IS NOT NULL GROUP BY 1) SELECT count(*) AS n_gold, count(*) FILTER (WHERE f IS NULL) AS n_missing, round(avg(f) + 1e-10, 6) AS mean_covered, round(avg(coalesce(f, 0)) + 1e-10, 6) AS mean_strict FROM g LEFT JOIN p USING (idx)")
+def gold_coverage(spark, d):
+    """A model's key F1 against all calls; calls without score count 0 in the strict mean."""
+    m = table(spark, d, "model_results", ["idx", "model", "key_f1"])
+    run = runs.last_wins(m.filter((F.col("model") == m.agg(F.min("model")).scalar()) & F.col("key_f1").isNotNull()).drop("model"), ["idx"], ["key_f1"])
+    return runs.against_gold(run, m, "idx", "key_f1")
+
+
+@query("tier_shares_by_page_length", "WITH r AS (SELECT id, bool_or(coalesce(length(content) > 14336, false)) long_page FROM raw_rows WHERE id IS NOT NULL GROUP BY 1), j AS (SELECT g.tier, r.long_page FROM judgments g JOIN r ON g.unit_id = 'u-' || r.id WHERE error IS NULL) SELECT long_page, count(tier) AS n, " + ", ".join(f"round(count(*) FILTER (WHERE tier = '{t}') / greatest(count(tier), 1), 6) AS {t.replace('-', '_')}_rate" for t in judging.TIERS) + " FROM j GROUP BY 1")
+def tier_shares_by_page_length(spark, d):
+    """The slices of short and long pages."""
+    j = table(spark, d, "judgments", ["unit_id", "tier", "error"]).filter("error is null")
+    r = table(spark, d, "raw_rows", ["id", "content"]).select(F.concat(F.lit("u-"), "id").alias("unit_id"), long_page(F.col("content")).alias("long_page"))
+    return judging.tier_shares(j.join(r.groupBy("unit_id").agg(F.bool_or("long_page").alias("long_page")), "unit_id"), ["long_page"])
+
+
+@query("judge_prompts")
+def judge_prompts(spark, d):
+    """The prompt for each judged unit, as its length and digest."""
+    ids = table(spark, d, "judgments", ["unit_id"]).select(F.expr("substring(unit_id, 3)").alias("id")).distinct()
+    r = table(spark, d, "raw_rows", ["id", "schema", "content", "response"]).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    lines = judging.leaf_lines(judging.response_leaves(r, "id", "response")).withColumnRenamed("key", "id")
+    p = judging.judge_prompt("Schema:\n{schema}\n\nContent:\n{content}\n\nLeaves:\n{leaves}", F.col("schema"), F.col("content"), F.col("lines"))
+    return r.join(lines, "id").select("id", F.char_length(p).alias("chars"), F.md5(p).alias("digest")).filter("digest is not null")

@@ -42,8 +42,10 @@ def leak_funnel(spark, d):
     return align.leak_reasons(records, matches).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("run_coverage_difference", "WITH a AS (SELECT DISTINCT idx FROM model_results WHERE model = (SELECT min(model) FROM model_results)), b AS (SELECT DISTINCT idx FROM model_results WHERE model = (SELECT max(model) FROM model_results)) SELECT coalesce(a.idx, b.idx) AS idx, CASE WHEN a.idx IS NULL THEN 'missing' ELSE 'extra' END AS side FROM a FULL JOIN b USING (idx) WHERE a.idx IS NULL OR b.idx IS NULL")
+@query("run_coverage_difference", "WITH v AS (SELECT DISTINCT idx, model FROM model_results WHERE is_schema_compliant = 1), a AS (SELECT idx FROM v WHERE model = (SELECT min(model) FROM model_results)), b AS (SELECT idx FROM v WHERE model = (SELECT max(model) FROM model_results)) SELECT coalesce(a.idx, b.idx) AS idx, CASE WHEN a.idx IS NULL THEN 'missing' ELSE 'extra' END AS side FROM a FULL JOIN b USING (idx) WHERE a.idx IS NULL OR b.idx IS NULL")
 def run_coverage_difference(spark, d):
-    m = table(spark, d, "model_results", ["idx", "model"])
+    """Calls that one of two models alone has answered in compliance."""
+    m = table(spark, d, "model_results", ["idx", "model", "is_schema_compliant"])
+    good = m.filter("is_schema_compliant = 1")
     first, last = m.agg(F.min("model")).scalar(), m.agg(F.max("model")).scalar()
-    return align.set_difference(m.filter(F.col("model") == first), m.filter(F.col("model") == last), "idx")
+    return align.set_difference(good.filter(F.col("model") == first), good.filter(F.col("model") == last), "idx")

@@ -26,13 +26,22 @@ def json_validity(spark, d):
     return v.select(s[0].alias("model"), s[1].cast("bigint").alias("idx"), F.col("is_valid").alias("valid"))
 
 
-@query("json_extraction", "SELECT model, idx, max(clean_response) AS json FROM model_results WHERE clean_response IS NOT NULL AND json_valid(clean_response) AND contains(model_response, clean_response) AND NOT contains(model_response, '```') AND left(ltrim(model_response), 1) IN ('{', '[') GROUP BY 1, 2")
+_TOKENS = r"""'"(?:\\[\s\S]|[^"\\])*"?|\\[\s\S]?|[{}\[\]]|[^"\\{}\[\]]+'"""
+EXTRACTION_SQL = r"""
+WITH m AS (SELECT model, idx, max(model_response) AS r FROM model_results WHERE model_response IS NOT NULL GROUP BY 1, 2),
+f AS (SELECT *, regexp_matches(r, '```(?:json)?\s*([\s\S]*?)```') AS fenced, regexp_extract(r, '[{\[][\s\S]*') AS tail FROM m),
+t AS (SELECT model, idx, unnest(regexp_extract_all(tail, TOKENS)) AS tok, generate_subscripts(regexp_extract_all(tail, TOKENS), 1) AS i, left(tail, 1) AS o FROM f WHERE NOT fenced AND tail <> ''),
+d AS (SELECT *, sum(CASE WHEN tok = o THEN 1 WHEN tok = CASE o WHEN '{' THEN '}' ELSE ']' END THEN -1 ELSE 0 END) OVER (PARTITION BY model, idx ORDER BY i) AS depth FROM t),
+e AS (SELECT model, idx, min(i) FILTER (WHERE depth = 0) AS stop FROM d GROUP BY 1, 2),
+s AS (SELECT d.model, d.idx, string_agg(tok, '' ORDER BY i) AS span FROM d JOIN e ON d.model = e.model AND d.idx = e.idx AND d.i <= e.stop GROUP BY 1, 2)
+SELECT f.model, f.idx, CASE WHEN fenced THEN regexp_replace(regexp_extract(r, '```(?:json)?\s*([\s\S]*?)```', 1), '^\s+|\s+$', '', 'g') ELSE coalesce(s.span, r) END AS json FROM f LEFT JOIN s USING (model, idx)
+""".replace("TOKENS", _TOKENS)
+
+
+@query("json_extraction", EXTRACTION_SQL)
 def json_extraction(spark, d):
-    clean = table(spark, d, "model_results", ["model", "idx", "clean_response", "model_response"]).filter(
-        "clean_response is not null and contains(model_response, clean_response) and not contains(model_response, '```') and left(ltrim(model_response), 1) in ('{', '[')")
-    got = scoring.extracted(clean, ["model", "idx", "clean_response"], "model_response")
-    valid = scoring.validated(got.withColumn("k", F.concat_ws("#", "model", "idx")).withColumn("s", F.lit("{}")), "k", "clean_response", "s").filter("is_valid").select("key").distinct()
-    return got.join(valid, F.concat_ws("#", "model", "idx") == F.col("key"), "left_semi").groupBy("model", "idx").agg(F.max("json").alias("json"))
+    m = table(spark, d, "model_results", ["model", "idx", "model_response"]).filter("model_response is not null")
+    return scoring.extracted(m.groupBy("model", "idx").agg(F.max("model_response").alias("model_response")), ["model", "idx"], "model_response")
 
 
 @query("json_scores")
@@ -46,15 +55,12 @@ def json_score_means(spark, d):
     return s.groupBy("model").agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in scoring.SCORES])
 
 
-@query("response_leaf_counts", "WITH r AS (SELECT DISTINCT id, response FROM raw_rows WHERE id IS NOT NULL AND json_valid(response) AND left(ltrim(response), 1) = '{') SELECT id, len(json_keys(response)) AS members FROM r")
+@query("response_leaf_counts")
 def response_leaf_counts(spark, d):
-    """Members of the top object, counted over the leaves: the distinct first steps of their paths."""
-    r = table(spark, d, "raw_rows", ["id", "response"]).filter("id is not null and left(ltrim(response), 1) = '{'")
-    v = scoring.validated(r.withColumn("s", F.lit("{}")), "id", "response", "s").filter("is_valid").select("key").distinct()
-    found = judging.response_leaves(r, "id", "response").join(v, "key", "left_semi")
-    first = F.regexp_extract("leaf", r"^((?:\\.|[^.\[\\])*)", 1)
-    per = found.groupBy("key").agg(F.count_distinct(first).alias("members"))
-    return v.join(per, "key", "left").select(F.col("key").alias("id"), F.coalesce("members", F.lit(0)).alias("members"))
+    """Leaves, missing leaves and characters of the leaves' values of every response that holds JSON, however it is wrapped."""
+    r = table(spark, d, "raw_rows", ["id", "response"]).filter("id is not null")
+    found = judging.response_leaves(r, "id", "response").dropDuplicates(["key", "leaf"])
+    return found.groupBy(F.col("key").alias("id")).agg(F.count("*").alias("leaves"), F.count_if("missing").alias("missing"), F.sum(F.char_length("value")).alias("chars"))
 
 
 def _pairs(spark, d):
@@ -74,10 +80,54 @@ def answer_diff_by_compliance(spark, d):
     return scoring.diff_summary(scoring.compared(a, "k", "schema", "ground_truth", "clean_response", "same"), ["flag"])
 
 
+def _two_models(spark, d):
+    """The answers of the first and the last model to the same call, and what was expected."""
+    a = _answers(spark, d)
+    of = lambda end, name: a.filter(F.col("model") == a.agg(end("model")).scalar()).select("idx", F.col("clean_response").alias(name), "schema", F.col("ground_truth").alias(f"{name}_true"))
+    return of(F.min, "before").join(of(F.max, "after").drop("schema"), "idx")
+
+
+@query("soft_sample_means")
+def soft_sample_means(spark, d):
+    """Over 5,000 pairs of a model's answer and the expected one."""
+    return scoring.soft_means(_answers(spark, d).withColumn("k", F.concat_ws("#", "model", "idx")), "k", "ground_truth", "clean_response")
+
+
+@query("rewrite_shares")
+def rewrite_shares(spark, d):
+    """Label shares, those that need a judge spread by the answer that the expected value supports."""
+    p = _two_models(spark, d)
+    r = scoring.rewrites(p, "idx", "before", "after")
+    judged = r.filter("heuristic = 'needs_judge'").select("leaf_id", F.when(F.char_length("orig") >= F.char_length("regen"), "shorter").otherwise("longer").alias("judge"), F.lit(None).cast("string").alias("manual"))
+    return scoring.extrapolated(r, judged)
+
+
+@query("gold_edits")
+def gold_edits(spark, d):
+    """Leaves that differ between a model's answer, as the draft, and the expected one, per bucket."""
+    m = table(spark, d, "model_results", ["model", "idx", "complexity_bucket", "clean_response", "ground_truth"]).dropDuplicates(["model", "idx"])
+    return scoring.edits(m.withColumn("k", F.concat_ws("#", "model", "idx")), "k", "clean_response", "ground_truth", "complexity_bucket")
+
+
+@query("annotation_problems")
+def annotation_problems(spark, d):
+    """The answers of the first model as the annotations of all calls."""
+    m = _answers(spark, d)
+    done = m.filter(F.col("model") == m.agg(F.min("model")).scalar()).select("idx", (F.col("idx") % 10 != 0).alias("verified"), F.col("clean_response").alias("gold"), "schema")
+    return scoring.annotation_problems(m.select("idx").distinct(), done, "idx")
+
+
+@query("pair_units", "WITH p AS (SELECT id, schema, content, response FROM raw_rows WHERE id IS NOT NULL AND content IS NOT NULL AND response IS NOT NULL GROUP BY ALL), u AS (SELECT 'pair_orig-' || id AS unit_id, id, 'pair_orig' AS kind, content FROM p UNION ALL SELECT 'pair_regen-' || id, id, 'pair_regen', substr(content, 1, 1000) FROM p) SELECT unit_id, id AS pair_id, kind, length(content) AS chars FROM u")
+def pair_units(spark, d):
+    """Each response on its page and on the head of it."""
+    r = table(spark, d, "raw_rows", ["id", "schema", "content", "response"]).filter("id is not null and content is not null and response is not null")
+    pairs = r.select(F.col("id").alias("pair_id"), "schema", F.col("content").alias("page"), F.substring("content", 1, 1000).alias("chunk"), F.col("response").alias("before"), F.col("response").alias("after"))
+    return scoring.pair_units(pairs).select("unit_id", "pair_id", "kind", F.char_length("content").cast("bigint").alias("chars")).dropDuplicates(["unit_id"])
+
+
 @query("rewrite_taxonomy")
 def rewrite_taxonomy(spark, d):
-    a = _answers(spark, d).withColumn("k", F.concat_ws("#", "model", "idx"))
-    r = scoring.rewrites(a, "k", "ground_truth", "clean_response")
+    r = scoring.rewrites(_two_models(spark, d), "idx", "before", "after")
     return r.groupBy("heuristic").agg(F.count("*").alias("n"), F.count_distinct("key").alias("pairs"))
 
 

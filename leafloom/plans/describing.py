@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.functions.text import right_closed_bin, score_bucket
-from leafloom.functions.urls import host_of, last_two_labels
+from leafloom.functions.urls import REGISTRY_LABELS, host_of, root_domain
 from leafloom.operators import concentration, stats
 from leafloom.plans.registry import query
 from leafloom.sources.tables import once_per_id, table
@@ -156,7 +156,7 @@ def nearest_page(spark, d):
 
 def _sources(spark, d, *more: str) -> DataFrame:
     r = raw(spark, d, "source", "schema_hash", *more)
-    root = last_two_labels(F.col("source"))
+    root = root_domain(F.col("source"))
     return r.select("*", root.alias("root"), F.when(root.isNotNull(), host_of(F.col("source"))).alias("host"))
 
 
@@ -164,7 +164,7 @@ ROOTS = r"""WITH t AS (SELECT DISTINCT id, source, schema_hash, regexp_replace(s
 h AS (SELECT id, source, schema_hash, CASE WHEN regexp_matches(s, '^[A-Za-z][A-Za-z0-9+.-]*://') AND NOT regexp_matches(lower(s), '^https?://') THEN NULL
   ELSE lower(regexp_replace(regexp_replace(regexp_replace(regexp_extract(regexp_replace(s, '^[A-Za-z][A-Za-z0-9+.-]*://', ''), '^([^/?#]*)', 1), '^.*@', ''), ':\d*$', ''), '\.+$', '')) END host0 FROM t),
 r AS (SELECT id, source, schema_hash, CASE WHEN host0 LIKE '%.%' AND NOT regexp_matches(host0, '^\d+\.\d+\.\d+\.\d+$') AND NOT regexp_matches(host0, '[\s:]') THEN host0 END host,
-  CASE WHEN host0 LIKE '%.%' AND NOT regexp_matches(host0, '^\d+\.\d+\.\d+\.\d+$') AND NOT regexp_matches(host0, '[\s:]') THEN regexp_extract(host0, '([^.]+\.[^.]+)$', 1) END root FROM h) """
+  CASE WHEN host0 LIKE '%.%' AND NOT regexp_matches(host0, '^\d+\.\d+\.\d+\.\d+$') AND NOT regexp_matches(host0, '[\s:]') THEN CASE WHEN regexp_matches(host0, '(^|\.)(""" + "|".join(REGISTRY_LABELS) + r""")\.[a-z]{2}$') THEN nullif(regexp_extract(host0, '([^.]+\.[^.]+\.[^.]+)$', 1), '') ELSE regexp_extract(host0, '([^.]+\.[^.]+)$', 1) END END root FROM h) """
 
 
 @query("domain_summary", ROOTS + "SELECT count(*) AS rows, count(root) AS web_rows, count(DISTINCT CASE WHEN root IS NOT NULL THEN source END) AS urls, count(DISTINCT host) AS hosts, count(DISTINCT root) AS roots, count(DISTINCT schema_hash) AS schemas FROM r")
@@ -209,4 +209,4 @@ def domain_tiers(spark, d):
 @query("bootstrap_validity")
 def bootstrap_validity(spark, d):
     df = raw(spark, d, "llm_model", "response_is_valid").withColumn("v", F.col("response_is_valid").cast("double"))
-    return stats.bootstrap_interval(df.filter("llm_model is not null"), "v", ["llm_model"], 200)
+    return stats.bootstrap_interval(df.filter("llm_model is not null"), "v", ["llm_model"])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafloom.functions.text import CAPS, chunk_geometry, chunks, estimated_tokens, extraction_prompt, file_name, long_page, score_bucket
+from leafloom.functions.text import CAPS, chat_messages, chunk_geometry, chunks, estimated_tokens, extraction_prompt, file_name, long_page, request_options, score_bucket
 from leafloom.operators import corpus
 from leafloom.operators.concentration import tiers
 from leafloom.plans.describing import _BUCKET, ROOTS, _raw, _sources, raw
@@ -104,3 +104,42 @@ def schema_stats_lookup(spark, d):
     s = keyed.groupBy("h1", "h2").agg(F.max_by("schema_complexity_score", "id").alias("score"), F.max_by("schema_depth", "id").alias("depth"))
     f = table(spark, d, "finetune", ["ft_id", "schema"]).select("ft_id", F.xxhash64("schema").alias("h1"), F.md5("schema").alias("h2"))
     return f.join(s, ["h1", "h2"], "left").select("ft_id", "score", "depth", score_bucket(F.col("score")).alias("bucket"))
+
+
+@query("tier_page_sample")
+def tier_page_sample(spark, d):
+    """Of each tier half short and half long pages, filled up from the other side."""
+    long = once_per_id(table(spark, d, "raw_rows", ["id", "content"]).select("id", long_page(F.col("content")).alias("long_page")))
+    pop = tiers(_sources(spark, d), "root").select("id", "tier").join(long, "id")
+    quota = corpus.page_quotas(pop, "tier", "long_page", {"head": 40, "torso": 40, "tail": 20})
+    named = pop.withColumn("stratum", F.concat_ws("/", "tier", F.when(F.col("long_page"), "long").otherwise("short")))
+    return corpus.by_quota(named, "id", "stratum", quota, 3).select("id", "stratum")
+
+
+@query("calibration_sample", "WITH p AS (SELECT ft_id, length(content) n, row_number() OVER (ORDER BY md5(concat(ft_id, ':42')), ft_id) k FROM finetune WHERE content IS NOT NULL) SELECT ft_id FROM p WHERE k <= 2048 AND ceil(n / 3.5) <= 512 ORDER BY k LIMIT 256")
+def calibration_sample(spark, d):
+    """a pool of 2,048 records, those short enough, the first 256."""
+    f = table(spark, d, "finetune", ["ft_id", "content"]).filter("content is not null").select("ft_id", F.char_length("content").alias("n"))
+    return corpus.calibration(f, "ft_id", F.ceil(F.col("n") / 3.5), most_tokens=512).select("ft_id")
+
+
+@query("chat_turns", "SELECT ft_id, unnest(['user', 'assistant']) AS role, unnest([md5('Extract data from the content according to the JSON schema.\nSchema: ' || schema || '\nContent: ' || content || '\nReturn ONLY valid JSON matching the schema.'), md5(response)]) AS digest FROM finetune WHERE schema IS NOT NULL AND content IS NOT NULL AND response IS NOT NULL")
+def chat_turns(spark, d):
+    """the two turns of each training example."""
+    f = table(spark, d, "finetune", ["ft_id", "schema", "content", "response"]).dropna(subset=["schema", "content", "response"])
+    turns = chat_messages(extraction_prompt(F.col("schema"), F.col("content")), F.col("response"))
+    return f.select("ft_id", F.explode(turns).alias("t")).select("ft_id", "t.role", F.md5("t.content").alias("digest"))
+
+
+@query("request_option_sizes", """SELECT ft_id, length('{"type":"json_schema","json_schema":{"name":"extraction","schema":' || schema || ',"strict":false}}') AS json_schema, length('{"type":"json_object"}') AS json_object, length('{}') AS none_ FROM finetune WHERE schema IS NOT NULL""")
+def request_option_sizes(spark, d):
+    """Characters of the structured-output options of each request, by mode."""
+    f = table(spark, d, "finetune", ["ft_id", "schema"]).filter("schema is not null")
+    return f.select("ft_id", *[F.char_length(request_options(m, F.col("schema"))).cast("bigint").alias(n) for m, n in (("json_schema", "json_schema"), ("json_object", "json_object"), ("none", "none_"))])
+
+
+@query("restricted_to_gold", "SELECT f.ft_id, f.split FROM finetune f WHERE ft_id IN (SELECT idx FROM model_results)")
+def restricted_to_gold(spark, d):
+    """the records that a model was asked about."""
+    gold = table(spark, d, "model_results", ["idx"]).select(F.col("idx").alias("ft_id"))
+    return corpus.restricted(table(spark, d, "finetune", ["ft_id", "split"]), gold, "ft_id")

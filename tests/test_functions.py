@@ -106,3 +106,29 @@ def test_value_not_found():
     for text in (None, "", "prose", '{"a": 1', '{"a": 1} and more', "3", '"text"', "NaN", '{"a": NaN}'):
         assert find_value(text) is NOTHING
     assert find_value("3", container=False) == 3
+
+
+def test_json_strings_are_opened_however_many():
+    import json
+
+    from leafloom.functions.jsontext import find_value
+
+    text = '{"a": 1}'
+    for _ in range(7):
+        text = json.dumps(text)
+    assert find_value(text) == {"a": 1}
+
+
+def test_readings_of_numbers_and_dates():
+    import datetime
+
+    from leafloom.functions import leaves as L
+
+    assert L.numeric_readings("1,234") == {1234.0, 1.234} and L.numeric_readings("$1,299.00") == {1299.0} and L.numeric_readings("about 5 units") == set()
+    assert L.numeric_readings(True) == set() and L.numeric_readings(3) == {3.0} and L.numeric_readings("-") == set() and L.numeric_readings("1,2,3") == {123.0} and L.numeric_readings("12 EUR") == {12.0}
+    day = datetime.date(2024, 3, 5)
+    for text in ("2024-03-05", "3/5/2024", "03.05.2024", "3-5-24", "March 5, 2024", "Mar. 5th 2024", "2024-03-05T10:20:30Z", "2024-3-5 10:20 am", "Tue, Mar 5 2024"):
+        assert L.date_reading(text) == day, text
+    assert L.date_reading("25/12/2023") == datetime.date(2023, 12, 25) and L.date_reading("Mar 5") == datetime.date(datetime.date.today().year, 3, 5)
+    assert all(L.date_reading(x) is None for x in ("", None, 5, "2024-13-45", "on 2024-03-05", "x" * 41, "March"))
+    assert L.without_repeated_keys('{"a":1,"a":2,"b":{"c":1,"c":2,"c":3,"d":4}}') == {"b": {"d": 4}} and L.without_repeated_keys("{") == {}

@@ -138,7 +138,54 @@ def test_agreement(spark):
     fv = judging.first_verdicts(j, ["unit_id", "judge_model"])
     assert sorted((r.leaf, r.verdict) for r in fv.collect()) == [("a", "x"), ("zz", "x")]
     found = judging.response_leaves(spark.createDataFrame([("u", '{"a": "N/A"}'), ("v", None)], "unit_id string, response string"), "unit_id", "response")
-    assert {(r.kind, r.n) for r in judging.leaf_rates(fv, found).collect()} == {("missing", 1), ("unmatched", 1)}
+    assert {(r.kind, r.n) for r in judging.leaf_counts(fv, found).collect()} == {("missing", 1), ("unmatched", 1)}
+
+
+def test_leaf_rates(spark):
+    text = json.dumps({"a": 1, "b": "x", "c": None, "d": {}, "e": "N/A"})
+    found = judging.response_leaves(spark.createDataFrame([("u", text), ("v", text)], "unit_id string, response string"), "unit_id", "response")
+    said = [("u", "j", "a", "supported"), ("u", "j", "b", "hallucinated"), ("u", "j", "c", "correctly_missing"), ("u", "j", "e", "supported"), ("u", "j", "zz", "hallucinated"), ("v", "j", "a", "missed_in_content"), ("v", "k", "a", "supported")]
+    verdicts = spark.createDataFrame(said, "unit_id string, judge_model string, leaf string, verdict string")
+    units = spark.createDataFrame([("u", "j"), ("v", "j"), ("w", "j"), ("v", "k")], "unit_id string, judge_model string")
+    r = {x.judge_model: x for x in judging.leaf_rates(verdicts, found, units).collect()}
+    j = r["j"]
+    assert (j.n_filled_leaves, j.n_missing_leaves, j.n_unmatched_leaf_keys) == (3, 2, 1)
+    assert (j.filled_supported_rate, j.filled_hallucinated_rate, j.filled_crossover_rate) == (0.3333, 0.3333, 0.3333)
+    assert (j.missing_correctly_missing_rate, j.missing_crossover_rate, j.units_with_any_hallucination_rate) == (0.5, 0.5, 0.3333)
+    assert r["k"].units_with_any_hallucination_rate == 0 and r["k"].filled_supported_rate == 1
+
+
+def test_bootstrap(spark):
+    rows = [("a", float(i % 4 == 0)) for i in range(400)] + [("b", 1.0)] * 5 + [("c", None), (None, 2.0)]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "g string, v double, i int")
+    one, two = (sorted(((r.g, r.mean, r.n, r.lo, r.hi) for r in stats.bootstrap_interval(df.repartition(p), "v", ["g"]).collect()), key=str) for p in (1, 5))
+    assert one == two  # the draws don't depend on the partitions
+    by = {g: x for g, *x in one}
+    mean, n, lo, hi = by["a"]
+    assert (mean, n) == (0.25, 400) and abs(lo - 0.2075) < 0.01 and abs(hi - 0.2925) < 0.01  # 1.96 deviations of 0.0217 around it
+    assert by["b"] == [1.0, 5, 1.0, 1.0] and by["c"] == [None, 0, None, None] and by[None][0] == 2.0
+    assert stats.bootstrap_interval(df, "v", []).first().n == 406 and stats.bootstrap_interval(df.limit(0), "v", ["g"]).count() == 0
+
+
+def test_rejections_against_a_plan(spark):
+    cols = "model string, idx int, complexity_bucket string, schema_depth int, schema_keys int, schema_rejected boolean, api_error string, is_schema_compliant double, key_f1 double"
+    done = spark.createDataFrame([("m", 1, "0-50", 1, 1, False, None, 1.0, 0.5), ("m", 2, "0-50", 1, 1, True, "rate limit", 1.0, 0.5)], cols)
+    planned = spark.createDataFrame([(i, "0-50", 1, 1) for i in range(4)], "idx int, complexity_bucket string, schema_depth int, schema_keys int")
+    r = {x.grp: x for x in runs.rejection_table(done, planned).collect()}
+    assert all((x.n_planned, x.n_done, x.e2e_strict_done, x.e2e_strict_planned) == (4, 2, 0.5, 0.25) for x in r.values()) and set(r) == {"overall", "0-50"}
+
+
+def test_soft_means(spark):
+    df = spark.createDataFrame([(1, '{"a":1,"b":2}', '{"a":1}'), (2, '{"a":1}', "no json"), (3, None, "{}")], "k int, x string, y string")
+    r = scoring.soft_means(df, "k", "x", "y").first()
+    assert (r.sample_key_precision, r.sample_key_recall, r.sample_key_f1, r.sample_n) == (0.5, 0.25, 0.3333, 2)
+
+
+def test_page_quotas_and_calibration(spark):
+    df = spark.createDataFrame([(i, "head" if i < 30 else "tail", i % 10 == 0) for i in range(40)], "id int, tier string, long boolean")
+    assert corpus.page_quotas(df, "tier", "long", {"head": 10, "tail": 4, "torso": 3}) == {"head/short": 7, "head/long": 3, "tail/short": 3, "tail/long": 1, "torso/short": 0, "torso/long": 0}
+    got = corpus.calibration(df.withColumn("n", F.col("id")), "id", F.col("n"), pool=20, most_tokens=25, n=5)
+    assert got.count() == 5 and got.filter("n > 25").count() == 0
 
 
 def test_nested_tables(spark, rows):
@@ -219,7 +266,7 @@ def test_gold_and_judge_helpers(spark, rows):
     assert rows(corpus.with_language(texts, "k", "t", lambda t: "xx" if t == "a b" else None)) == [(1, "xx"), (2, "unknown"), (3, "unknown")]
     found = judging.response_leaves(spark.createDataFrame([("u", json.dumps({"b": "y" * 400, "a": 1}))], "k string, t string"), "k", "t")
     lines = judging.leaf_lines(found).first().lines.split("\n")
-    assert lines[0] == "a: 1" and lines[1].endswith("…") and len(lines[1]) == 304 and judging.leaf_lines(found, 1).first().lines == "a: 1"
+    assert lines[1] == "a = 1" and lines[0].startswith('b = "yy') and lines[0].endswith("…") and len(lines[0]) == 305 and judging.leaf_lines(found, 1).first().lines == lines[0]
     p = spark.range(1).select(judging.judge_prompt("S {schema} C {content} L {leaves}", F.lit("{content}"), F.lit("%c"), F.lit("x")).alias("p")).first().p
     assert p == "S {content} C %c L x"
     assert [x[0] for x in texts.select(T.long_page(F.col("t"), 2)).collect()] == [True, False, False]
@@ -249,4 +296,24 @@ def test_join_counted(spark):
     a, b = spark.range(20), spark.range(5, 30).withColumn("x", F.lit(1))
     ways = [join_counted(a, b, ["id"], how, most) for how in ("inner", "left_semi") for most in (0, 100)]
     assert [sorted(r.id for r in w.collect()) for w in ways] == [list(range(5, 20))] * 4
-    assert "BroadcastHashJoin" in ways[1]._jdf.queryExecution().executedPlan().toString() and "BroadcastHashJoin" not in ways[0]._jdf.queryExecution().executedPlan().toString()
+    hinted = ["strategy=broadcast" in w._jdf.queryExecution().optimizedPlan().toString() or "rightHint" in w._jdf.queryExecution().optimizedPlan().toString() for w in ways]
+    assert hinted == [False, True, False, True]
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    import numpy as np
+
+    from leafloom.operators.quantiles import quantiles
+
+    r = random.Random(6)
+    rows = [("a", r.random()) for _ in range(5000)] + [("b", float(r.randrange(3))) for _ in range(1000)] + [("c", 7.0), ("d", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    points = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = quantiles(df, points)
+    assert set(got) == {"a", "b", "c"}
+    for g in got:
+        want = np.quantile([v for k, v in rows if k == g], points)
+        assert np.allclose(got[g], want, atol=1e-12)
+    assert quantiles(df.limit(0), points) == {}
