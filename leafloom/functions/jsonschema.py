@@ -45,21 +45,24 @@ class Validator:
 
     def error(self, value: Any) -> str | None:
         try:
-            return self._check(self.root, value, "$", 0)
+            return self._check(self.root, value, "$", frozenset())
         except (KeyError, IndexError, ValueError, re.error, RecursionError) as e:
             return f"schema: {e}"
 
-    def _check(self, s: Any, v: Any, at: str, depth: int) -> str | None:
+    def _check(self, s: Any, v: Any, at: str, depth: frozenset) -> str | None:
+        """``depth`` has the references followed for this very value: one met again would go in a circle."""
         if s is True or s == {}:
             return None
         if s is False:
             return f"{at}: nothing is allowed"
         if not isinstance(s, dict):
             raise ValueError(f"{at}: a schema must be an object or a boolean")
-        if depth > 200:
-            raise ValueError("references in a circle")
-        if "$ref" in s and (e := self._check(self._target(s["$ref"]), v, at, depth + 1)):
-            return e
+        if "$ref" in s:
+            step = (s["$ref"], at)
+            if step in depth:
+                raise ValueError("references in a circle")
+            if e := self._check(self._target(s["$ref"]), v, at, depth | {step}):
+                return e
         if "type" in s:
             kinds = s["type"] if isinstance(s["type"], list) else [s["type"]]
             if any(k not in _TYPES for k in kinds):
@@ -71,22 +74,22 @@ class Validator:
         if "const" in s and _key(v) != _key(s["const"]):
             return f"{at}: not the constant"
         for part in s.get("allOf", ()):
-            if e := self._check(part, v, at, depth + 1):
+            if e := self._check(part, v, at, depth):
                 return e
-        if "anyOf" in s and all(self._check(p, v, at, depth + 1) for p in s["anyOf"]):
+        if "anyOf" in s and all(self._check(p, v, at, depth) for p in s["anyOf"]):
             return f"{at}: fits none of anyOf"
-        if "oneOf" in s and sum(self._check(p, v, at, depth + 1) is None for p in s["oneOf"]) != 1:
+        if "oneOf" in s and sum(self._check(p, v, at, depth) is None for p in s["oneOf"]) != 1:
             return f"{at}: doesn't fit exactly one of oneOf"
-        if "not" in s and self._check(s["not"], v, at, depth + 1) is None:
+        if "not" in s and self._check(s["not"], v, at, depth) is None:
             return f"{at}: fits not"
         if "if" in s:
-            branch = "then" if self._check(s["if"], v, at, depth + 1) is None else "else"
-            if branch in s and (e := self._check(s[branch], v, at, depth + 1)):
+            branch = "then" if self._check(s["if"], v, at, depth) is None else "else"
+            if branch in s and (e := self._check(s[branch], v, at, depth)):
                 return e
         if isinstance(v, dict):
-            return self._object(s, v, at, depth)
+            return self._object(s, v, at, depth) or self._unevaluated(s, v, at, depth)
         if isinstance(v, list):
-            return self._array(s, v, at, depth)
+            return self._array(s, v, at, depth) or self._unevaluated(s, v, at, depth)
         if isinstance(v, str):
             if len(v) < s.get("minLength", 0) or len(v) > s.get("maxLength", len(v)):
                 return f"{at}: length {len(v)}"
@@ -103,7 +106,47 @@ class Validator:
                 return f"{at}: no multiple of {s['multipleOf']}"
         return None
 
-    def _object(self, s: dict, v: dict, at: str, depth: int) -> str | None:
+    def _seen(self, s: Any, v: Any, at: str, depth: frozenset) -> set:
+        """The members or elements of ``v`` that a schema which it fulfils has looked at."""
+        if not isinstance(s, dict):
+            return set()
+        out: set = set()
+        if isinstance(v, dict):
+            if "additionalProperties" in s or "unevaluatedProperties" in s:
+                return set(v)
+            out |= v.keys() & s.get("properties", {}).keys()
+            out |= {k for k in v for p in s.get("patternProperties", {}) if re.search(p, k)}
+        else:
+            items = s.get("items")
+            if items is not None and not isinstance(items, list) or "unevaluatedItems" in s or "additionalItems" in s:
+                return set(range(len(v)))
+            out |= set(range(min(len(v), len(s.get("prefixItems", items or [])))))
+            if "contains" in s:
+                out |= {i for i, x in enumerate(v) if self._check(s["contains"], x, f"{at}[{i}]", depth) is None}
+        parts = [*s.get("allOf", ()), *s.get("anyOf", ()), *s.get("oneOf", ())]
+        if "$ref" in s and (s["$ref"], at) not in depth:
+            parts.append(self._target(s["$ref"]))
+            depth = depth | {(s["$ref"], at)}
+        if "if" in s:
+            parts += [s["if"], s.get("then", True)] if self._check(s["if"], v, at, depth) is None else [s.get("else", True)]
+        for p in parts:
+            if self._check(p, v, at, depth) is None:
+                out |= self._seen(p, v, at, depth)
+        return out
+
+    def _unevaluated(self, s: dict, v: Any, at: str, depth: frozenset) -> str | None:
+        """What no other keyword has looked at must fulfil ``unevaluatedProperties`` or ``unevaluatedItems``."""
+        word = "unevaluatedProperties" if isinstance(v, dict) else "unevaluatedItems"
+        if word not in s:
+            return None
+        seen = self._seen({k: x for k, x in s.items() if k != word}, v, at, depth)
+        for k, x in v.items() if isinstance(v, dict) else enumerate(v):
+            place = f"{at}.{k}" if isinstance(v, dict) else f"{at}[{k}]"
+            if k not in seen and (e := self._check(s[word], x, place, frozenset())):
+                return e
+        return None
+
+    def _object(self, s: dict, v: dict, at: str, depth: frozenset) -> str | None:
         for k in s.get("required", ()):
             if k not in v:
                 return f"{at}: {k} is missing"
@@ -115,37 +158,37 @@ class Validator:
         props, patterns, rest = s.get("properties", {}), s.get("patternProperties", {}), s.get("additionalProperties", True)
         for k, x in v.items():
             known = False
-            if "propertyNames" in s and (e := self._check(s["propertyNames"], k, f"{at}.{k}", depth + 1)):
+            if "propertyNames" in s and (e := self._check(s["propertyNames"], k, f"{at}.{k}", depth)):
                 return e
             if k in props:
                 known = True
-                if e := self._check(props[k], x, f"{at}.{k}", depth + 1):
+                if e := self._check(props[k], x, f"{at}.{k}", depth):
                     return e
             for p, sub in patterns.items():
                 if re.search(p, k):
                     known = True
-                    if e := self._check(sub, x, f"{at}.{k}", depth + 1):
+                    if e := self._check(sub, x, f"{at}.{k}", frozenset()):
                         return e
-            if not known and rest is not True and (e := self._check(rest, x, f"{at}.{k}", depth + 1)):
+            if not known and rest is not True and (e := self._check(rest, x, f"{at}.{k}", depth)):
                 return e
         return None
 
-    def _array(self, s: dict, v: list, at: str, depth: int) -> str | None:
+    def _array(self, s: dict, v: list, at: str, depth: frozenset) -> str | None:
         if len(v) < s.get("minItems", 0) or len(v) > s.get("maxItems", len(v)):
             return f"{at}: {len(v)} elements"
         if s.get("uniqueItems") and len({_key(x) for x in v}) < len(v):
             return f"{at}: repeated elements"
         first = s.get("prefixItems", s["items"] if isinstance(s.get("items"), list) else [])
         for i, (sub, x) in enumerate(zip(first, v)):
-            if e := self._check(sub, x, f"{at}[{i}]", depth + 1):
+            if e := self._check(sub, x, f"{at}[{i}]", depth):
                 return e
         rest = s.get("items") if not isinstance(s.get("items"), list) else s.get("additionalItems")
         if rest is not None:
             for i in range(len(first), len(v)):
-                if e := self._check(rest, v[i], f"{at}[{i}]", depth + 1):
+                if e := self._check(rest, v[i], f"{at}[{i}]", depth):
                     return e
         if "contains" in s:
-            hits = sum(self._check(s["contains"], x, at, depth + 1) is None for x in v)
+            hits = sum(self._check(s["contains"], x, at, depth) is None for x in v)
             if hits < s.get("minContains", 1) or hits > s.get("maxContains", hits):
                 return f"{at}: {hits} elements fit contains"
         return None

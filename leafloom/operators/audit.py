@@ -6,6 +6,7 @@ joined back to all cells that hold the text.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable, Iterator
 
@@ -49,7 +50,8 @@ def spans(found: DataFrame, first: Detector, second: Detector, chunk: int = 100_
     """``key, field, label, start, stop, snippet, detector`` of each cell, sorted by place in each text.
 
     ``first`` sees texts in chunks with overlap, as a model would, and a span found twice counts once; spans of ``second``
-    that lie inside a span of ``first`` are dropped.
+    that lie inside a span of ``first`` are dropped. Texts stay where they are: a task scans a text that it meets again
+    only once, and nothing but the findings leaves it.
     """
 
     def scan(text: str) -> list[dict]:
@@ -61,14 +63,24 @@ def spans(found: DataFrame, first: Detector, second: Detector, chunk: int = 100_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("snippet", pa.string()), ("detector", pa.string())]))
+        met: dict[bytes, list[dict]] = {}
         for b in batches:
-            got = [(d, s) for d, s in ((d, scan(t)) for d, t in zip(*(c.to_pylist() for c in b.columns))) if s]
-            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.string()), pa.array([s for _, s in got], kind)], names=["digest", "spans"])
-
-    keyed = found.select("key", "field", F.sha2("text", 256).alias("digest"), "text")
-    once = keyed.select("digest", "text").dropDuplicates(["digest"])
-    hit = once.mapInArrow(run, f"digest string, spans {_SPANS}")
-    return keyed.select("key", "field", "digest").join(hit, "digest").select("key", "field", F.explode("spans").alias("s")).select("key", "field", "s.*")
+            at, got = [], []
+            for i, text in enumerate(b.column(2).to_pylist()):
+                digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                if digest not in met:
+                    if len(met) > 100_000:  # a cache: texts are scanned again
+                        met.clear()
+                    met[digest] = scan(text)
+                if met[digest]:
+                    at.append(i)
+                    got.append(met[digest])
+            rows = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(got, kind)], names=["key", "field", "spans"])
+
+    keyed = found.select("key", "field", "text")
+    hit = keyed.mapInArrow(run, f"key {dict(keyed.dtypes)['key']}, field string, spans {_SPANS}")
+    return hit.select("key", "field", F.explode("spans").alias("s")).select("key", "field", "s.*")
 
 
 def once(findings: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from leafloom.operators import judging, runs
 from leafloom.operators.concentration import tiers
 from leafloom.plans.describing import ROOTS, _sources
 from leafloom.plans.registry import query
+from leafloom.session import cut_lineage
 from leafloom.sources.tables import table
 
 ORDER = ["is_valid_json", "cost", "api_error", "model_response"]
@@ -118,8 +119,10 @@ def tier_shares_by_slice(spark, d):
 
 @query("stratum_reweighted_tiers", _J + ", w AS (SELECT domain_tier, count(*) / (SELECT count(*) FROM s) w FROM s GROUP BY 1), n AS (SELECT domain_tier, count(*) c FROM j WHERE tier IS NOT NULL GROUP BY 1), v AS (SELECT unnest(['good', 'so-so', 'reject']) tier) SELECT v.tier, round(sum(w * (SELECT count(*) FROM j WHERE j.domain_tier = n.domain_tier AND j.tier = v.tier) / c), 6) AS weighted_share, round(sum(w), 6) AS covered_weight FROM n JOIN w USING (domain_tier), v GROUP BY 1")
 def stratum_reweighted_tiers(spark, d):
-    strata = _units(spark, d).groupBy("domain_tier").agg(F.count("*").alias("population"))
-    return judging.reweighted_shares(_judged(spark, d), strata, "domain_tier")
+    units = cut_lineage(_units(spark, d))
+    strata = units.groupBy("domain_tier").agg(F.count("*").alias("population"))
+    j = table(spark, d, "judgments", ["unit_id", "judge_model", "tier", "error"]).filter("error is null")
+    return judging.reweighted_shares(j.join(units, "unit_id"), strata, "domain_tier")
 
 
 def _two_judges(spark, d):

@@ -132,3 +132,19 @@ def test_readings_of_numbers_and_dates():
     assert L.date_reading("25/12/2023") == datetime.date(2023, 12, 25) and L.date_reading("Mar 5") == datetime.date(datetime.date.today().year, 3, 5)
     assert all(L.date_reading(x) is None for x in ("", None, 5, "2024-13-45", "on 2024-03-05", "x" * 41, "March"))
     assert L.without_repeated_keys('{"a":1,"a":2,"b":{"c":1,"c":2,"c":3,"d":4}}') == {"b": {"d": 4}} and L.without_repeated_keys("{") == {}
+
+
+def test_schemas_with_unevaluated_members_and_references():
+    from leafloom.functions.jsonschema import Validator
+
+    s = {"allOf": [{"properties": {"a": {"type": "integer"}}}], "if": {"required": ["b"]}, "then": {"properties": {"b": True}}, "unevaluatedProperties": False}
+    ok = lambda schema, v: Validator(schema).error(v) is None
+    assert ok(s, {"a": 1}) and ok(s, {"a": 1, "b": 2}) and not ok(s, {"a": 1, "c": 2}) and not ok(s, {"a": "x"})
+    items = {"prefixItems": [True], "contains": {"type": "string"}, "unevaluatedItems": {"type": "integer"}}
+    assert ok(items, [None, 1, "x"]) and not ok(items, [None, None, "x"])
+    deep: object = 1
+    for _ in range(220):
+        deep = {"next": deep}
+    chain = {"$defs": {"n": {"properties": {"next": {"$ref": "#/$defs/n"}}}}, "$ref": "#/$defs/n"}
+    assert ok(chain, deep)
+    assert "circle" in Validator({"$defs": {"a": {"$ref": "#/$defs/b"}, "b": {"$ref": "#/$defs/a"}}, "$ref": "#/$defs/a"}).error(1)
