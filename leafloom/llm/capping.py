@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.urls import last_two_labels
+from leafloom.operators.joining import join_counted
 from leafloom.operators.ranking import rank_in_groups
 from leafloom.session import cut_lineage
 
@@ -28,7 +29,7 @@ def beyond_cap(rows: DataFrame, contributor: str, cap: int, score: str, key: str
     rows = rows.select(F.col(key).alias("k"), F.col(contributor).alias("c"), F.when(~F.isnan(score), F.col(score)).alias("s")).filter("c is not null")
     over = rows.groupBy("c").count().filter(F.col("count") > cap).select("c")
     # fewer than N / cap rows: at a cap of 2 % at most 50
-    hot = rows.join(F.broadcast(over), "c", "left_semi")
+    hot = join_counted(rows, over, ["c"], "left_semi")
     ranked = rank_in_groups(hot, "c", [F.col("s").desc_nulls_last(), F.col("k")])
     return ranked.filter(F.col("rank") >= cap).select(F.col("k").alias(key))
 
