@@ -55,3 +55,13 @@ def one_split(df: DataFrame, split: str) -> DataFrame:
 def once_per_id(df: DataFrame, key: str = "id") -> DataFrame:
     """Each id once. Deliveries of one id carry the same payload, so any of its rows may stand for it; rows with null id go."""
     return df.filter(F.col(key).isNotNull()).dropDuplicates([key])
+
+
+#: Columns of ``placed_table`` that tell its rows apart.
+PLACE = ["_file", "_row"]
+
+
+def placed_table(spark: SparkSession, folder: str, name: str, columns: list[str]) -> DataFrame:
+    """Columns of a parquet table with the file and the number of each row in it."""
+    whole = spark.read.parquet(f"{folder}/{name}.parquet")
+    return whole.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))

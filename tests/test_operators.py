@@ -317,3 +317,14 @@ def test_exact_quantiles(spark):
         want = np.quantile([v for k, v in rows if k == g], points)
         assert np.allclose(got[g], want, atol=1e-12)
     assert quantiles(df.limit(0), points) == {}
+
+
+def test_first_of_each(spark, tmp_path):
+    from leafloom.operators.joining import first_of_each
+    from leafloom.sources.tables import PLACE, placed_table
+
+    rows = [(str(i % 40) if i % 11 else None, f"text {i % 40}") for i in range(100)]
+    spark.createDataFrame(rows, "id string, t string").repartition(3).write.parquet(str(tmp_path / "x.parquet"))
+    got = first_of_each(placed_table(spark, str(tmp_path), "x", ["id", "t"]), "id", PLACE).collect()
+    assert sorted((r.id, r.t) for r in got) == sorted({r for r in rows if r[0] is not None})
+    assert first_of_each(placed_table(spark, str(tmp_path), "x", ["id", "t"]).limit(0), "id", PLACE).count() == 0
