@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafloom.functions.urls import last_two_labels
-from leafloom.operators.joining import join_counted
+from leafloom.operators.joining import first_of_each, join_counted
 from leafloom.session import cut_lineage
 
 #: Kinds of tokens: with a free slot in it; without a letter.
@@ -245,9 +245,14 @@ def template_lines(
     return ids.join(lines, "page").select("id", "line_no")
 
 
-def main_body(pages: DataFrame) -> DataFrame:
-    """``id, body``: each page's content without its template lines; pages with null content keep null."""
-    once = pages.select("id", "content").filter("id is not null").dropDuplicates(["id"])
+def main_body(pages: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """``id, body``: each page's content without its template lines; pages with null content keep null.
+
+    An id counts once. With ``place``, columns that tell the rows of ``pages`` apart, no text is moved as long as repeated
+    ids and the pages with template lines are few enough to be broadcast; else the texts are shuffled by id.
+    """
+    wide = pages.select("id", "content", *(place or [])).filter("id is not null")
+    once = first_of_each(wide, "id", place) if place else wide.dropDuplicates(["id"])
     drop = template_lines(pages).groupBy("id").agg(F.collect_set("line_no").alias("out"))
     kept = F.expr("array_join(transform(filter(transform(split(content, '\n'), (x, i) -> struct(x as l, i + 1 as n)), s -> out is null or not array_contains(out, s.n)), s -> s.l), '\n')")
-    return once.join(drop, "id", "left").select("id", kept.alias("body"))
+    return join_counted(once, drop, ["id"], "left").select("id", kept.alias("body"))

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from leafloom.llm.pii_spans import NEAR, Span, candidates, transition
 from leafloom.llm.pii_weights import WEIGHTS
+from leafloom.operators.joining import first_of_each
 
 #: Weight of a make-up of names that training has not met.
 _UNSEEN = -1.5
@@ -107,13 +108,18 @@ def redact(text: str) -> str:
     return "".join(out) + text[at:]
 
 
-def redacted(rows: DataFrame) -> DataFrame:
-    """``id, prompt, content, schema, response`` with placeholders in place of personal items; nulls stay null."""
+def redacted(rows: DataFrame, place: list[str] | None = None) -> DataFrame:
+    """``id, prompt, content, schema, response`` with placeholders in place of personal items; nulls stay null.
+
+    An id counts once. With ``place``, columns that tell the rows apart, no text is moved for that as long as repeated
+    ids are few enough to be broadcast.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols = [b.column(0)] + [pa.array([None if t is None else redact(t) for t in c.to_pylist()], pa.string()) for c in b.columns[1:]]
             yield pa.RecordBatch.from_arrays(cols, names=["id", *FIELDS])
 
-    once = rows.select("id", *FIELDS).filter("id is not null")
-    return once.mapInArrow(run, "id string, prompt string, content string, schema string, response string").dropDuplicates(["id"])
+    wide = rows.select("id", *FIELDS, *(place or [])).filter("id is not null")
+    once = first_of_each(wide, "id", place) if place else wide.dropDuplicates(["id"])
+    return once.select("id", *FIELDS).mapInArrow(run, "id string, prompt string, content string, schema string, response string")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import boilerplate, capping, language, leaks, overlap, packing, pairs, pieces, pii
-from leafloom.sources.tables import table
+from leafloom.sources.tables import PLACE, placed_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,7 +81,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p1_body")
 def p1_body(spark: SparkSession, d: str) -> DataFrame:
-    return boilerplate.main_body(_pages(spark, d))
+    return boilerplate.main_body(placed_table(spark, d, "raw_rows", ["id", "source", "content"]), PLACE)
 
 
 @query("p2_found")
@@ -148,4 +148,4 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p4_redacted")
 def p4_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return pii.redacted(table(spark, d, "raw_rows", _TEXTS))
+    return pii.redacted(placed_table(spark, d, "raw_rows", _TEXTS), PLACE)

@@ -103,3 +103,10 @@ def test_items_of_other_wording_and_length(text, label, items):
 @pytest.mark.parametrize("text", ["published 2025-03-12", "total 1,234,567", "order 555 123 4567", "ISBN 978-0-306-40615-7", "4111 1111 1111 1112", "on the mobile site. 2025-04-16", "Harbour Board, Annual Report"])
 def test_no_items(text):
     assert not pii.find_items(text)
+
+
+def test_redaction_of_placed_rows(spark):
+    rows = [(str(i % 7), f"write to ab{i % 7}@mintlo.example", None, None, None, i) for i in range(20)] + [(None, "x", None, None, None, 99)]
+    df = spark.createDataFrame(rows, "id string, prompt string, content string, schema string, response string, n int")
+    a, b = (sorted((r.id, r.prompt) for r in pii.redacted(df, place).collect()) for place in (None, ["n"]))
+    assert a == b == [(str(i), "write to [PRIVATE_EMAIL]") for i in range(7)]
