@@ -69,23 +69,25 @@ _REFUSAL = _refusal_automaton()
 _APART = re.compile(r"[^\w'-]+|(?<!\w)['-]|['-](?!\w)")
 
 
-def declines(sentence: str) -> bool:
-    """True if a sentence declines to answer, by the kinds of words that meet in it.
+def declines(sentence: str) -> float:
+    """How surely a sentence declines to answer, by the kinds of words that meet in it: 1, 0.5 or 0.
 
-    Someone who speaks of themself isn't able or allowed to do the task, or declines it; rules forbid it; what is
-    private will not be given.
+    1: someone who speaks of themself isn't able or allowed to do the task, or declines it; rules forbid it; what is private
+    will not be given. 0.5: the same without a task, which anyone may say of anything.
     """
     plain = " " + _APART.sub(" ", sentence.casefold().replace("’", "'")) + " "
     met: set[str] = set()
     for _, kinds in _REFUSAL.iter(plain):
         met.update(kinds)
+    unable = {"unable", "not"} <= met
     if "self" in met:
-        if "decline" in met or {"unable", "not", "task"} <= met or {"forbid", "task"} <= met and ("not" in met or "rule" in met or "sorry" in met):
-            return True
-        if "rule" in met and ("forbid" in met or {"unable", "not"} <= met) or {"sorry", "unable", "not"} <= met and "task" in met:
-            return True
-        return "forbid" in met and "task" in met and ("outside" in plain or "beyond" in plain)
-    return {"withheld", "private"} <= met or {"rule", "forbid", "task"} <= met or {"sorry", "unable", "not", "task"} <= met
+        if "decline" in met or unable and "task" in met or {"forbid", "task"} <= met and ("not" in met or "rule" in met or "sorry" in met):
+            return 1.0
+        if "rule" in met and ("forbid" in met or unable) or "forbid" in met and "task" in met and ("outside" in plain or "beyond" in plain):
+            return 1.0
+    elif {"withheld", "private"} <= met or {"rule", "forbid", "task"} <= met or unable and {"sorry", "task"} <= met:
+        return 1.0
+    return 0.5 if "self" in met and (unable or "forbid" in met) or unable and "task" in met or {"sorry", "task", "not"} <= met else 0.0
 
 
 class SuffixAutomaton:
@@ -252,18 +254,22 @@ def stops_within_word(texts: list[str], content: str | None) -> bool:
 
 
 def _refuses(texts: list[str], content: str | None) -> bool:
-    """True if sentences that decline, and that the page doesn't hold, make up half of the answer's text or more."""
+    """True if sentences that decline, and that the page doesn't hold, make up half of the answer's text or more.
+
+    Sentences that may decline count if the answer holds hardly anything else.
+    """
     sentences = [s for t in texts for s in _SENT.split(t) if len(s) > 3]
     said = sum(map(len, sentences))
-    declining = 0
+    sure = maybe = 0
     page: str | None = None
     for s in sentences:
-        if declines(s):
+        if how := declines(s):
             if page is None:
                 page = (content or "").casefold()
             if s.strip(" .>*").casefold() not in page:
-                declining += len(s)
-    return declining > 0 and declining * 2 >= said
+                maybe += len(s)
+                sure += len(s) * (how == 1)
+    return maybe > 0 and (sure * 2 >= said or maybe >= 0.9 * said)
 
 
 def defect_of(prompt: str | None, response: str | None, schema: str | None, content: str | None) -> str | None:

@@ -57,12 +57,12 @@ REFUSAL_KINDS = {
  riesco | devo | mi | mie | mio | mia | noi | possiamo | sono | io
 """,
     "unable": """
- cannot | can not | can't | cant | could not | couldn't | won't | will not | would not | wouldn't | unable | not able | not allowed | not permitted | not comfortable | not authori| not in a position | not going to | must not | may not | not possible | impossible | not something i | not willing | no way | refrain | wouldn't be right | rather not | never | incapable
- kann | könnte| darf | dürfen | nicht möglich | unmöglich | außerstande | nicht in der lage | nicht befugt | nicht erlaubt | nicht gestattet | werde | möchte
- peux pas | puis pas | peux | pas en mesure | impossible | pas autorisé| pouvons | saurais | capable de | pas possible | pas à même | veux pas | voudrais pas
- no puedo | no podemos | no podré | no me es posible | imposible | no estoy autoriz| no soy capaz | no es posible | no estoy en condiciones | no debo | no voy a | no quiero | incapaz
- não posso | não podemos | não consigo | não poderei | não me é | impossível | não estou autoriz| não sou capaz | não é possível | não devo | não vou | incapaz | não estou em condições
- non posso | non possiamo | non riesco | non potrò | non sono in grado | impossibile | non mi è | non sono autorizz| non è possibile | non devo | non sono capace | non intendo | incapace
+ prefer not | prefer not to | feel able | cannot | can not | can't | cant | could not | couldn't | won't | will not | would not | wouldn't | unable | not able | not allowed | not permitted | not comfortable | not authori| not in a position | not going to | must not | may not | not possible | impossible | not something i | not willing | no way | refrain | wouldn't be right | rather not | never | incapable
+ möchte lieber nicht | kann | könnte| darf | dürfen | nicht möglich | unmöglich | außerstande | nicht in der lage | nicht befugt | nicht erlaubt | nicht gestattet | werde | möchte
+ préfère ne pas | préférerais ne pas | peux pas | puis pas | peux | pas en mesure | impossible | pas autorisé| pouvons | saurais | capable de | pas possible | pas à même | veux pas | voudrais pas
+ prefiero no | preferiría no | no puedo | no podemos | no podré | no me es posible | imposible | no estoy autoriz| no soy capaz | no es posible | no estoy en condiciones | no debo | no voy a | no quiero | incapaz
+ prefiro não | preferia não | não posso | não podemos | não consigo | não poderei | não me é | impossível | não estou autoriz| não sou capaz | não é possível | não devo | não vou | incapaz | não estou em condições
+ preferisco non | preferirei non | non posso | non possiamo | non riesco | non potrò | non sono in grado | impossibile | non mi è | non sono autorizz| non è possibile | non devo | non sono capace | non intendo | incapace
 """,
     "not": " not |n't | no | cannot | unable | impossible | never | nicht | kein| nichts | unmöglich | außerstande | ne | n'| pas | aucun| impossible | ni | imposible | não | nenhum| impossível | non | nessun| impossibile ",
     "decline": """
@@ -90,7 +90,7 @@ interdi|empêch| contre | contraire | permet pas | permettent pas | autorise pas
  impedi| vieta| contro | non mi permett| non permett| non mi consent| non consent| al di fuori | viola
 """,
     "task": """
- help | assist | answer | respond | reply | provide | extract | give | given | share | comply | fulfil| complet| process | do that | do this | do so | request | task | question | disclose | reveal | generate | create | support | supply | proceed | hand out | hand over | information | details | data | material | comfortable
+ help| assist| answer| respond| reply | provid| extract| give | given | share | comply | fulfil| complet| process | do that | do this | do so | request | task | question | disclose | reveal | generate | create | support | supply | proceed | hand out | hand over | information | details | data | material | comfortable
  helfen | hilfe | behilflich | antwort| beantwort| geben | weitergeben | herausgeben | extrahier| entnehmen | anfrage | aufgabe | frage | angaben | daten | auskunft | ausführen | erfüllen | bearbeiten | verarbeiten | nachkommen | auslesen | mitteilen | unterstütz| machen | tun
  aider | aide | répondre | réponse | fournir | donner | extraire | demande | tâche | question | divulguer | transmettre | traiter | informations | données | faire | accomplir | effectuer | satisfaire | communiquer | service | cela
  ayudar| ayuda | responder | contestar | facilitar | proporcionar | dar | extraer | petición | solicitud | tarea | pregunta | revelar | procesar | completar | datos | información | hacer | cumplir | compartir | atender | eso | esto

@@ -74,7 +74,7 @@ def test_refusals_of_other_wording():
     unseen, answers = ([s.strip() for line in block.strip().splitlines() for s in line.split("|")] for block in (UNSEEN, ANSWERS))
     found = [P.defect_of(ASK, '{"title": null, "note": "%s"}' % s, None, "The page.") for s in unseen]
     assert len(unseen) >= 20 and found.count("refusal") >= 0.9 * len(unseen)
-    assert not any(P.declines(s) for s in answers)
+    assert all(P.declines(s) < 1 for s in answers)
 
 
 def test_a_refusal_counts_at_any_length_and_in_any_number_of_fields_but_not_on_the_page():
