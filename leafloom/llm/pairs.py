@@ -66,6 +66,7 @@ def _refusal_automaton() -> ahocorasick.Automaton:
 
 
 _REFUSAL = _refusal_automaton()
+_PLURAL = re.compile(r" (?:we|wir|nous|nós|noi|podemos|possiamo) ")
 _APART = re.compile(r"[^\w'-]+|(?<!\w)['-]|['-](?!\w)")
 
 
@@ -87,7 +88,8 @@ def declines(sentence: str) -> float:
             return 1.0
     elif {"withheld", "private"} <= met or {"rule", "forbid", "task"} <= met or unable and {"sorry", "task"} <= met:
         return 1.0
-    return 0.5 if "self" in met and (unable or "forbid" in met) or unable and "task" in met or {"sorry", "task", "not"} <= met else 0.0
+    alone = "self" in met and not _PLURAL.search(plain)  # shops and offices say "we" of themselves
+    return 0.5 if alone and (unable or "forbid" in met) or unable and "task" in met or {"sorry", "task", "not"} <= met else 0.0
 
 
 class SuffixAutomaton:
