@@ -328,3 +328,25 @@ def test_first_of_each(spark, tmp_path):
     got = first_of_each(placed_table(spark, str(tmp_path), "x", ["id", "t"]), "id", PLACE).collect()
     assert sorted((r.id, r.t) for r in got) == sorted({r for r in rows if r[0] is not None})
     assert first_of_each(placed_table(spark, str(tmp_path), "x", ["id", "t"]).limit(0), "id", PLACE).count() == 0
+
+
+def test_prefix_matches_against_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh é") for _ in range(r.randint(2, 9)))
+    menu = " ".join(word() for _ in range(60))
+    pages = [(f"p{i}", f"s{i % 3}", menu + " ".join(word() for _ in range(r.choice([5, 300, 900])))) for i in range(40)]
+    records = []
+    for i in range(60):
+        _, s, t = r.choice(pages)
+        a = r.choice([0, r.randint(0, len(t) - 5)])
+        content = t[a : a + r.choice([3, 30, 400, 1500])] + r.choice(["", " tail"])
+        records.append((i, s if i % 7 else "s9", content))
+    records += [(100, None, menu), (101, "s0", None), (102, "s0", "")]
+    rec = spark.createDataFrame(records, "ft_id bigint, schema string, content string")
+    pag = spark.createDataFrame([*pages, pages[0], ("n", None, menu), ("m", "s0", None)], "id string, schema string, content string")
+    none = spark.createDataFrame([], "ft_id bigint, id string")
+    got = [(x.ft_id, x.id) for x in align.prefix_matches(rec, pag, none, 1000).collect()]
+    want = {(k, i) for k, s, c in records for i, z, t in pages if s == z and c and c[:1000] in t}
+    assert set(got) == want and len(got) == len(want) and len(want) > 20
