@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafloom.llm import boilerplate, capping, language, leaks, overlap, packing, pairs, pieces, pii
+from leafloom.operators.joining import first_of_each
 from leafloom.sources.tables import PLACE, placed_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,7 +46,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _contents(spark: SparkSession, d: str) -> DataFrame:
-    raw = table(spark, d, "raw_rows", ["id", "content"])
+    raw = first_of_each(placed_table(spark, d, "raw_rows", ["id", "content"]), "id", PLACE)
     fine = table(spark, d, "finetune", ["ft_id", "content"])
     return raw.select(F.lit("raw_rows").alias("origin"), F.col("id").alias("item_key"), "content").unionByName(
         fine.select(F.lit("finetune").alias("origin"), F.col("ft_id").cast("string").alias("item_key"), "content")
@@ -61,13 +62,12 @@ UNION ALL SELECT 'finetune', ft_id::VARCHAR FROM finetune WHERE length(content)
 @query("p6_found", P6_SQL)
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     cut = pieces.split_pieces(_contents(spark, d), ["origin", "item_key"], "content")
-    return cut.filter("piece_no = 2").select("origin", "item_key").dropDuplicates()
+    return cut.filter("piece_no = 2").select("origin", "item_key")
 
 
 @query("p6_pieces")
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
-    cut = pieces.split_pieces(_contents(spark, d), ["origin", "item_key"], "content")
-    return cut.dropDuplicates(["origin", "item_key", "piece_no"])
+    return pieces.split_pieces(_contents(spark, d), ["origin", "item_key"], "content")
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
