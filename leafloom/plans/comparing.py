@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafloom.operators import align, audit, judging, scoring
-from leafloom.plans.aligning import _tables
-from leafloom.plans.preparing import OVERLAP, SIZE
+from leafloom.operators import audit, judging, scoring
 from leafloom.plans.registry import query
 from leafloom.sources.tables import table
 from leafloom.streaming import incremental
@@ -64,14 +62,17 @@ def response_leaf_counts(spark, d):
 
 
 def _pairs(spark, d):
-    records, pages = _tables(spark, d)
-    a = align.alignment(records, pages, SIZE, OVERLAP).filter("response is not null")
-    return a.select("ft_id", F.col("response").alias("before"), "full_page").join(records.select("ft_id", "schema", F.col("response").alias("after")), "ft_id")
+    """Two answers to one schema: those of its first and of its last row."""
+    r = table(spark, d, "raw_rows", ["id", "schema_hash", "schema", "response"]).dropna()
+    ends = r.groupBy("schema_hash").agg(
+        F.min_by(F.struct("schema", "response"), "id").alias("a"), F.max_by("response", "id").alias("after"), (F.min("id") < F.max("id")).alias("two")
+    )
+    return ends.filter("two").select("schema_hash", F.col("a.schema").alias("schema"), F.col("a.response").alias("before"), "after", (F.col("a.response") == F.col("after")).alias("same"))
 
 
 @query("regeneration_diff")
 def regeneration_diff(spark, d):
-    return scoring.diff_summary(scoring.compared(_pairs(spark, d), "ft_id", "schema", "before", "after", "full_page"))
+    return scoring.diff_summary(scoring.compared(_pairs(spark, d), "schema_hash", "schema", "before", "after", "same"))
 
 
 @query("answer_diff_by_compliance")
@@ -80,13 +81,6 @@ def answer_diff_by_compliance(spark, d):
     return scoring.diff_summary(scoring.compared(a, "k", "schema", "ground_truth", "clean_response", "same"), ["flag"])
 
 
-def _two_models(spark, d):
-    """The answers of the first and the last model to the same call, and what was expected."""
-    a = _answers(spark, d)
-    of = lambda end, name: a.filter(F.col("model") == a.agg(end("model")).scalar()).select("idx", F.col("clean_response").alias(name), "schema", F.col("ground_truth").alias(f"{name}_true"))
-    return of(F.min, "before").join(of(F.max, "after").drop("schema"), "idx")
-
-
 @query("soft_sample_means")
 def soft_sample_means(spark, d):
     """Over 5,000 pairs of a model's answer and the expected one."""
@@ -96,8 +90,7 @@ def soft_sample_means(spark, d):
 @query("rewrite_shares")
 def rewrite_shares(spark, d):
     """Label shares, those that need a judge spread by the answer that the expected value supports."""
-    p = _two_models(spark, d)
-    r = scoring.rewrites(p, "idx", "before", "after")
+    r = scoring.rewrites(_pairs(spark, d), "schema_hash", "before", "after")
     judged = r.filter("heuristic = 'needs_judge'").select("leaf_id", F.when(F.char_length("orig") >= F.char_length("regen"), "shorter").otherwise("longer").alias("judge"), F.lit(None).cast("string").alias("manual"))
     return scoring.extrapolated(r, judged)
 
@@ -127,7 +120,7 @@ def pair_units(spark, d):
 
 @query("rewrite_taxonomy")
 def rewrite_taxonomy(spark, d):
-    r = scoring.rewrites(_two_models(spark, d), "idx", "before", "after")
+    r = scoring.rewrites(_pairs(spark, d), "schema_hash", "before", "after")
     return r.groupBy("heuristic").agg(F.count("*").alias("n"), F.count_distinct("key").alias("pairs"))
 
 
