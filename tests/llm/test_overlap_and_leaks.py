@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import numpy as np
 from hypothesis import given, settings
@@ -168,3 +169,28 @@ def test_passages_with_every_fifth_word_replaced(spark):
         docs.append((k, " ".join(["before"] * 9 + part + ["after"] * 9)))
     got = leaks.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string"))
     assert {(x.doc_id, x.item_id) for x in got.collect()} == {(k, k) for k, _ in items}
+
+
+def disk_files(spark):
+    """Bytes of the shuffle and checkpoint files that are there, by name."""
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    there = {f.getPath(): f.length() for f in (files.apply(i) for i in range(files.size()))}
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        root = Path(folder.get().removeprefix("file:"))
+        there |= {str(f): f.stat().st_size for f in root.rglob("*") if f.is_file()}
+    return there
+
+
+def written(spark, texts, schema='{"a": 1}'):
+    """Bytes that the search writes for texts, a sixth of them of the evaluation."""
+    df = spark.createDataFrame([(i, "train" if i % 6 else "test", schema, t, "s") for i, t in enumerate(texts)], "ft_id bigint, split string, schema string, content string, source string")
+    before = disk_files(spark)
+    overlap.cross_split_pairs(df).write.format("noop").mode("overwrite").save()
+    return sum(n - before.get(name, 0) for name, n in disk_files(spark).items())
+
+
+def test_words_are_moved_once(spark):
+    r = random.Random(9)
+    texts = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(200)) for _ in range(900)]
+    assert written(spark, texts) < 2 * sum(4 * len(t.split()) for t in texts)
