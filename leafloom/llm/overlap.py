@@ -189,7 +189,7 @@ class Block:
     """
 
     def __init__(self, texts: list[np.ndarray], least: float):
-        self.texts, self.least = texts, least
+        self.least = least
         m, text = all_members(texts)
         self.members, at, often = np.unique(m, return_inverse=True, return_counts=True)
         self.rank = np.empty(len(often), np.int64)
@@ -244,9 +244,10 @@ class Block:
             x, y = hit // len(self.n) + first, hit % len(self.n)
             enough = (shared >= np.minimum(shares[0][x], shares[1][y])) & (np.minimum(n[x], self.n[y]) >= self.least * np.maximum(n[x], self.n[y]) - 1e-9)
             x, y = x[enough], y[enough]
-            for p in np.unique(x).tolist():
+            whole, parts = np.unique(x, return_index=True)
+            for p, i, j in zip(whole.tolist(), parts.tolist(), [*parts[1:].tolist(), len(x)]):
                 mark[ranks[ends[p] : ends[p + 1]]] = True
-                for q in y[x == p].tolist():
+                for q in y[i:j].tolist():
                     if np.count_nonzero(mark[self.ranks[self.ends[q] : self.ends[q + 1]]]) >= self.least * max(n[p], self.n[q]) - 1e-9:
                         yield p, q
                 mark[ranks[ends[p] : ends[p + 1]]] = False

@@ -194,3 +194,22 @@ def test_words_are_moved_once(spark):
     r = random.Random(9)
     texts = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(200)) for _ in range(900)]
     assert written(spark, texts) < 2 * sum(4 * len(t.split()) for t in texts)
+
+
+def test_disk_grows_as_the_texts_of_one_schema(spark):
+    r = random.Random(10)
+    texts = [" ".join(f"w{r.randint(0, 400)}" for _ in range(150)) for _ in range(2000)]
+    assert written(spark, texts) < 5 * written(spark, texts[:500])
+
+
+def test_large_cells_are_cut_without_loss(spark):
+    r = random.Random(11)
+    records = []
+    for i in range(120):
+        base = [f"w{r.randint(0, 200)}" for _ in range(r.randint(20, 60))]
+        edit = [w if r.random() > 0.1 else "x" for w in base]
+        records += [(i, "train", '{"a": 1}', " ".join(base)), (1000 + i, "test", '{"a":1}', " ".join(edit)), (2000 + i, r.choice(["train", "test"]), '{"a":1}', " ".join(base))]
+    df = spark.createDataFrame(records, "ft_id bigint, split string, schema string, content string").withColumn("source", F.lit("s"))
+    for sizes in ((300, 500), (50, 10**9), (10**9, 50)):
+        got = [(x.ft_id_a, x.ft_id_b) for x in overlap.cross_split_pairs(df, eval_words=sizes[0], train_words=sizes[1]).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(records)
